@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..constants import (
 )
 from ..functions import text as T
 from ..functions.vectors import concept_slots
-from ..scale import global_rank, maybe_broadcast, salted_join, top_per_group
+from ..scale import cut_lineage, global_rank, salted_join, top_per_group
 
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_:.][A-Za-z0-9]+)+")
 
@@ -65,6 +66,32 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """Index tables of a page corpus; build once, then search many times."""
+
+    pages: DataFrame
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build_index(pages: DataFrame, materialize: bool = True) -> PageIndex:
+    """Tokenize once. The postings are written to the checkpoint folder unless told otherwise."""
+    posts = postings(pages)
+    if materialize:
+        posts = cut_lineage(posts)
+    lengths = posts.groupBy("path").agg(F.sum("tf").alias("dl"))
+    n = indexable(pages).agg(F.count("*").alias("n")).scalar()
+    stats = posts.agg(F.sum("tf").alias("total_length")).select(
+        n.alias("n"),
+        "total_length",
+        F.coalesce(F.nullif(F.col("total_length") / F.greatest(F.lit(1), n), F.lit(0.0)), F.lit(1.0)).alias("avgdl"),
+    )
+    return PageIndex(pages, posts, lengths, term_stats(posts), stats)
+
+
 # ----------------------------------------------------------------------------- filters
 def facet_of(name: str) -> str:
     return FACET_ALIASES.get(name, name)
@@ -124,14 +151,20 @@ def identifier_gate(pages: DataFrame, query: str, scope=None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- one-query channels
-def query_hits(pages: DataFrame, words: list[str]) -> DataFrame:
-    """(path, dl, token, tf) restricted to the query's words before anything is shuffled."""
-    base = pages.select("path", T.tokens(index_text()).alias("toks"))
-    found = base.select(
-        "path",
-        F.size("toks").cast("long").alias("dl"),
-        F.explode(F.filter("toks", lambda x: x.isin(*words))).alias("token"),
+SCORE_DIGITS = 9  # distributed sums have no fixed order; rounding keeps equal texts exactly tied
+
+
+def query_scan(pages: DataFrame, words: list[str]) -> DataFrame:
+    """One pass over the texts: (path, dl, found), keeping only the query's words of each page."""
+    base = indexable(pages).select("path", T.tokens(index_text()).alias("toks"))
+    return cut_lineage(
+        base.select("path", F.size("toks").cast("long").alias("dl"), F.filter("toks", lambda x: x.isin(*words)).alias("found"))
     )
+
+
+def query_hits(scan: DataFrame) -> DataFrame:
+    """(path, dl, token, tf) of the scanned words."""
+    found = scan.select("path", "dl", F.explode("found").alias("token"))
     return found.groupBy("path", "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -143,14 +176,14 @@ def bm25_expr(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> C
 def bm25_channel(pages: DataFrame, query: str, eligible: DataFrame | None = None) -> DataFrame:
     """(path, score); statistics come from the whole index, not from the filtered pages."""
     words = sorted(set(query_tokens(query)))
-    hits = query_hits(indexable(pages), words)
-    stats = corpus_stats(doc_lengths(pages))
+    scan = query_scan(pages, words)
+    hits, stats = query_hits(scan), corpus_stats(scan)
     dfs = hits.groupBy("token").agg(F.count("*").alias("df"))  # at most one row per query word
     scored = hits.join(F.broadcast(dfs), "token").withColumn(
         "part",
         bm25_expr(stats.select("n").scalar(), F.col("df"), F.col("tf"), F.col("dl"), stats.select("avgdl").scalar()),
     )
-    result = scored.groupBy("path").agg(F.sum("part").alias("score"))
+    result = scored.groupBy("path").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
     if eligible is not None:
         result = result.join(eligible.select("path"), "path", "left_semi")
     return result
@@ -182,7 +215,7 @@ def concept_channel(eligible: DataFrame, query: str) -> DataFrame:
     qnorm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")).scalar()
     return (
         dots.join(lengths, "path")
-        .select("path", (F.col("dot") / (F.col("norm") * qnorm)).alias("score"))
+        .select("path", F.round(F.col("dot") / (F.col("norm") * qnorm), SCORE_DIGITS).alias("score"))
         .where(F.col("score") >= DENSE_FLOOR)
     )
 
@@ -198,7 +231,7 @@ def fuse_channels(channels: dict[str, DataFrame], weights: dict[str, float] | No
     ranked = global_rank(rows, ["channel"], [F.desc("raw"), F.asc("path")])
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     return ranked.groupBy("path").agg(
-        F.sum(F.try_element_at(weight, F.col("channel")) / (RRF_OFFSET + F.col("rank"))).alias("score"),
+        F.round(F.sum(F.try_element_at(weight, F.col("channel")) / (RRF_OFFSET + F.col("rank"))), 12).alias("score"),
         F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"),  # at most four names
     )
 
@@ -225,8 +258,9 @@ def baseline_search(pages: DataFrame, query: str, types=None, scope=None, top_k:
     scope = scope or {}
     eligible = eligible_pages(pages, types, scope)
     words = sorted(counts)
-    hits = query_hits(indexable(pages), words)
-    n = corpus_stats(doc_lengths(pages)).select(F.greatest(F.lit(1), F.col("n"))).scalar()
+    scan = query_scan(pages, words)
+    hits = query_hits(scan)
+    n = corpus_stats(scan).select(F.greatest(F.lit(1), F.col("n"))).scalar()
     dfs = hits.groupBy("token").agg(F.count("*").alias("df"))  # at most one row per query word
     times = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
     lexical = (
@@ -252,7 +286,7 @@ def baseline_search(pages: DataFrame, query: str, types=None, scope=None, top_k:
     return (
         eligible.select("path", bonus.alias("bonus"))
         .join(lexical, "path", "left")
-        .select("path", (F.col("bonus") + F.coalesce("lexical", F.lit(0.0))).alias("score"))
+        .select("path", F.round(F.col("bonus") + F.coalesce("lexical", F.lit(0.0)), SCORE_DIGITS).alias("score"))
         .where(F.col("score") > 0)
         .orderBy(F.desc("score"), F.asc("path"))
         .limit(top_k)
@@ -269,22 +303,20 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
 
-def bounded_candidates(posts: DataFrame, queries: DataFrame, limit: int = CANDIDATE_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
+def bounded_candidates(index: PageIndex, queries: DataFrame, limit: int = CANDIDATE_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
     """Candidates read rare-term-first under one read budget per query.
 
     Reads rejected by ``allowed`` (query_id, path) still use budget; a path read twice keeps
     its first position.
     """
-    stats = term_stats(posts)
-    asked = query_words(queries).join(stats, "token")
-    heads = posting_heads(posts, limit)
-    reads = asked.join(heads, "token")
+    asked = query_words(queries).join(index.terms, "token")
+    # A list longer than the budget can never be read past it, so its head is enough.
+    reads = asked.join(posting_heads(index.postings, limit), "token")
     w = Window.partitionBy("query_id").orderBy("df", "token", "path")
     reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= limit)
     if allowed is not None:
         reads = reads.join(allowed, ["query_id", "path"], "left_semi")
-    first = reads.groupBy("query_id", "path").agg(F.min("read").cast("long").alias("first_read"))
-    return first
+    return reads.groupBy("query_id", "path").agg(F.min("read").cast("long").alias("first_read"))
 
 
 def fill_candidates(recalled: DataFrame, queries: DataFrame, pages: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
@@ -300,31 +332,39 @@ def fill_candidates(recalled: DataFrame, queries: DataFrame, pages: DataFrame, l
     return top_per_group(both, ["query_id"], [F.asc("first_read")], limit, "position")
 
 
-def score_candidates(posts: DataFrame, lengths: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """BM25 of each (query, candidate) pair; popular documents are spread over salted buckets."""
-    stats = corpus_stats(lengths)
-    words = query_words(queries).join(term_stats(posts), "token")
+def candidate_words(index: PageIndex, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, path, token, df, tf) for every query word a candidate holds.
+
+    A popular document may be a candidate of a third of all queries, so the join is salted.
+    """
+    words = query_words(queries).join(index.terms, "token")
     # Each query's words travel as one array (bounded by the query text) to its candidates.
     packed = words.groupBy("query_id").agg(F.collect_list(F.struct("token", "df")).alias("words"))
     pairs = candidates.select("query_id", "path").join(packed, "query_id")
     pairs = pairs.select("query_id", "path", F.explode("words").alias("w")).select("query_id", "path", "w.token", "w.df")
-    wanted = posts.join(candidates.select("path").distinct(), "path", "left_semi").join(lengths, "path")
-    matched = salted_join(pairs, wanted, ["path", "token"], ["query_id"])
-    return (
-        matched.withColumn(
-            "part",
-            bm25_expr(stats.select("n").scalar(), F.col("df"), F.col("tf"), F.col("dl"), stats.select("avgdl").scalar()),
-        )
-        .groupBy("query_id", "path")
-        .agg(F.sum("part").alias("score"))
+    wanted = index.postings.join(candidates.select("path").distinct(), "path", "left_semi")
+    return salted_join(pairs, wanted, ["path", "token"], ["query_id"])
+
+
+def score_candidates(index: PageIndex, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """BM25 of each (query, candidate) pair."""
+    n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
+    matched = salted_join(candidate_words(index, queries, candidates), index.lengths, ["path"], ["query_id", "token"])
+    part = bm25_expr(n, F.col("df"), F.col("tf"), F.col("dl"), avgdl)
+    return matched.groupBy("query_id", "path").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+
+
+def score_overlap(index: PageIndex, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Number of distinct query words each candidate holds."""
+    return candidate_words(index, queries, candidates).groupBy("query_id", "path").agg(
+        F.count("*").cast("double").alias("score")
     )
 
 
-def search_many(pages: DataFrame, queries: DataFrame, top_k: int = 8, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+def search_many(index: PageIndex, queries: DataFrame, top_k: int = 8, limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """Serve a table of queries (query_id, text): bounded candidates, BM25, top ``top_k`` each."""
-    posts, lengths = postings(pages), doc_lengths(pages)
-    recalled = bounded_candidates(posts, queries, limit)
-    scored = score_candidates(posts, lengths, queries, fill_candidates(recalled, queries, pages, limit))
+    recalled = bounded_candidates(index, queries, limit)
+    scored = score_candidates(index, queries, fill_candidates(recalled, queries, index.pages, limit))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("path")], top_k)
 
 
@@ -338,15 +378,5 @@ def fuse_many(channels: dict[str, DataFrame], keys: list[str], top_k: int, weigh
             *keys, "path", (F.lit(weights[name]) / (RRF_OFFSET + F.row_number().over(w))).alias("part")
         )
         fused = part if fused is None else fused.unionByName(part)
-    total = fused.groupBy(*keys, "path").agg(F.sum("part").alias("score"))
+    total = fused.groupBy(*keys, "path").agg(F.round(F.sum("part"), 12).alias("score"))
     return top_per_group(total, keys, [F.desc("score"), F.asc("path")], top_k)
-
-
-def score_overlap(posts: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Number of distinct query words each candidate holds."""
-    packed = query_words(queries).groupBy("query_id").agg(F.collect_list("token").alias("words"))
-    pairs = candidates.select("query_id", "path").join(packed, "query_id")
-    pairs = pairs.select("query_id", "path", F.explode("words").alias("token"))
-    wanted = posts.join(candidates.select("path").distinct(), "path", "left_semi").select("path", "token")
-    matched = salted_join(pairs, wanted, ["path", "token"], ["query_id"])
-    return matched.groupBy("query_id", "path").agg(F.count("*").cast("double").alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("q_search",)
+AREAS = ("q_search", "q_compile")
 
 
 def _registries():

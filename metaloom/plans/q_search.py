@@ -57,9 +57,9 @@ sl AS (SELECT path, slot, sum(0.25::DOUBLE) AS w FROM (SELECT path, 32 + CAST('0
   UNION ALL SELECT path, 3 AS slot FROM elig WHERE false) GROUP BY ALL),
 qs AS (SELECT slot, sum(0.25::DOUBLE) AS qw FROM (SELECT 32 + CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 480 AS slot FROM qw) GROUP BY ALL),
 nr AS (SELECT path, sqrt(sum(w * w)) AS nrm FROM sl GROUP BY ALL),
-dn AS (SELECT path, dot / (nrm * (SELECT sqrt(sum(qw * qw)) FROM qs)) AS score FROM
+dn AS (SELECT path, round(dot / (nrm * (SELECT sqrt(sum(qw * qw)) FROM qs)), 9) AS score FROM
   (SELECT path, sum(w * qw) AS dot FROM sl JOIN qs USING (slot) GROUP BY path) JOIN nr USING (path)
-  WHERE dot / (nrm * (SELECT sqrt(sum(qw * qw)) FROM qs)) >= 0.25),
+  WHERE round(dot / (nrm * (SELECT sqrt(sum(qw * qw)) FROM qs)), 9) >= 0.25),
 ch AS (SELECT 'exact' AS channel, 3.0::DOUBLE AS weight, * FROM ex UNION ALL SELECT 'bm25', 1.0::DOUBLE, * FROM bm UNION ALL SELECT 'facet', 0.25::DOUBLE, * FROM fc
   UNION ALL SELECT 'dense', 1.0::DOUBLE, * FROM dn),
 rk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(score, 9) DESC, path) AS r FROM ch)"""
@@ -143,12 +143,12 @@ tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @R.query("bounded_candidates", f"WITH {BOUNDED_SQL} SELECT query_id, path, first_read FROM rc")
 def bounded_candidates(spark, sf):
-    return S.bounded_candidates(S.postings(pages(spark, sf)), query_set(spark, sf))
+    return S.bounded_candidates(S.build_index(pages(spark, sf)), query_set(spark, sf))
 
 
 @R.query("bm25_multi_query", f"WITH {SCORED_SQL} SELECT query_id, path, round(score, 6) AS score, rank FROM tp WHERE rank <= 8")
 def bm25_multi_query(spark, sf):
-    return S.search_many(pages(spark, sf), query_set(spark, sf)).withColumn("score", F.round("score", 6))
+    return S.search_many(S.build_index(pages(spark, sf)), query_set(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @R.query(
@@ -163,11 +163,11 @@ def bm25_multi_query(spark, sf):
 )
 def rrf_multi_query(spark, sf):
     pg, queries = pages(spark, sf), query_set(spark, sf)
-    posts, lengths = S.postings(pg), S.doc_lengths(pg)
-    cands = S.fill_candidates(S.bounded_candidates(posts, queries), queries, pg)
-    bm = S.score_candidates(posts, lengths, queries, cands).withColumn("score", F.round("score", 9))
-    lead = S.indexable(pg).withColumn("l1", F.lit("")).withColumn("name", F.lit(""))
-    short = S.score_overlap(S.postings(lead), queries, cands)
+    index = S.build_index(pg)
+    cands = S.fill_candidates(S.bounded_candidates(index, queries), queries, pg)
+    bm = S.score_candidates(index, queries, cands)
+    lead = pg.withColumn("l1", F.lit("")).withColumn("name", F.lit(""))
+    short = S.score_overlap(S.build_index(lead), queries, cands)
     fused = S.fuse_many({"bm25": bm, "facet": short}, ["query_id"], 5)
     return fused.select("query_id", "path", F.round("score", 8).alias("score"))
 
@@ -180,7 +180,7 @@ def seen_anti_join(spark, sf):
     from .tables import table
 
     seen = table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("data://documents/"), "doc_id").alias("path"))
-    return S.search_many(pages(spark, sf), query_set(spark, sf)).select("query_id", "path", "rank").join(seen, "path", "left_anti")
+    return S.search_many(S.build_index(pages(spark, sf)), query_set(spark, sf)).select("query_id", "path", "rank").join(seen, "path", "left_anti")
 
 
 @R.query(
@@ -191,5 +191,5 @@ def seen_anti_join(spark, sf):
 )
 def diversity_cap_select(spark, sf):
     pg = pages(spark, sf)
-    hits = S.search_many(pg, query_set(spark, sf), top_k=20).join(pg.select("path", "context_type"), "path")
+    hits = S.search_many(S.build_index(pg), query_set(spark, sf), top_k=20).join(pg.select("path", "context_type"), "path")
     return top_per_group(hits, ["query_id", "context_type"], [F.asc("rank")], 2, "r").select("query_id", "path", "context_type")

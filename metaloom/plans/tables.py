@@ -120,7 +120,8 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed references: part -> supplier by name (per distinct line pair) and customer -> nation by name.
 
     Names are written in another case and spacing than the target's; every eleventh
-    part-supplier pair names something that does not exist; every fifth is only a proposal.
+    part-supplier pair names something that does not exist; every fifth is only a proposal;
+    furniture customers give no location.
     """
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     supplied = li.select(
@@ -130,7 +131,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("physical-model").alias("target_type"),
         F.when((F.col("l_partkey") + F.col("l_suppkey")) % 5 == 0, "CANDIDATE").otherwise("UNRESOLVED").alias("status"),
     )
-    located = table(spark, sf_dir, "customer").select(
+    located = table(spark, sf_dir, "customer").where("c_mktsegment <> 'FURNITURE'").select(
         F.concat(F.lit("data://business-objects/"), "c_custkey").alias("source"), F.lit("part_of").alias("relation"),
         F.concat(F.lit("nation-"), "c_nationkey").alias("raw_target"), F.lit("topic").alias("target_type"),
         F.lit("UNRESOLVED").alias("status"),
@@ -144,7 +145,7 @@ rf AS (
     CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 'missing ' || l_suppkey ELSE 'SUPPLIER # ' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') END AS raw_target,
     'physical-model' AS target_type, CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN 'CANDIDATE' ELSE 'UNRESOLVED' END AS status
   FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
-  UNION ALL SELECT 'data://business-objects/' || c_custkey, 'part_of', 'nation-' || c_nationkey, 'topic', 'UNRESOLVED' FROM customer)"""
+  UNION ALL SELECT 'data://business-objects/' || c_custkey, 'part_of', 'nation-' || c_nationkey, 'topic', 'UNRESOLVED' FROM customer WHERE c_mktsegment <> 'FURNITURE')"""
 
 NORM_SQL = r"regexp_replace(lower(trim({0})), '[\s_\-:/（）()]+', '', 'g')"
 

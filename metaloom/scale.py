@@ -3,12 +3,15 @@
 * ``maybe_broadcast`` hints a broadcast only after checking the optimizer's size bound.
 * ``salted_join`` splits hot join keys over many tasks and keeps every row.
 * ``global_rank`` ranks rows inside arbitrarily large groups without putting a group in one task.
-* ``cut_lineage`` checkpoints to the shared folder the session names.
+* ``cut_lineage`` writes an intermediate table to the shared folder the session names.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +25,8 @@ SALTS = 16
 def estimated_bytes(df: DataFrame) -> int:
     """Upper-bound size estimate of the optimized plan (no job is run)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    size = stats.sizeInBytes()
+    return int(size) if isinstance(size, int) else 1 << 62
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -56,26 +60,28 @@ def salted_join(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; make a local one only in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", "")
+    """Shared folder for written intermediates: use the cluster's shared checkpoint folder; make a local one only in local mode."""
+    configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="metaloom-checkpoint-")
-    sc.setCheckpointDir(local)
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    The result survives the loss of any executor, later reads prune columns, and its real
+    file size (not a multiplied-up estimate) drives later broadcast decisions.
+    """
+    spark = df.sparkSession
+    target = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def global_rank(
