@@ -4,40 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..constants import ARBITRATION, BRANCH_CANDIDATE_LIMIT, BRANCH_K, CANDIDATE_LIMIT, CHANNEL_WEIGHTS, ENTITY_CANDIDATE_K, RRF_OFFSET, VIEWS
+from ..constants import ARBITRATION, BRANCH_CANDIDATE_LIMIT, BRANCH_K, CANDIDATE_LIMIT, ENTITY_CANDIDATE_K
+from ..functions import text as T
 from ..scale import cut_lineage, salted_join, top_per_group
 from . import search as S
 from .mentions import resolve_mentions
 
 
-def rank_branches(queries: DataFrame, branches: DataFrame, views: list[str] | None = None, top_k: int = 9) -> DataFrame:
+def branch_postings(branches: DataFrame) -> DataFrame:
+    toks = S.indexable(branches).select("view", "path", F.explode(T.tokens(S.index_text())).alias("token"))
+    return cut_lineage(toks.groupBy("view", "path", "token").agg(F.count("*").alias("tf")))
+
+
+def rank_branches(queries: DataFrame, branches: DataFrame, top_k: int = 9, limit: int = BRANCH_CANDIDATE_LIMIT) -> DataFrame:
     """(query_id, view, path, score, rank): branch ranking inside each view.
 
-    ``branches``: (view, path, name, canonical_id, l0, l1, identity_status, quality). Every view
-    is its own index, so term statistics never mix. A branch that matches by view only is
-    dropped; the score is damped by the share of supported placements.
+    ``branches``: (view, path, name, canonical_id, l0, l1, identity_status, quality). Term
+    statistics are kept per view, so views never mix. Each (query, view) pair reads at most
+    ``limit`` postings; a branch that matches by view only is dropped; the score is damped by
+    the share of supported placements.
     """
-    out = None
-    for view in views or list(VIEWS):
-        pages = branches.where(F.col("view") == view)
-        index = S.build_index(pages)
-        recalled = S.bounded_candidates(index, queries, BRANCH_CANDIDATE_LIMIT)
-        cands = cut_lineage(S.fill_candidates(recalled, queries, pages, BRANCH_CANDIDATE_LIMIT).select("query_id", "path"))
-        bm = S.score_candidates(index, queries, cands)
-        keys = pages.select(F.lower(F.trim("name")).alias("key"), F.lit("page").alias("source"), F.col("path").alias("target"), F.lit("branch").alias("kind"))
-        named = resolve_mentions(queries, keys).select("query_id", F.col("target").alias("path")).distinct()
-        exact = cands.join(named, ["query_id", "path"], "left_semi").withColumn("score", F.lit(1.0))
-        facet = cands.withColumn("score", F.lit(1.0))
-        part = S.fuse_many({"exact": exact, "bm25": bm, "facet": facet}, ["query_id"], BRANCH_CANDIDATE_LIMIT).drop("rank")
-        relevant = bm.where("score > 0").select("query_id", "path").unionByName(exact.select("query_id", "path")).distinct()
-        part = part.join(relevant, ["query_id", "path"], "left_semi").withColumn("view", F.lit(view))
-        out = part if out is None else out.unionByName(part)
+    pair = ["query_id", "view"]
+    posts = branch_postings(branches)
+    lengths = posts.groupBy("view", "path").agg(F.sum("tf").alias("dl"))
+    stats = lengths.groupBy("view").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row per view
+    terms = posts.groupBy("view", "token").agg(F.count("*").alias("df"))
+    words = cut_lineage(S.query_words(queries).join(terms, "token"))
+    heads = top_per_group(posts.select("view", "token", "path"), ["view", "token"], [F.asc("path")], limit, "pos").drop("pos")
+    reads = words.join(heads, ["view", "token"])
+    w = Window.partitionBy(*pair).orderBy("df", "token", "path")
+    reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= limit)
+    recalled = reads.groupBy(*pair, "path").agg(F.min("read").alias("first"))
+    first_paths = top_per_group(lengths.select("view", "path"), ["view"], [F.asc("path")], limit, "pos")
+    filler = first_paths.groupBy("view").agg(F.collect_list(F.struct("pos", "path")).alias("filler"))  # at most ``limit`` each
+    extra = words.select(*pair).distinct().join(F.broadcast(filler), "view").select(*pair, F.explode("filler").alias("f"))
+    extra = extra.select(*pair, F.col("f.path").alias("path"), (F.col("f.pos") + limit).cast("int").alias("first"))
+    both = recalled.unionByName(extra).groupBy(*pair, "path").agg(F.min("first").alias("first"))
+    cands = cut_lineage(top_per_group(both, pair, [F.asc("first")], limit, "n").select(*pair, "path"))
+
+    packed = words.groupBy(*pair).agg(F.collect_list(F.struct("token", "df")).alias("words"))  # bounded by the query text
+    asked = cands.join(packed, pair).select(*pair, "path", F.explode("words").alias("w")).select(*pair, "path", "w.token", "w.df")
+    hit = salted_join(asked, posts, ["view", "path", "token"], ["query_id"])
+    hit = salted_join(hit, lengths, ["view", "path"], ["query_id"]).join(F.broadcast(stats), "view")
+    part = S.bm25_expr(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    bm = cut_lineage(hit.groupBy(*pair, "path").agg(F.round(F.sum(part), S.SCORE_DIGITS).alias("score")))
+    keys = branches.select(T.fold(F.col("name")).alias("key"), F.col("view").alias("source"), F.col("path").alias("target"), F.lit("branch").alias("kind"))
+    named = resolve_mentions(queries, keys).select("query_id", F.col("source").alias("view"), F.col("target").alias("path"))
+    exact = cands.join(named.distinct(), [*pair, "path"], "left_semi").withColumn("score", F.lit(1.0))
+    facet = cands.withColumn("score", F.lit(1.0))
+    fused = S.fuse_many({"exact": exact, "bm25": bm, "facet": facet}, pair, limit).drop("rank")
+    relevant = bm.where("score > 0").select(*pair, "path").unionByName(exact.select(*pair, "path")).distinct()
+    fused = fused.join(relevant, [*pair, "path"], "left_semi")
     quality = branches.select("view", "path", "quality")
-    scored = salted_join(out, quality, ["view", "path"], ["query_id"]).withColumn(
-        "score", F.round(F.col("score") * (0.9 + 0.1 * F.col("quality")), 12)
-    )
-    return top_per_group(scored.drop("quality"), ["query_id", "view"], [F.desc("score"), F.asc("path")], top_k)
+    scored = salted_join(fused, quality, ["view", "path"], ["query_id"]).withColumn("score", F.round(F.col("score") * (0.9 + 0.1 * F.col("quality")), 12))
+    return top_per_group(scored.drop("quality"), pair, [F.desc("score"), F.asc("path")], top_k)
 
 
 def arbitrate_views(ranked: DataFrame, initial: DataFrame) -> DataFrame:
@@ -69,7 +91,7 @@ def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, m
     words = S.query_words(asked).join(index.terms, "token")
     heads = S.posting_heads(index.postings, CANDIDATE_LIMIT)
     reads = words.join(heads, "token")
-    w = S.Window.partitionBy("query_id").orderBy("df", "token", "path")
+    w = Window.partitionBy("query_id").orderBy("df", "token", "path")
     reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= CANDIDATE_LIMIT)
     # Membership is tested per read (at most the budget), never listed per branch.
     owner = pairs.select(F.col("pair_id").alias("query_id"), "branch")

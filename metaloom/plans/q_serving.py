@@ -200,7 +200,7 @@ def branch_ranking(spark, sf):
 @R.query(
     "view_arbitration",
     f"""WITH {BRANCH_SQL}, ev AS (SELECT query_id, view, round((max(score) * 0.7::DOUBLE + avg(score) * 0.3::DOUBLE) * CASE WHEN view = 'analysis' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 12) AS evidence
-      FROM rb WHERE rank <= 3 GROUP BY ALL), kp AS (SELECT *, max(evidence) OVER (PARTITION BY query_id) AS best FROM ev)
+      FROM rb WHERE rank <= 3 GROUP BY query_id, view), kp AS (SELECT *, max(evidence) OVER (PARTITION BY query_id) AS best FROM ev)
     SELECT query_id, view, round(evidence, 8) AS evidence, row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC, view) AS position FROM kp WHERE evidence >= best * 0.8::DOUBLE QUALIFY position <= 2""",
 )
 def view_arbitration(spark, sf):
@@ -221,7 +221,7 @@ def view_arbitration(spark, sf):
     f1 AS (SELECT *, CASE WHEN r1 IS NULL THEN s0 WHEN s0 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r1) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r1), s0) + base * 0.2::DOUBLE END AS s1 FROM k),
     f2 AS (SELECT *, CASE WHEN r2 IS NULL THEN s1 WHEN s1 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r2) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r2), s1) + base * 0.2::DOUBLE END AS s2 FROM f1),
     f3 AS (SELECT *, CASE WHEN r3 IS NULL THEN s2 WHEN s2 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r3) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r3), s2) + base * 0.2::DOUBLE END AS s3 FROM f2)
-    SELECT query_id, path, round(round(s3, 12), 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s3, 12) DESC, path) AS rank FROM f3 QUALIFY rank <= 50""",
+    SELECT query_id, path, round(round(s3, 12), 11) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s3, 12) DESC, path) AS rank FROM f3 QUALIFY rank <= 50""",
 )
 def branch_discovery(spark, sf):
     from ..scale import global_rank
@@ -236,7 +236,7 @@ def branch_discovery(spark, sf):
         "query_id", rank.alias("branch_rank"), F.col("o_orderkey").cast("string").alias("path")
     )
     hits = global_rank(hits, ["query_id", "branch_rank"], [F.asc("path")])
-    return BR.discover(seeds, hits).withColumn("score", F.round("score", 8))
+    return BR.discover(seeds, hits).withColumn("score", F.round("score", 11))
 
 
 @R.query("greedy_rerank")
