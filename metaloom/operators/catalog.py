@@ -125,7 +125,8 @@ def link_similar(requirements: DataFrame, models: DataFrame, top: int = 8) -> Da
     score = F.col("shared") / F.col("terms")
     return best.select(
         F.col("id").alias("requirement"), F.col("other").alias("model"), F.round(score, 6).alias("score"),
-        F.round(0.5 + F.least(score, F.lit(1.0)) * 0.3, 2).alias("confidence"), "rank",
+        # Halves are decided on the binary value, as two-digit formatting of a double does.
+        (F.floor((0.5 + F.least(score, F.lit(1.0)) * 0.3) * 100 + 0.5) / 100).alias("confidence"), "rank",
     )
 
 

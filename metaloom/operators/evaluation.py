@@ -48,9 +48,9 @@ def recall_at(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """(k, found, expected, recall) over all queries: ranked (query_id, item, rank), gold (query_id, item)."""
     hits = ranked.join(gold.distinct(), ["query_id", "item"], "left_semi")
     expected = gold.distinct().agg(F.count("*").alias("n")).scalar()
-    rows = hits.select(F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("rank") <= k)).alias("k"))
-    rows = rows.groupBy("k").agg(F.count("*").alias("found"))
-    return rows.select(F.col("k").cast("long").alias("k"), "found", expected.alias("expected"), ratio(F.col("found"), expected).alias("recall"))
+    counts = hits.agg(*[F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("found")) for k in ks])).alias("r")).select("r.*")
+    return rows.select("k", "found", expected.alias("expected"), ratio(F.col("found"), expected).alias("recall"))
 
 
 def grouped_report(rows: DataFrame, dims: list[str], value: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("q_search", "q_compile", "q_graph", "q_serving", "q_quality")
+AREAS = ("q_search", "q_compile", "q_graph", "q_serving", "q_quality", "q_catalog", "q_eval", "q_sources")
 
 
 def _registries():
