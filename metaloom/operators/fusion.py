@@ -100,7 +100,7 @@ def scalar_conflicts(fragments: DataFrame, states: DataFrame, authority=SECTION_
     # At most one state per rank, so the packed history is a handful of entries.
     history = states.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*STATE))).alias("history"))
     seen = salted_join(rows, history, KEYS, ["seq"])
-    held = F.element_at(F.filter("history", lambda s: s["seq"] < F.col("seq")), -1)
+    held = F.try_element_at(F.filter("history", lambda s: s["seq"] < F.col("seq")), F.lit(-1))
     taken = F.exists("history", lambda s: s["seq"] == F.col("seq"))
     seen = seen.where("seq > history[0].seq").withColumn("held", held).withColumn("taken", taken)
     seen = seen.where("NOT value <=> held.value")

@@ -13,6 +13,7 @@ from ..operators import elements as E
 from ..operators import mentions as M
 from ..operators import planning as P
 from ..operators import search as S
+from ..scale import global_rank, spread, top_per_group
 from .registry import Registry
 from .tables import CONTEXTS_SQL, contexts, pages, query_set, table
 
@@ -57,8 +58,6 @@ EQ = "eq AS (SELECT row_number() OVER (ORDER BY p_name) AS query_id, p_name AS t
 
 def name_queries(spark, sf):
     """Every distinct part name is one query."""
-    from ..scale import global_rank
-
     names = table(spark, sf, "part").select(F.col("p_name").alias("text")).distinct().withColumn("g", F.lit(0))
     return global_rank(names, ["g"], [F.asc("text")], "query_id").select("query_id", "text")
 
@@ -108,7 +107,7 @@ def element_expand(spark, sf):
     UNION ALL SELECT query_id, key, source, target, 'exact_alias' FROM q JOIN ks ON NOT sym AND regexp_matches(q, '(^|[^a-z0-9_])' || regexp_escape(key) || '($|[^a-z0-9_])')""",
 )
 def phrase_mentions(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     text = F.concat(F.lit("Compare "), "p_brand", F.lit(" "), "p_name", F.lit(', "'), "p_type", F.lit('" in NATION_'), F.col("p_size") % 25)
     queries = p.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
@@ -128,7 +127,7 @@ def phrase_mentions(spark, sf):
 )
 def exact_name_match(spark, sf):
     """Every order's note is a query naming its customer; names hold '#', so they match as phrases."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     text = F.concat(F.lit("note for CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(", priority "), "o_orderpriority")
     queries = o.select(F.col("o_orderkey").alias("query_id"), text.alias("text"))
     cx = S.indexable(contexts(spark, sf)).where("context_type = 'business-object'")
@@ -143,8 +142,6 @@ def branch_pages(spark, sf):
     out = None
     for view, key, label in (("domain", "p_type", "type"), ("analysis", "p_brand", "brand"), ("asset", "p_size", "size")):
         counted = p.groupBy(F.col(key).cast("string").alias("k"), "p_name").agg(F.count("*").alias("c"), F.count_if(F.col("p_retailprice") > 950).alias("good"))
-        from ..scale import top_per_group
-
         top = top_per_group(counted, ["k"], [F.desc("c"), F.asc("p_name")], 12, "r")
         texts = top.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p_name"))), lambda x: x["p_name"]), ", ").alias("l1"))
         share = counted.groupBy("k").agg(F.sum("good").alias("good"), F.sum("c").alias("c"))
@@ -184,8 +181,6 @@ rb AS (SELECT *, row_number() OVER (PARTITION BY query_id, view ORDER BY score D
 
 
 def branch_queries(spark, sf):
-    from ..scale import global_rank
-
     tail = F.when(F.col("p_size") < 25, F.lower("p_brand")).otherwise(F.concat(F.lit("type "), F.lower("p_type")))
     names = table(spark, sf, "part").select(F.concat("p_name", F.lit(" in "), tail).alias("text")).distinct().withColumn("g", F.lit(0))
     return global_rank(names, ["g"], [F.asc("text")], "query_id").select("query_id", "text")
@@ -224,8 +219,6 @@ def view_arbitration(spark, sf):
     SELECT query_id, path, round(round(s3, 12), 11) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s3, 12) DESC, path) AS rank FROM f3 QUALIFY rank <= 50""",
 )
 def branch_discovery(spark, sf):
-    from ..scale import global_rank
-
     o = table(spark, sf, "orders")
     seeds = o.where("o_orderstatus = 'F'").select(
         F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("path"), F.round(F.col("o_totalprice") / 1000000, 6).alias("score")

@@ -41,6 +41,16 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a plain file scan that has fewer splits than the cluster has cores.
+
+    Only for scans feeding heavy per-row work. Large tables already have more splits than
+    cores and are returned untouched, so no shuffle is added there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
