@@ -115,13 +115,13 @@ def similarity_link_topk(spark, sf):
 
 @R.query(
     "edge_evidence",
-    """WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS edge_id, 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, unnest(['ev:' || l_returnflag, 'ev:' || l_linestatus]) AS evidence_id FROM lineitem WHERE l_quantity > 40)
+    """WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS edge_id, 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, unnest(['ev:' || l_returnflag, 'ev:' || l_linestatus]) AS evidence_id FROM lineitem)
     SELECT e.edge_id, src, dst, evidence_id, note, p_name AS src_name, s_name AS dst_name FROM e JOIN (SELECT 'ev:' || f AS evidence_id, 'flag ' || f AS note FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem)) USING (evidence_id) JOIN part ON src = 'part:' || p_partkey JOIN supplier ON dst = 'supplier:' || s_suppkey""",
 )
 def edge_evidence(spark, sf):
     li = table(spark, sf, "lineitem")
     refs = F.array(F.concat(F.lit("ev:"), "l_returnflag"), F.concat(F.lit("ev:"), "l_linestatus"))
-    e = li.where("l_quantity > 40").select(
+    e = li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("edge_id"), F.concat(F.lit("part:"), "l_partkey").alias("src"),
         F.concat(F.lit("supplier:"), "l_suppkey").alias("dst"), refs.alias("refs"),
     )

@@ -307,12 +307,12 @@ def derivation_cycles(spark, sf):
 
 @R.query(
     "nearby_records",
-    """WITH r AS (SELECT DISTINCT 'r' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '-' || l_suppkey AS evidence_id, 'p' || l_partkey AS s, 's' || l_suppkey AS o FROM lineitem WHERE l_quantity > 49), e AS (SELECT s AS a, o AS b FROM r UNION SELECT o, s FROM r),
+    """WITH r AS (SELECT DISTINCT 'r' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '-' || l_suppkey AS evidence_id, 'p' || l_partkey AS s, 's' || l_suppkey AS o FROM lineitem), e AS (SELECT s AS a, o AS b FROM r UNION SELECT o, s FROM r),
     n0 AS (SELECT DISTINCT 's' || s_suppkey AS anchor, 's' || s_suppkey AS node FROM supplier), n1 AS (SELECT * FROM n0 UNION SELECT anchor, b FROM n0 JOIN e ON a = node), n2 AS (SELECT * FROM n1 UNION SELECT anchor, b FROM n1 JOIN e ON a = node),
     x AS (SELECT DISTINCT anchor, evidence_id FROM n2 JOIN r ON r.s = node OR r.o = node) SELECT anchor, evidence_id FROM x QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY evidence_id) <= 8""",
 )
 def nearby_records(spark, sf):
-    r = table(spark, sf, "lineitem").where("l_quantity > 49").select(
+    r = table(spark, sf, "lineitem").select(
         F.concat(F.lit("r"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("-"), "l_suppkey").alias("evidence_id"), F.concat(F.lit("p"), "l_partkey").alias("subject"), F.concat(F.lit("s"), "l_suppkey").alias("object")
     ).distinct()
     return CB.nearby_records(r, table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
@@ -320,7 +320,7 @@ def nearby_records(spark, sf):
 
 @R.query("path_motifs")
 def path_motifs(spark, sf):
-    r = table(spark, sf, "lineitem").where("l_quantity > 49").select(
+    r = table(spark, sf, "lineitem").select(
         F.concat(F.lit("r"), "l_orderkey", F.lit("-"), "l_partkey").alias("evidence_id"), F.concat(F.lit("o"), "l_orderkey").alias("subject"), F.concat(F.lit("p"), "l_partkey").alias("object")
     ).distinct()
     starts = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))

@@ -257,15 +257,15 @@ def taxonomy_margin(spark, sf):
 
 @R.query(
     "target_ranking",
-    f"""WITH {PAGES_SQL}, so AS (SELECT path AS source, lower(l0) AS t, topic_domain FROM ipg WHERE context_type = 'logical-model' ORDER BY path LIMIT 20),
-    st AS (SELECT DISTINCT source, unnest(regexp_extract_all(t, '[a-z0-9]{{2,}}')) AS term FROM so), tt AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(l0), '[a-z0-9]{{2,}}')) AS term FROM ipg WHERE context_type IN ('metric', 'physical-model')),
+    f"""WITH {PAGES_SQL}, so AS (SELECT path AS source, lower(l1) AS t, topic_domain FROM ipg WHERE context_type = 'logical-model' ORDER BY path LIMIT 20),
+    st AS (SELECT DISTINCT source, unnest(regexp_extract_all(t, '[a-z0-9]{{2,}}')) AS term FROM so), tt AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(l1), '[a-z0-9]{{2,}}')) AS term FROM ipg WHERE context_type IN ('metric', 'physical-model')),
     ov AS (SELECT source, path, least(0.6::DOUBLE, count(*) * 0.06::DOUBLE) AS part FROM st JOIN tt USING (term) GROUP BY ALL),
     fc AS (SELECT source, path, 0.15::DOUBLE AS part FROM so JOIN ipg USING (topic_domain) WHERE context_type IN ('metric', 'physical-model')),
     sc AS (SELECT source, path, round(least(1.0::DOUBLE, sum(part)), 4) AS score FROM (SELECT * FROM ov UNION ALL SELECT * FROM fc) GROUP BY ALL)
     SELECT source, path, context_type, score, row_number() OVER (PARTITION BY source, context_type ORDER BY score DESC, path) AS rank FROM sc JOIN ipg USING (path) QUALIFY rank <= 12""",
 )
 def target_ranking(spark, sf):
-    pg = pages(spark, sf).where("identity_status = 'EXPLICIT'").withColumn("text", F.col("l0"))
+    pg = pages(spark, sf).where("identity_status = 'EXPLICIT'").withColumn("text", F.col("l1"))
     none = spark.createDataFrame([], "path string, name string")
     ranked = N.rank_targets(pg.where("context_type = 'logical-model'"), pg.where("context_type IN ('metric', 'physical-model')"), none, ["topic_domain"], 20)
     return ranked.select("source", "path", "context_type", "score", "rank")
@@ -273,7 +273,7 @@ def target_ranking(spark, sf):
 
 @R.query(
     "proposal_validation",
-    """WITH pr AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS proposal_id, 'p' || l_partkey AS source, CASE l_linestatus WHEN 'F' THEN 'supported_by' ELSE 'uses_metric' END AS relation, 's' || l_suppkey AS target, 1 - l_discount * 5 AS confidence, l_returnflag, l_tax, l_suppkey, l_partkey FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-01-01'),
+    """WITH pr AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS proposal_id, 'p' || l_partkey AS source, CASE l_linestatus WHEN 'F' THEN 'supported_by' ELSE 'uses_metric' END AS relation, 's' || l_suppkey AS target, 1 - l_discount * 5 AS confidence, l_returnflag, l_tax, l_suppkey, l_partkey FROM lineitem),
     al AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS path FROM lineitem WHERE l_quantity > 20), cf AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_quantity > 49)
     SELECT DISTINCT proposal_id, pr.source, relation, pr.target, CASE WHEN al.path IS NULL THEN 'target_not_in_bounded_candidates' WHEN relation = 'uses_metric' THEN 'relation_target_type_mismatch'
       WHEN l_returnflag = 'A' THEN 'source_page_evidence_required' WHEN l_returnflag = 'N' THEN 'target_page_evidence_required' WHEN cf.target IS NOT NULL THEN 'relationship_already_confirmed' WHEN confidence < 0.7 THEN 'below_minimum_confidence' END AS reason
@@ -282,7 +282,7 @@ def target_ranking(spark, sf):
 def proposal_validation(spark, sf):
     li = table(spark, sf, "lineitem")
     src, dst = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
-    late = li.where("l_shipdate > TIMESTAMP '1998-01-01'").withColumn("proposal_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    late = li.withColumn("proposal_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     props = late.select(
         "proposal_id", src.alias("source"), F.when(F.col("l_linestatus") == "F", "supported_by").otherwise("uses_metric").alias("relation"), dst.alias("target"), (1 - F.col("l_discount") * 5).alias("confidence")
     ).distinct()

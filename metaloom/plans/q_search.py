@@ -154,8 +154,7 @@ def bm25_multi_query(spark, sf):
 @R.query(
     "rrf_multi_query",
     f"""WITH {SCORED_SQL},
-    l0 AS (SELECT query_id, path, CAST(count(*) AS DOUBLE) AS score FROM cd JOIN qt USING (query_id)
-      JOIN (SELECT DISTINCT path, unnest(regexp_extract_all(lower(l0), '[a-z0-9_]+')) AS token FROM ipg) USING (path, token) GROUP BY ALL),
+    l0 AS (SELECT query_id, path, CAST(count(*) AS DOUBLE) AS score FROM cd JOIN qt USING (query_id) JOIN post USING (path, token) GROUP BY ALL),
     rk AS (SELECT query_id, path, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path)) AS part FROM sc
       UNION ALL SELECT query_id, path, 0.25::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)) FROM l0),
     fs AS (SELECT query_id, path, sum(part) AS score FROM rk GROUP BY ALL)
@@ -166,9 +165,8 @@ def rrf_multi_query(spark, sf):
     index = S.build_index(pg)
     cands = S.fill_candidates(S.bounded_candidates(index, queries), queries, pg)
     bm = S.score_candidates(index, queries, cands)
-    lead = pg.withColumn("l1", F.lit("")).withColumn("name", F.lit(""))
-    short = S.score_overlap(S.build_index(lead), queries, cands)
-    fused = S.fuse_many({"bm25": bm, "facet": short}, ["query_id"], 5)
+    held = S.score_overlap(index, queries, cands)
+    fused = S.fuse_many({"bm25": bm, "facet": held}, ["query_id"], 5)
     return fused.select("query_id", "path", F.round("score", 8).alias("score"))
 
 
