@@ -68,9 +68,8 @@ def fuzzy_containment(fragments: DataFrame, contexts: DataFrame) -> DataFrame:
     """Same kind, one name inside the other, and at least one equal feature.
 
     ``fragments``: (id, context_type, name, feature, value); ``contexts``: (path, context_type,
-    name, feature, value). Names are matched through their shared leading-part keys: every
-    suffix-start of the longer name is keyed by the shorter name, so no pair is tested unless
-    it truly contains the other or the same feature value is rare.
+    name, feature, value). Containment is an equi-join: every part of a (short) name is a key,
+    together with the kind and the feature value, so no unrelated pair of names is compared.
     """
     f = fragments.withColumn("n", T.normalize(F.col("name"))).where("n <> ''")
     c = contexts.select(
@@ -78,7 +77,6 @@ def fuzzy_containment(fragments: DataFrame, contexts: DataFrame) -> DataFrame:
     ).where("cn <> ''")
 
     def substrings(df: DataFrame, col: str) -> DataFrame:
-        # Lengths that occur on the other side bound the substrings that can match at all.
         span = df.withColumn("_s", F.explode(F.sequence(F.lit(1), F.length(col))))
         span = span.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(col) - F.col("_s") + 1)))
         return span.withColumn("part", F.substring(F.col(col), F.col("_s"), F.col("_n"))).drop("_s", "_n").distinct()
