@@ -33,3 +33,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.token_counts import token_counts
 
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@R.query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.ctph import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
+
+
+@R.query("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+@R.query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.ecoc import identify_languages
+
+    return identify_languages(documents(spark, sf_dir))
