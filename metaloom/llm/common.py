@@ -33,12 +33,15 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.plans.registry import Registry
+from metaloom.scale import ensure_checkpoint_dir
 
 R = Registry()
 
@@ -54,3 +57,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.ecoc import identify_languages
 
     return identify_languages(documents(spark, sf_dir))
+
+
+@R.query("op6_token_id_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.tokenids import read_token_files, write_token_files
+
+    target = f"{ensure_checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), target, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, target).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
