@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.llm.secrets import scan_secrets, scan_sql
 from metaloom.plans.registry import Registry
 from metaloom.scale import ensure_checkpoint_dir
 
@@ -68,3 +69,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, target).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@R.query("op1_secret_scan", scan_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
