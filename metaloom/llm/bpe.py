@@ -42,9 +42,9 @@ class WordCoder:
             if ends:
                 symbols[-1] = last[body[-1]]
             self.joined.update(a << ID_BITS | b for a, b in zip(symbols, symbols[1:]))
-        self.fragments = Memo(self._fragment)
-        self.matches = Memo(self._match)
-        self.words = Memo(self._word)
+        self.fragments = Memo(self._fragment, 100_000)
+        self.matches = Memo(self._match, 60_000)
+        self.words = Memo(self._word, 150_000)
 
     def _fragment(self, symbols: tuple[int, ...]) -> tuple[int, ...]:
         """Merges of one fragment, the lowest rank first and the leftmost of equals."""

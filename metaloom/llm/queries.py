@@ -74,3 +74,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("op1_secret_scan", scan_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
+
+
+@R.query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -37,7 +37,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = {blank: Memo(lambda word, b=blank: self._library([b + word])[0]) for blank in ("", " ")}
+        self.words = {blank: Memo(lambda word, b=blank: self._library([b + word])[0], 200_000) for blank in ("", " ")}
         self.line_feed = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
