@@ -81,3 +81,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.quality import classify
 
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@R.query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.decontaminate import mark_contaminated
+
+    return mark_contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
