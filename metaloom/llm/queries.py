@@ -88,3 +88,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.decontaminate import mark_contaminated
 
     return mark_contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@R.query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.lines import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")

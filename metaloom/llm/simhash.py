@@ -145,3 +145,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.select("fp", "root").join(maybe_broadcast(firsts), "root").select("fp", "component_id")
     return salted_join(prints, cut_lineage(named), ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first_copies(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose id names their component; rows that repeat such a row stay with it.
+
+    Only the ids that go are joined to the table, by a broadcast while their size allows it.
+    """
+    linked = near_duplicates(docs, width, id_col, text_col)
+    gone = cut_lineage(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(maybe_broadcast(gone), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
