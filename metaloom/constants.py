@@ -261,3 +261,6 @@ TOPIC_RULES = (
 TOPIC_RULE_CONFIDENCE = 0.65
 KNOWN_TECHNOLOGY = ("LTE", "5G", "NR", "VoLTE", "VoNR", "IMS", "EPC")
 LAYER_WORDS = ("ODS", "SDL", "ODI", "ADS", "DWD", "DWS")
+
+# Fixed: sections disclosed last when an expansion is trimmed.
+LATE_SECTIONS = ("hierarchy", "related", "candidates", "conflicts", "hierarchy_provenance")

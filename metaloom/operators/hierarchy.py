@@ -238,32 +238,30 @@ def arbitrate(edges: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- closure and navigation
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(view, ancestor, node, depth) over active edges; each pair once, with its least depth.
+def closure(edges: DataFrame) -> DataFrame:
+    """(view, ancestor, node, depth) over active edges; each pair once, with its least depth, for hierarchies of any depth.
 
-    Semi-naive growth: every round extends only the newest pairs and drops known ones, so
-    cycles end the loop. Rounds stop when nothing is new; ``max_depth`` guards broken input
-    and raises rather than dropping pairs.
+    The reach doubles each round: a pair further apart than the reach passes a node exactly
+    one reach below its ancestor, so only pairs of that depth meet the known ones. Known
+    pairs are dropped, so cycles end the loop.
     """
-    base = cut_lineage(edges.where("active").select("view", F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct())
-    known = base.withColumn("depth", F.lit(1).cast("long"))
-    front = known
-    for depth in range(2, max_depth + 2):
-        up = base.select("view", F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
-        step = salted_join(front.select("view", "ancestor", "node"), up, ["view", "ancestor"], ["node"])
-        new = step.select("view", F.col("above").alias("ancestor"), "node").where("ancestor <> node").distinct()
-        new = new.join(known.select("view", "ancestor", "node"), ["view", "ancestor", "node"], "left_anti")
-        front = cut_lineage(new.withColumn("depth", F.lit(depth).cast("long")))
-        if front.limit(1).count() == 0:
+    base = edges.where("active").select("view", F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct()
+    known, reach = cut_lineage(base.withColumn("depth", F.lit(1).cast("long"))), 1
+    while True:
+        far = known.where(F.col("depth") == reach).select("view", F.col("ancestor").alias("top"), F.col("node").alias("ancestor"))
+        step = salted_join(known, far, ["view", "ancestor"], ["node"]).where("top <> node")
+        new = step.groupBy("view", F.col("top").alias("ancestor"), "node").agg((F.min("depth") + reach).alias("depth"))
+        new = cut_lineage(new.join(known.select("view", "ancestor", "node"), ["view", "ancestor", "node"], "left_anti"))
+        if new.isEmpty():
             return known
-        known = known.unionByName(front)
-    raise ValueError("hierarchy deeper than the limit; check for cycles")
+        known, reach = known.unionByName(new), reach * 2
 
 
-def breadcrumbs(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def breadcrumbs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(view, node, trail, depth): names from the top down, following one best parent per step.
 
-    Virtual parents are preferred, then the smaller path.
+    Virtual parents are preferred, then the smaller path. Trails climb until they end or meet
+    themselves, however deep the hierarchy is.
     """
     virtual = nodes.select(F.col("path").alias("parent"), "virtual")
     active = edges.where("active").select(*EDGE)
@@ -279,7 +277,7 @@ def breadcrumbs(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> Data
     )
     trail = cut_lineage(trail)
     finished = None
-    for _ in range(max_depth):
+    while True:
         up = best.select("view", F.col("child").alias("at"), "parent")
         step = salted_join(trail, up, ["view", "at"], ["node"], how="left")
         stop = F.col("parent").isNull() | F.array_contains("seen", F.col("parent"))
@@ -310,21 +308,18 @@ def classification_status(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("path", status.alias("status"), F.array_join(F.array_sort(missing), ",").alias("missing_views"))
 
 
-def cyclic_nodes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes left after stripping, round by round, all nodes without parents: they lie on or under a cycle.
 
-    Candidate edges count too.
+    Candidate edges count too. Each round takes away at least one edge or is the last.
     """
     left = cut_lineage(edges.select(*EDGE).where("parent <> child").distinct())
-    for _ in range(max_rounds):
-        tops = left.select("view", F.col("parent").alias("node")).distinct().join(
-            left.select("view", F.col("child").alias("node")).distinct(), ["view", "node"], "left_anti"
-        )
-        kept = cut_lineage(left.join(tops.withColumnRenamed("node", "parent"), ["view", "parent"], "left_anti"))
-        if kept.count() == left.count():
+    while True:
+        held = left.select("view", F.col("child").alias("parent")).distinct()
+        kept = cut_lineage(left.join(held, ["view", "parent"], "left_semi"))
+        if left.join(kept, ["view", "parent", "child"], "left_anti").isEmpty():
             return kept.select("view", F.col("child").alias("node")).distinct()
         left = kept
-    raise ValueError("cycle check did not settle; the hierarchy is deeper than expected")
 
 
 def integrity_issues(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +24,7 @@ from ..constants import (
 )
 from ..functions import text as T
 from ..functions.vectors import concept_slots
-from ..scale import cut_lineage, global_rank, salted_join, top_per_group
+from ..scale import cut_lineage, global_rank, maybe_broadcast, salted_join, top_per_group
 
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_:.][A-Za-z0-9]+)+")
 
@@ -118,14 +118,8 @@ def eligible_pages(pages: DataFrame, types=None, scope=None) -> DataFrame:
 
 
 def query_tokens(query: str) -> list[str]:
-    """The same tokenizer for one query string given by the caller."""
-    out: list[str] = []
-    for run in re.findall(r"[a-z0-9_]+|[一-鿿]+", query.lower()):
-        if len(run) > 1 and "一" <= run[0] <= "鿿":
-            out.extend(run[i : i + 2] for i in range(len(run) - 1))
-        else:
-            out.append(run)
-    return out
+    """Tokens of one query string given by the caller, by the tokenizer of the pages."""
+    return SparkSession.active().range(1).select(T.tokens(F.lit(query))).first()[0]
 
 
 def named_phrases(query: str) -> list[str]:
@@ -361,10 +355,36 @@ def score_overlap(index: PageIndex, queries: DataFrame, candidates: DataFrame) -
     )
 
 
-def search_many(index: PageIndex, queries: DataFrame, top_k: int = 8, limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Serve a table of queries (query_id, text): bounded candidates, BM25, top ``top_k`` each."""
-    recalled = bounded_candidates(index, queries, limit)
-    scored = score_candidates(index, queries, fill_candidates(recalled, queries, index.pages, limit))
+def score_all(index: PageIndex, queries: DataFrame) -> DataFrame:
+    """BM25 of every (query, page) pair that shares a word: exact, without a read budget.
+
+    Only postings of the queries' words are read; a word of a third of all pages meets its
+    queries in salted buckets, and each task adds up its parts before the shuffle.
+    """
+    n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
+    asked = query_words(queries).join(index.terms, "token")
+    held = index.postings.join(maybe_broadcast(asked.select("token").distinct()), "token", "left_semi")
+    held = salted_join(held, index.lengths, ["path"], ["token"])
+    part = bm25_expr(n, F.col("df"), F.col("tf"), F.col("dl"), avgdl)
+    return salted_join(held, asked, ["token"], ["path"]).groupBy("query_id", "path").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+
+
+def overlap_all(index: PageIndex, queries: DataFrame) -> DataFrame:
+    """Number of distinct query words every page holds that holds any."""
+    pairs = salted_join(index.postings.select("token", "path"), query_words(queries), ["token"], ["path"])
+    return pairs.groupBy("query_id", "path").agg(F.count("*").cast("double").alias("score"))
+
+
+def search_many(index: PageIndex, queries: DataFrame, top_k: int = 8, limit: int | None = None) -> DataFrame:
+    """Serve a table of queries (query_id, text): BM25, top ``top_k`` each.
+
+    Without ``limit`` every page that shares a word with a query is scored. With it a query
+    reads at most ``limit`` postings, rare words first, and short lists are topped up.
+    """
+    if limit is None:
+        scored = score_all(index, queries)
+    else:
+        scored = score_candidates(index, queries, fill_candidates(bounded_candidates(index, queries, limit), queries, index.pages, limit))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("path")], top_k)
 
 

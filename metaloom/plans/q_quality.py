@@ -257,7 +257,7 @@ def taxonomy_margin(spark, sf):
 
 @R.query(
     "target_ranking",
-    f"""WITH {PAGES_SQL}, so AS (SELECT path AS source, lower(l1) AS t, topic_domain FROM ipg WHERE context_type = 'logical-model' ORDER BY path LIMIT 20),
+    f"""WITH {PAGES_SQL}, so AS (SELECT path AS source, lower(l1) AS t, topic_domain FROM ipg WHERE context_type = 'logical-model'),
     st AS (SELECT DISTINCT source, unnest(regexp_extract_all(t, '[a-z0-9]{{2,}}')) AS term FROM so), tt AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(l1), '[a-z0-9]{{2,}}')) AS term FROM ipg WHERE context_type IN ('metric', 'physical-model')),
     ov AS (SELECT source, path, least(0.6::DOUBLE, count(*) * 0.06::DOUBLE) AS part FROM st JOIN tt USING (term) GROUP BY ALL),
     fc AS (SELECT source, path, 0.15::DOUBLE AS part FROM so JOIN ipg USING (topic_domain) WHERE context_type IN ('metric', 'physical-model')),
@@ -267,7 +267,7 @@ def taxonomy_margin(spark, sf):
 def target_ranking(spark, sf):
     pg = pages(spark, sf).where("identity_status = 'EXPLICIT'").withColumn("text", F.col("l1"))
     none = spark.createDataFrame([], "path string, name string")
-    ranked = N.rank_targets(pg.where("context_type = 'logical-model'"), pg.where("context_type IN ('metric', 'physical-model')"), none, ["topic_domain"], 20)
+    ranked = N.rank_targets(pg.where("context_type = 'logical-model'"), pg.where("context_type IN ('metric', 'physical-model')"), none, ["topic_domain"])
     return ranked.select("source", "path", "context_type", "score", "rank")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..scale import top_per_group
+from ..scale import cut_lineage, top_per_group
 from .registry import Registry
 from .tables import INDEX_SQL, PAGES_SQL, pages, query_set
 
@@ -132,12 +132,11 @@ hd AS (SELECT token, path FROM (SELECT *, row_number() OVER (PARTITION BY token
 rd AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY df, token, path) AS rd FROM qt JOIN tdf USING (token) JOIN hd USING (token)),
 rc AS (SELECT query_id, path, min(rd) AS first_read FROM rd WHERE rd <= 100 GROUP BY ALL)"""
 
-SCORED_SQL = f"""{BOUNDED_SQL},
-fl AS (SELECT path, row_number() OVER (ORDER BY path) + 100 AS first_read FROM ipg ORDER BY path LIMIT 100),
-al AS (SELECT query_id, path, min(first_read) AS fr FROM (SELECT * FROM rc UNION ALL SELECT item_id, path, first_read FROM benchmark, fl) GROUP BY ALL),
-cd AS (SELECT query_id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr) AS r FROM al) WHERE r <= 100),
-sc AS (SELECT query_id, cd.path, sum({BM25}) AS score FROM cd JOIN qt USING (query_id) JOIN post ON post.path = cd.path AND post.token = qt.token
-  JOIN tdf ON tdf.token = qt.token JOIN lens ON lens.path = cd.path, st GROUP BY ALL),
+QUERY_SQL = "qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM benchmark)"
+
+SCORED_SQL = f"""{INDEX_SQL},
+{QUERY_SQL},
+sc AS (SELECT query_id, post.path, sum({BM25}) AS score FROM qt JOIN post USING (token) JOIN tdf USING (token) JOIN lens ON lens.path = post.path, st GROUP BY ALL),
 tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM sc)"""
 
 
@@ -154,18 +153,16 @@ def bm25_multi_query(spark, sf):
 @R.query(
     "rrf_multi_query",
     f"""WITH {SCORED_SQL},
-    l0 AS (SELECT query_id, path, CAST(count(*) AS DOUBLE) AS score FROM cd JOIN qt USING (query_id) JOIN post USING (path, token) GROUP BY ALL),
+    l0 AS (SELECT query_id, path, CAST(count(*) AS DOUBLE) AS score FROM qt JOIN post USING (token) GROUP BY ALL),
     rk AS (SELECT query_id, path, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path)) AS part FROM sc
       UNION ALL SELECT query_id, path, 0.25::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)) FROM l0),
     fs AS (SELECT query_id, path, sum(part) AS score FROM rk GROUP BY ALL)
     SELECT query_id, path, round(score, 8) AS score FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, path) <= 5""",
 )
 def rrf_multi_query(spark, sf):
-    pg, queries = pages(spark, sf), query_set(spark, sf)
-    index = S.build_index(pg)
-    cands = S.fill_candidates(S.bounded_candidates(index, queries), queries, pg)
-    bm = S.score_candidates(index, queries, cands)
-    held = S.score_overlap(index, queries, cands)
+    queries, index = query_set(spark, sf), S.build_index(pages(spark, sf))
+    bm = cut_lineage(S.score_all(index, queries))
+    held = S.overlap_all(index, queries)
     fused = S.fuse_many({"bm25": bm, "facet": held}, ["query_id"], 5)
     return fused.select("query_id", "path", F.round("score", 8).alias("score"))
 

@@ -19,14 +19,13 @@ R = Registry()
 
 # ----------------------------------------------------------------------------- sheets <- documents
 def sheets(spark, sf):
-    """Each document is a sheet, each line a row, words are cells; rows of under five characters count as blank."""
+    """Each document is a sheet, each line a row, words are cells."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
-    cells = F.when(F.length("line") < 5, F.array(F.lit(""))).otherwise(F.split("line", " "))
-    return d.select("sheet", (F.col("row") + 1).cast("long").alias("row"), cells.alias("cells"))
+    return d.select("sheet", (F.col("row") + 1).cast("long").alias("row"), F.split("line", " ").alias("cells"))
 
 
 SHEET_SQL = """
-ln AS (SELECT sheet, CAST(i AS BIGINT) AS row, CASE WHEN length(l) < 5 THEN [''] ELSE string_split(l, ' ') END AS cells FROM
+ln AS (SELECT sheet, CAST(i AS BIGINT) AS row, string_split(l, ' ') AS cells FROM
   (SELECT doc_id AS sheet, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 lb AS (SELECT *, len(list_filter(cells, lambda c: trim(c) <> '')) = 0 AS blank FROM ln),
 le AS (SELECT *, coalesce(max(CASE WHEN blank THEN row END) OVER (PARTITION BY sheet ORDER BY row), 0) AS edge FROM lb),
@@ -63,21 +62,22 @@ def html_elements(spark, sf):
     return D.html_elements(table(spark, sf, "pages"))
 
 
-LEVELS_SQL = f"""{HTML_SQL}, lv AS (SELECT document, seq, text, CASE kind WHEN 'heading' THEN 1 WHEN 'paragraph' THEN CASE WHEN length(text) < 60 THEN 2 WHEN length(text) < 120 THEN 3 END END AS level FROM he)"""
+LEVELS_SQL = f"""{HTML_SQL}, lv AS (SELECT document, seq, text, coalesce(level, CASE kind WHEN 'item' THEN 2 END) AS level FROM he)"""
+
+
+OPEN_SQL = ", ".join(f"max(CASE WHEN level <= {n} THEN seq END) OVER w AS s{n}" for n in range(1, 7))
+TITLE_SQL = ", ".join(f"(SELECT text FROM lv l{n} WHERE l{n}.document = p.document AND l{n}.seq = p.s{n} AND l{n}.level = {n})" for n in range(1, 7))
 
 
 @R.query(
     "heading_sections",
-    f"""WITH {LEVELS_SQL}, p AS (SELECT *, max(CASE WHEN level = 1 THEN seq END) OVER w AS s1, max(CASE WHEN level <= 2 THEN seq END) OVER w AS s2, max(CASE WHEN level <= 3 THEN seq END) OVER w AS s3 FROM lv WINDOW w AS (PARTITION BY document ORDER BY seq))
-    SELECT p.document, p.seq, nullif(concat_ws(' > ', a.text, CASE WHEN b.level = 2 THEN b.text END, CASE WHEN c.level = 3 THEN c.text END), '') AS section FROM p LEFT JOIN lv a ON a.document = p.document AND a.seq = p.s1
-      LEFT JOIN lv b ON b.document = p.document AND b.seq = p.s2 LEFT JOIN lv c ON c.document = p.document AND c.seq = p.s3""",
+    f"""WITH {LEVELS_SQL}, p AS (SELECT *, {OPEN_SQL} FROM lv WINDOW w AS (PARTITION BY document ORDER BY seq))
+    SELECT p.document, p.seq, nullif(concat_ws(' > ', {TITLE_SQL}), '') AS section FROM p""",
 )
 def heading_sections(spark, sf):
-    """Page headings are level 1; short paragraphs act as level 2 and 3 headings of the page."""
+    """Headings have the level of their tag; list items act as headings of level 2."""
     e = D.html_elements(table(spark, sf, "pages"))
-    n = F.length("text")
-    level = F.when(F.col("kind") == "heading", 1).when(F.col("kind") == "paragraph", F.when(n < 60, 2).when(n < 120, 3))
-    return D.heading_sections(e.withColumn("level", level)).select("document", "seq", "section")
+    return D.heading_sections(e.withColumn("level", F.coalesce("level", F.when(F.col("kind") == "item", 2)))).select("document", "seq", "section")
 
 
 @R.query(

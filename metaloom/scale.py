@@ -8,9 +8,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -73,16 +70,19 @@ def salted_join(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: use the cluster's shared checkpoint folder; make a local one only in local mode."""
+    """Shared folder for written intermediates: the session's ``spark.checkpoint.dir``.
+
+    A session in local mode without the setting gets a folder in its own Spark temp area, once,
+    and keeps it in the setting; on a cluster the setting must name a folder all executors share.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="metaloom-checkpoint-")
-    atexit.register(shutil.rmtree, local, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    folder = f"{spark.sparkContext._temp_dir}/checkpoint"  # removed with the session
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
