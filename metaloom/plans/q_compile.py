@@ -173,7 +173,7 @@ def identity_hint_lookup(spark, sf):
 @R.query(
     "fuzzy_identity",
     """WITH f AS (SELECT p_partkey AS id, replace(p_name, ' ', '') AS n, p_brand AS v FROM part),
-    c AS (SELECT DISTINCT p_type AS path, substr(replace(p_name, ' ', ''), 1, 4) AS cn, p_brand AS v FROM part WHERE p_size < 10)
+    c AS (SELECT DISTINCT p_type AS path, split_part(p_name, ' ', 1) AS cn, p_brand AS v FROM part)
     SELECT DISTINCT id, path, 0.88::DOUBLE AS confidence FROM f JOIN c ON f.v = c.v AND (contains(n, cn) OR contains(cn, n))""",
 )
 def fuzzy_identity(spark, sf):
@@ -181,8 +181,8 @@ def fuzzy_identity(spark, sf):
     frag = p.select(
         F.col("p_partkey").alias("id"), F.lit("metric").alias("context_type"), F.col("p_name").alias("name"), F.lit("brand").alias("feature"), F.col("p_brand").alias("value")
     )
-    short = F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 4)
-    known = p.where("p_size < 10").select(
+    short = F.split_part("p_name", F.lit(" "), F.lit(1))
+    known = p.select(
         F.col("p_type").alias("path"), F.lit("metric").alias("context_type"), short.alias("name"), F.lit("brand").alias("feature"), F.col("p_brand").alias("value")
     ).distinct()
     return I.fuzzy_containment(frag, known)

@@ -116,13 +116,13 @@ def object_references(spark, sf):
 
 @R.query(
     "coverage_flags",
-    f"""WITH {CONTEXTS_SQL}, s AS (SELECT DISTINCT 'data://metrics/' || l_partkey AS path, CASE l_returnflag WHEN 'A' THEN 'summary' WHEN 'N' THEN 'dimensions' ELSE 'grain' END AS section FROM lineitem WHERE l_quantity > 45),
+    f"""WITH {CONTEXTS_SQL}, s AS (SELECT DISTINCT 'data://metrics/' || l_partkey AS path, CASE l_returnflag WHEN 'A' THEN 'summary' WHEN 'N' THEN 'dimensions' ELSE 'grain' END AS section FROM lineitem),
     p AS (SELECT path, bool_or(section = 'summary') AS s, bool_or(section = 'dimensions') AS d, bool_or(section = 'grain') AS g FROM s GROUP BY ALL)
     SELECT cx.path, coalesce(s, false) AS business_meaning, false AS purpose, context_type = 'business-object' AS business_object, context_type = 'metric' AS metrics, coalesce(d, false) AS dimensions,
       context_type = 'physical-model' AS models, false AS fields, coalesce(g, false) AS grain, false AS lineage FROM cx LEFT JOIN p USING (path)""",
 )
 def coverage_flags(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity > 45")
+    li = table(spark, sf, "lineitem")
     sec = F.when(F.col("l_returnflag") == "A", "summary").when(F.col("l_returnflag") == "N", "dimensions").otherwise("grain")
     rows = li.select(F.concat(F.lit("data://metrics/"), "l_partkey").alias("path"), sec.alias("section")).distinct()
     return MP.coverage_flags(contexts(spark, sf), rows)

@@ -111,10 +111,7 @@ def rule_tables(spark, sf):
 def column_roles(spark, sf):
     _, heads, _ = rule_tables(spark, sf)
     kept = ["metric", "formula", "dimension", "source", "model", "description", "grain", "topic"]
-    roles = D.map_columns(heads, kept)
-    even = F.col("table_id") % 2 == 0
-    wanted = F.when(even, F.col("role").isin("metric", "formula", "dimension", "source")).otherwise(F.col("role").isin("model", "description", "grain", "topic"))
-    return roles.where(wanted)
+    return D.map_columns(heads, kept)
 
 
 @R.query(
@@ -165,7 +162,10 @@ def template_apps(spark, sf):
     """WITH p AS (SELECT 'part-' || p_partkey AS src, 'T_' || p_partkey AS name, p_name, p_brand, p_type, p_size FROM part),
     s AS (SELECT src, name, unnest([{'s': 'identity', 'v': name, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'summary', 'v': p_name, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'classification.layer_raw', 'v': p_type, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'grain', 'v': 'size ' || p_size, 'p': 0, 'r': NULL, 't': NULL},
       {'s': 'lineage.upstream', 'v': 'U_' || p_brand, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'metrics', 'v': p_name, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'dimensions', 'v': p_brand, 'p': 0, 'r': NULL, 't': NULL}, {'s': 'references', 'v': p_name, 'p': 0, 'r': 'implements_metric', 't': 'metric'},
-      {'s': 'references', 'v': p_brand, 'p': 0, 'r': 'implements_dimension', 't': 'dimension'}, {'s': 'references', 'v': 'U_' || p_brand, 'p': 0, 'r': 'upstream_model', 't': 'physical-model'}, {'s': 'references', 'v': 'L ' || p_type, 'p': 0, 'r': 'implements_logical_model', 't': 'logical-model'}]) AS x FROM p)
+      {'s': 'references', 'v': p_brand, 'p': 0, 'r': 'implements_dimension', 't': 'dimension'}, {'s': 'references', 'v': 'U_' || p_brand, 'p': 0, 'r': 'upstream_model', 't': 'physical-model'}, {'s': 'references', 'v': 'L ' || p_type, 'p': 0, 'r': 'implements_logical_model', 't': 'logical-model'},
+      {'s': 'important_fields', 'v': '{"column_name":"c1","data_type":"string","catagory":"Metric 度量","corresponding_counter_or_dim":"' || p_name || '"}', 'p': 0, 'r': NULL, 't': NULL},
+      {'s': 'important_fields', 'v': '{"column_name":"c2","data_type":"string","catagory":"Dimension","corresponding_counter_or_dim":"' || p_brand || '"}', 'p': 1, 'r': NULL, 't': NULL},
+      {'s': 'important_fields', 'v': '{"column_name":"c3","data_type":"string","catagory":"other"}', 'p': 2, 'r': NULL, 't': NULL}]) AS x FROM p)
     SELECT src AS source_id, '/tables/0' AS pointer, 'physical-model' AS context_type, name, x.s AS section, x.v AS value, CAST(x.p AS BIGINT) AS position, x.r AS relation, x.t AS target_type FROM s""",
 )
 def template_tables(spark, sf):
@@ -182,7 +182,7 @@ def template_tables(spark, sf):
         F.array(col("c1", "Metric 度量", F.col("p_name")), col("c2", "Dimension", F.col("p_brand")), col("c3", "other", none)).alias("columns"),
     )
     rows = TP.from_tables(p.select(F.concat(F.lit("part-"), "p_partkey").alias("source_id"), F.array(t).alias("tables")))
-    return rows.where("section <> 'important_fields'").select(*OUT)
+    return rows.select(*OUT)
 
 
 @R.query(

@@ -178,13 +178,27 @@ def from_domains(t: DataFrame) -> DataFrame:
 LOADERS = {"apps": (APPS, from_apps), "kpi": (KPI, from_kpi), "tables": (TABLES, from_tables), "analysis_groups": (GROUPS, from_analysis_groups), "domains": (DOMAINS, from_domains)}
 
 
+LEADS = {"apps": "apps", "kpi": "metric_summaries", "tables": "tables", "analysis_groups": "analysis_groups", "domains": "domains"}
+
+
 def load_shape(spark: SparkSession, root: str, shape: str) -> DataFrame:
+    """Fragments of the files of one shape in a delivery; a file that does not parse fails the load."""
     schema, build = LOADERS[shape]
-    lead = {"apps": "apps", "kpi": "metric_summaries", "tables": "tables", "analysis_groups": "analysis_groups", "domains": "domains"}[shape]
-    return with_fragment_ids(build(read_templates(spark, root, schema).where(F.col(lead).isNotNull())))
+    rows = read_templates(spark, root, schema)
+    sound = F.assert_true(F.col("_corrupt_record").isNull(), F.concat(F.lit("delivery file does not parse: "), "source_id"))
+    return with_fragment_ids(build(rows.withColumn("_sound", sound).where(F.col("_sound").isNull() & F.col(LEADS[shape]).isNotNull()).drop("_sound")))
 
 
 def load_all(spark: SparkSession, root: str) -> DataFrame:
+    """Fragments of a whole delivery; a file that does not parse or fits no shape fails the load.
+
+    The files are read once for the check, with the leading key of every shape.
+    """
+    leads = read_templates(spark, root, ", ".join(f"{k} string" for k in LEADS.values()))
+    strange = leads.where(F.coalesce(*[F.col(k) for k in LEADS.values()]).isNull() | F.col("_corrupt_record").isNotNull())
+    names = [r["source_id"] for r in strange.select("source_id").orderBy("source_id").limit(20).collect()]
+    if names:
+        raise ValueError("delivery files that do not parse or fit no shape: " + ", ".join(names))
     return _union([load_shape(spark, root, shape) for shape in LOADERS])
 
 
