@@ -14,6 +14,7 @@ from ..operators import mentions as M
 from ..operators import planning as P
 from ..operators import search as S
 from ..scale import global_rank, spread, top_per_group
+from .q_search import SCORED_SQL
 from .registry import Registry
 from .tables import CONTEXTS_SQL, contexts, pages, query_set, table
 
@@ -232,7 +233,21 @@ def branch_discovery(spark, sf):
     return BR.discover(seeds, hits).withColumn("score", F.round("score", 11))
 
 
-@R.query("greedy_rerank")
+ASPECTS_SQL = r"list_filter(['business_meaning', CASE WHEN contains(l1, chr(10)) THEN 'fields' END, CASE WHEN length(l1) > 1000 THEN 'lineage' END], lambda a: a IS NOT NULL)"
+
+
+@R.query(
+    "greedy_rerank",
+    f"""WITH RECURSIVE {SCORED_SQL},
+    pl AS (SELECT query_id, path, context_type AS kind, {ASPECTS_SQL} AS asp, 1 + ln(1 + length(l1)) / 10 AS damp, CAST(rank <= 4 AS INTEGER) AS seed, round(score, 9) / max(round(score, 9)) OVER (PARTITION BY query_id) AS rel FROM tp JOIN ipg USING (path) WHERE rank <= 8),
+    go(query_id, n, ord, seen, kinds) AS (
+      SELECT DISTINCT query_id, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM pl
+      UNION ALL SELECT query_id, n + 1, list_append(ord, b.path), list_concat(seen, b.asp), list_append(kinds, b.kind) FROM
+        (SELECT g.query_id, g.n, g.ord, g.seen, g.kinds, max({{'s': CASE WHEN g.n = 0 THEN seed ELSE 0 END, 'v': rel + CASE WHEN g.n = 0 THEN 0 ELSE
+            0.18::DOUBLE * len(list_filter(asp, lambda a: NOT list_contains(g.seen, a))) / damp + CASE WHEN list_contains(g.kinds, kind) THEN 0::DOUBLE ELSE 0.12::DOUBLE END END, 'path': path, 'asp': asp, 'kind': kind}}) AS b
+         FROM go g JOIN pl ON pl.query_id = g.query_id AND NOT list_contains(g.ord, pl.path) GROUP BY ALL))
+    SELECT query_id, ord[n] AS path, CAST(n AS BIGINT) AS position FROM go WHERE n > 0""",
+)
 def greedy_rerank(spark, sf):
     """Bounded served results of the whole query set, reordered for coverage and kind diversity."""
     pg = pages(spark, sf)
@@ -242,7 +257,21 @@ def greedy_rerank(spark, sf):
     return BU.greedy_rerank(hits.withColumn("is_seed", F.col("rank") <= 4).join(info, "path"))
 
 
-@R.query("token_budget_select")
+COST_SQL = r"CAST(greatest(1, ceil(length(regexp_replace({}, '[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]', '', 'g')) / 4.0)) AS BIGINT)"
+
+
+@R.query(
+    "token_budget_select",
+    f"""WITH RECURSIVE {SCORED_SQL},
+    ck AS (SELECT query_id, path, rank, context_type AS kind, {COST_SQL.format("l1")} AS c1, {COST_SQL.format("l0")} AS c0 FROM tp JOIN ipg USING (path) WHERE rank <= 20),
+    go(query_id, pos, used, n, kinds, path, level, tokens) AS (
+      SELECT DISTINCT query_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM ck
+      UNION ALL SELECT query_id, pos, used + coalesce(cost, 0), n + CAST(lv IS NOT NULL AS BIGINT), CASE WHEN lv IS NULL THEN kinds ELSE list_append(kinds, kind) END, path, lv, cost FROM
+        (SELECT *, CASE lv WHEN 'L1' THEN c1 WHEN 'L0' THEN c0 END AS cost FROM
+          (SELECT g.query_id, g.pos + 1 AS pos, g.used, g.n, g.kinds, ck.path, ck.kind, c1, c0, CASE WHEN g.n >= 8 OR len(list_filter(g.kinds, lambda k: k = ck.kind)) >= 3 THEN NULL WHEN g.used + c1 <= 2800 THEN 'L1' WHEN g.used + c0 <= 2800 THEN 'L0' END AS lv
+           FROM go g JOIN ck ON ck.query_id = g.query_id AND ck.rank = g.pos + 1)))
+    SELECT query_id, path, level, tokens, n AS position FROM go WHERE level IS NOT NULL""",
+)
 def token_budget_select(spark, sf):
     pg = pages(spark, sf)
     hits = S.search_many(S.build_index(pg), query_set(spark, sf), top_k=20)
