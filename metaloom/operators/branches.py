@@ -14,7 +14,7 @@ from .mentions import resolve_mentions
 
 
 def branch_postings(branches: DataFrame) -> DataFrame:
-    toks = S.indexable(branches).select("view", "path", F.explode(T.tokens(S.index_text())).alias("token"))
+    toks = S.indexable(branches).select("view", "path", F.explode(T.tokens(S.index_text(branches))).alias("token"))
     return cut_lineage(toks.groupBy("view", "path", "token").agg(F.count("*").alias("tf")))
 
 

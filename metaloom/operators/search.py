@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..constants import (
@@ -35,12 +36,21 @@ def indexable(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("identity_status").isin(*UNTRUSTED))
 
 
-def index_text() -> Column:
-    return F.concat_ws(" ", "name", "l0", "l1")
+def index_text(pages: DataFrame) -> Column:
+    """Name, summaries and, where pages have them, aliases."""
+    return F.concat_ws(" ", "name", "l0", "l1", *["aliases"] * ("aliases" in pages.columns))
+
+
+def bears_name(pages: DataFrame, test) -> Column:
+    """Whether ``test`` holds for the folded name, canonical id or, where pages have them, an alias."""
+    named = test(F.lower(F.trim("name"))) | test(F.lower(F.trim("canonical_id")))
+    if "aliases" in pages.columns:
+        named = named | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: test(F.lower(F.trim(a))))
+    return named
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    return indexable(pages).select("path", T.tokens(index_text()).alias("toks"))
+    return indexable(pages).select("path", T.tokens(index_text(pages)).alias("toks"))
 
 
 def postings(pages: DataFrame) -> DataFrame:
@@ -97,11 +107,14 @@ def facet_of(name: str) -> str:
     return FACET_ALIASES.get(name, name)
 
 
-def facet_matches(actual: Column, expected: str) -> Column:
+def facet_matches(pages: DataFrame, facet: str, expected: str) -> Column:
+    """Whether a page's facet, or a member of a list-valued one, equals the expected text; false where it is absent."""
     target = (expected or "").strip().lower()
-    if not target:
+    if not target or facet not in pages.columns:
         return F.lit(False)
-    return F.coalesce(F.lower(F.trim(actual.cast("string"))) == target, F.lit(False))
+    equal = lambda v: F.lower(F.trim(v.cast("string"))) == target
+    found = F.exists(facet, equal) if isinstance(pages.schema[facet].dataType, ArrayType) else equal(F.col(facet))
+    return F.coalesce(found, F.lit(False))
 
 
 def eligible_pages(pages: DataFrame, types=None, scope=None) -> DataFrame:
@@ -112,8 +125,7 @@ def eligible_pages(pages: DataFrame, types=None, scope=None) -> DataFrame:
     for key, value in (scope or {}).items():
         facet = facet_of(key)
         if facet in GOVERNED_FACETS:
-            actual = F.col(facet) if facet in pages.columns else F.lit(None)
-            kept = kept.where(~F.col("context_type").isin(*MODEL_TYPES) | facet_matches(actual, value))
+            kept = kept.where(~F.col("context_type").isin(*MODEL_TYPES) | facet_matches(pages, facet, value))
     return kept
 
 
@@ -139,9 +151,8 @@ def identifier_gate(pages: DataFrame, query: str, scope=None) -> DataFrame:
     if not symbol:
         return pages
     token = str(symbol).lower()
-    named = F.lower(F.trim("name")).isin(*named_phrases(query))
-    bears = (F.lower("name") == token) | (F.lower("canonical_id") == token)
-    return pages.where(F.array_contains(T.tokens(index_text()), token) | bears | named)
+    phrases = [token, *named_phrases(query)]
+    return pages.where(F.array_contains(T.tokens(index_text(pages)), token) | bears_name(pages, lambda n: n.isin(*phrases)))
 
 
 # ----------------------------------------------------------------------------- one-query channels
@@ -150,7 +161,7 @@ SCORE_DIGITS = 9  # distributed sums have no fixed order; rounding keeps equal t
 
 def query_scan(pages: DataFrame, words: list[str]) -> DataFrame:
     """One pass over the texts: (path, dl, found), keeping only the query's words of each page."""
-    base = indexable(pages).select("path", T.tokens(index_text()).alias("toks"))
+    base = indexable(pages).select("path", T.tokens(index_text(pages)).alias("toks"))
     return cut_lineage(
         base.select("path", F.size("toks").cast("long").alias("dl"), F.filter("toks", lambda x: x.isin(*words)).alias("found"))
     )
@@ -185,8 +196,7 @@ def bm25_channel(pages: DataFrame, query: str, eligible: DataFrame | None = None
 
 def exact_channel(eligible: DataFrame, query: str) -> DataFrame:
     phrases = named_phrases(query)
-    hit = F.lower(F.trim("name")).isin(*phrases) | F.lower(F.trim("canonical_id")).isin(*phrases)
-    return eligible.where(hit).select("path", F.lit(1.0).alias("score"))
+    return eligible.where(bears_name(eligible, lambda n: n.isin(*phrases))).select("path", F.lit(1.0).alias("score"))
 
 
 def facet_channel(eligible: DataFrame, scope: dict | None, prior: float = 0.0) -> DataFrame:
@@ -194,7 +204,7 @@ def facet_channel(eligible: DataFrame, scope: dict | None, prior: float = 0.0) -
     for key, value in (scope or {}).items():
         facet = facet_of(key)
         if facet in eligible.columns:
-            total = total + facet_matches(F.col(facet), value).cast("double")
+            total = total + facet_matches(eligible, facet, value).cast("double")
     return eligible.select("path", total.alias("score")).where(F.col("score") > 0)
 
 
@@ -267,16 +277,15 @@ def baseline_search(pages: DataFrame, query: str, types=None, scope=None, top_k:
         )
     )
     whole = query.lower().strip()
-    named = (F.lower(F.trim("name")) == whole) | (F.lower("canonical_id") == whole) | (F.lower("path") == whole)
+    named = bears_name(pages, lambda n: n == whole) | (F.lower("path") == whole)
     bonus = F.when(named, F.lit(15.0)).otherwise(F.lit(0.0))
     for key, value in scope.items():
         facet = facet_of(key)
-        present = F.col(facet) if facet in pages.columns else F.lit(None).cast("string")
         if facet in GOVERNED_FACETS:
-            bonus = bonus + F.when(facet_matches(present, value), F.lit(3.0)).otherwise(F.lit(0.0))
+            bonus = bonus + F.when(facet_matches(pages, facet, value), F.lit(3.0)).otherwise(F.lit(0.0))
         else:
             inside = F.contains(F.lower("l1"), F.lit(str(value).lower()))
-            bonus = bonus + F.when(facet_matches(present, value) | inside, F.lit(1.5)).otherwise(F.lit(0.0))
+            bonus = bonus + F.when(facet_matches(pages, facet, value) | inside, F.lit(1.5)).otherwise(F.lit(0.0))
     return (
         eligible.select("path", bonus.alias("bonus"))
         .join(lexical, "path", "left")

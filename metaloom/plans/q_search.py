@@ -45,7 +45,7 @@ def bm25_topk(spark, sf):
 
 
 ELIGIBLE = "(context_type NOT IN ('physical-model', 'logical-model') OR (topic_domain = 'src3' AND layer = 'fr'))"
-EXACT_SQL = "ex AS (SELECT path, 1.0::DOUBLE AS score FROM elig WHERE lower(name) = 'src3_63')"
+EXACT_SQL = "ex AS (SELECT path, 1.0::DOUBLE AS score FROM elig WHERE 'src3_63' IN (lower(name), lower(alias)))"
 CHANNELS_SQL = f"""{INDEX_SQL},
 elig AS (SELECT * FROM ipg WHERE {ELIGIBLE}), {EXACT_SQL},
 bm AS (SELECT path, sum({BM25}) AS score FROM post JOIN tdf USING (token) JOIN lens USING (path), st
@@ -105,7 +105,7 @@ def facet_channel(spark, sf):
 @R.query(
     "identifier_gate",
     f"""WITH {INDEX_SQL} SELECT DISTINCT p.path FROM ipg p LEFT JOIN post t ON t.path = p.path AND t.token = 'src3_63'
-    WHERE t.token IS NOT NULL OR lower(p.name) = 'src3_63'""",
+    WHERE t.token IS NOT NULL OR 'src3_63' IN (lower(p.name), lower(p.alias))""",
 )
 def identifier_gate(spark, sf):
     return S.identifier_gate(S.indexable(pages(spark, sf)), "SRC3_63").select("path")

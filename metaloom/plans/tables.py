@@ -29,6 +29,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("document:"), "doc_id").alias("canonical_id"),
         kind.alias("context_type"),
         F.concat("source", F.lit("_"), "doc_id").alias("name"),
+        F.array(F.concat("source", F.lit("_"), F.col("doc_id") + 20)).alias("aliases"),
         F.col("source").alias("topic_domain"),
         F.col("lang").alias("layer"),
         F.substring("text", 1, 700).alias("l0"),
@@ -40,13 +41,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES_SQL = """
 pg AS (SELECT d.doc_id, 'data://documents/' || d.doc_id AS path, 'document:' || d.doc_id AS canonical_id,
   CASE lang WHEN 'en' THEN 'metric' WHEN 'fr' THEN 'physical-model' WHEN 'de' THEN 'logical-model' ELSE 'dimension' END AS context_type,
-  source || '_' || d.doc_id AS name, source AS topic_domain, lang AS layer, substr(text, 1, 700) AS l0, text AS l1,
+  source || '_' || d.doc_id AS name, source || '_' || (d.doc_id + 20) AS alias, source AS topic_domain, lang AS layer, substr(text, 1, 700) AS l0, text AS l1,
   CASE WHEN lb.toxic = 1 THEN 'CANDIDATE' ELSE 'EXPLICIT' END AS identity_status
   FROM documents d LEFT JOIN labels lb ON d.doc_id = lb.doc_id),
 ipg AS (SELECT * FROM pg WHERE identity_status = 'EXPLICIT')"""
 
 INDEX_SQL = PAGES_SQL + """,
-tk AS (SELECT path, unnest(regexp_extract_all(lower(name || ' ' || l0 || ' ' || l1), '[a-z0-9_]+')) AS token FROM ipg),
+tk AS (SELECT path, unnest(regexp_extract_all(lower(name || ' ' || l0 || ' ' || l1 || ' ' || alias), '[a-z0-9_]+')) AS token FROM ipg),
 post AS (SELECT path, token, count(*) AS tf FROM tk GROUP BY ALL),
 lens AS (SELECT path, count(*) AS dl FROM tk GROUP BY ALL),
 tdf AS (SELECT token, count(*) AS df FROM post GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +27,22 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
-    """Small file through the cluster's own file system, so any storage works.
-
-    Overwriting writes a sibling first and renames it, so readers see the old or the new file.
-    """
+def _rename(spark: SparkSession, source: str, target: str, replace: bool) -> None:
+    """One rename by the cluster's own file system; with ``replace`` readers see the old or the new file, never none."""
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged = jvm.org.apache.hadoop.fs.Path(path + ".staged") if overwrite else target
-    out = fs.create(staged, overwrite)
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(paths[1].toUri(), spark._jsc.hadoopConfiguration()).rename(*paths, options)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Small file, staged and then renamed over the old one."""
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = staged.getFileSystem(spark._jsc.hadoopConfiguration()).create(staged, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if overwrite:
-        fs.delete(target, False)
-        if not fs.rename(staged, target):
-            raise OSError(f"could not publish {path}")
+    _rename(spark, staged.toString(), path, replace=True)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
@@ -72,10 +73,15 @@ class SnapshotStore:
         version, marks = self.version_of(tables)
         base = f"{self.root}/versions/{version}"
         if not self._exists(f"{base}/manifest.json"):
+            # A crash leaves only a staged folder behind; the version appears whole or not at all.
+            staged = f"{self.root}/staged/{version}-{uuid.uuid4().hex}"
             for name, df in tables.items():
-                df.write.mode("errorifexists").parquet(f"{base}/{name}")
-            _write_text(self.spark, f"{base}/manifest.json", json.dumps({"version": version, "tables": marks}, sort_keys=True), overwrite=False)
-        _write_text(self.spark, f"{self.root}/latest.json", json.dumps({"version": version}), overwrite=True)
+                df.write.mode("errorifexists").parquet(f"{staged}/{name}")
+            _write_text(self.spark, f"{staged}/manifest.json", json.dumps({"version": version, "tables": marks}, sort_keys=True))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+            _rename(self.spark, staged, base, replace=False)
+        _write_text(self.spark, f"{self.root}/latest.json", json.dumps({"version": version}))
         return version
 
     def _exists(self, path: str) -> bool:
@@ -113,6 +119,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_pages(pages: DataFrame, path: str) -> DataFrame:
-    """Evidence pages as text files plus their inventory (path, sha256, bytes)."""
-    pages.select(F.col("l1").alias("value")).write.mode("errorifexists").text(path)
-    return pages.select("path", F.sha2("l1", 256).alias("sha256"), F.octet_length("l1").cast("long").alias("bytes"))
+    """Evidence pages (path, l1) as JSON lines, and the inventory (path, sha256, bytes) of what was written."""
+    pages.select("path", F.col("l1").alias("text")).write.mode("errorifexists").json(path)
+    stored = pages.sparkSession.read.schema("path string, text string").json(path)
+    return stored.select("path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
