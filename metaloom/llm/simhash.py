@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import components, text_pairs, text_rows
@@ -23,6 +23,7 @@ LENGTH, CHECKS = 23, 11
 #: First bit and number of bits of the three segments of a fingerprint.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 4
+KEY_COLUMNS = "key int, fp long, root long"
 FREE = 4  # bits of a block that may differ freely within the radius
 
 
@@ -112,21 +113,38 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
        Dense clouds of near copies fall together here, without pairs.
     2. Four differing bits leave two of the three segments with at most two each. Every
        fingerprint is listed under all pairs of nearby codeword indices of two segments, so a
-       linked pair shares a key. Pairs that share a key but not yet a root are verified by
-       counting bits in the join; roots are linked, not pairs listed.
+       linked pair shares a key. First each member of a key is compared with the key's
+       smallest member only, which joins most of what is left of a large cloud without pairs.
+    3. Then pairs that share a key but not yet a root are verified by counting bits in the
+       join; roots are linked, not pairs listed.
     """
     distinct = cut_lineage(prints.select("fp").distinct())
     blocks = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64 // FREE - 1))).alias("block"))
     rest = F.expr(f"fp & ~shiftleft({(1 << FREE) - 1}L, block * {FREE})")
     stars = blocks.groupBy("block", rest.alias("rest")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     sure = cut_lineage(stars.select("a", F.explode("members").alias("b")).where("a <> b").distinct())
-    near = cut_lineage(distinct.join(components(sure).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    keys = near.mapInArrow(fuzzy_keys, "key int, fp long, root long")
-    x, y = keys.alias("x"), keys.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS))
-    links = met.select(F.least("x.root", "y.root").alias("a"), F.greatest("x.root", "y.root").alias("b")).distinct()
-    joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    return near.join(joined, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
+    near = _joined(distinct.select("fp", F.col("fp").alias("root")), sure)
+    lowest = F.min(F.struct("fp", "root")).over(Window.partitionBy("key"))
+    first = near.mapInArrow(fuzzy_keys, KEY_COLUMNS).withColumn("low", lowest)
+    near = _joined(near, _root_links(first, F.col("fp"), F.col("root"), F.col("low")["fp"], F.col("low")["root"]))
+    keys = near.mapInArrow(fuzzy_keys, KEY_COLUMNS)
+    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _linked(F.col("x.fp"), F.col("x.root"), F.col("y.fp"), F.col("y.root")))
+    return _joined(near, _root_links(met, F.col("x.fp"), F.col("x.root"), F.col("y.fp"), F.col("y.root")))
+
+
+def _linked(fp: Column, root: Column, other: Column, other_root: Column) -> Column:
+    return (root != other_root) & (F.bit_count(fp.bitwiseXOR(other)) <= RADIUS)
+
+
+def _root_links(pairs: DataFrame, fp: Column, root: Column, other: Column, other_root: Column) -> DataFrame:
+    """(a, b): the roots that verified links join, each once."""
+    return cut_lineage(pairs.where(_linked(fp, root, other, other_root)).select(F.least(root, other_root).alias("a"), F.greatest(root, other_root).alias("b")).distinct())
+
+
+def _joined(near: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) after the roots in ``links`` have been joined."""
+    last = components(links).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return cut_lineage(near.join(last, "root", "left").select("fp", F.coalesce("last", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
