@@ -31,9 +31,10 @@ def rank_branches(queries: DataFrame, branches: DataFrame, top_k: int = 9, limit
     lengths = posts.groupBy("view", "path").agg(F.sum("tf").alias("dl"))
     stats = lengths.groupBy("view").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row per view
     terms = posts.groupBy("view", "token").agg(F.count("*").alias("df"))
-    words = cut_lineage(S.query_words(queries).join(terms, "token"))
-    heads = top_per_group(posts.select("view", "token", "path"), ["view", "token"], [F.asc("path")], limit, "pos").drop("pos")
-    reads = words.join(heads, ["view", "token"])
+    words = cut_lineage(salted_join(S.query_words(queries), terms, ["token"], ["query_id"]))
+    asked_posts = S.wanted_postings(posts.select("view", "token", "path"), words, ["view", "token"])
+    heads = top_per_group(asked_posts, ["view", "token"], [F.asc("path")], limit, "pos").drop("pos")
+    reads = salted_join(words, heads, ["view", "token"], ["query_id"])
     w = Window.partitionBy(*pair).orderBy("df", "token", "path")
     reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= limit)
     recalled = reads.groupBy(*pair, "path").agg(F.min("read").alias("first"))
@@ -88,9 +89,9 @@ def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, m
     """
     pairs = chosen.withColumn("pair_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("branch_rank").cast("string")))
     asked = pairs.join(queries, "query_id").select(F.col("pair_id").alias("query_id"), "text")
-    words = S.query_words(asked).join(index.terms, "token")
-    heads = S.posting_heads(index.postings, CANDIDATE_LIMIT)
-    reads = words.join(heads, "token")
+    words = salted_join(S.query_words(asked), index.terms, ["token"], ["query_id"])
+    heads = S.posting_heads(S.wanted_postings(index.postings, words, ["token"]), CANDIDATE_LIMIT)
+    reads = salted_join(words, heads, ["token"], ["query_id"])
     w = Window.partitionBy("query_id").orderBy("df", "token", "path")
     reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= CANDIDATE_LIMIT)
     # Membership is tested per read (at most the budget), never listed per branch.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scale import salted_join
 from .overlap import top_overlaps
 
 
@@ -133,6 +134,8 @@ def link_similar(requirements: DataFrame, models: DataFrame, top: int = 8) -> Da
 def edge_evidence(edges: DataFrame, assets: DataFrame, evidence: DataFrame) -> DataFrame:
     """Edges with their end names and one row per piece of evidence: edges (edge_id, src, dst, refs)."""
     names = assets.select("id", "name")
-    rows = edges.select("edge_id", "src", "dst", F.explode("refs").alias("evidence_id")).join(evidence, "evidence_id")
-    rows = rows.join(names.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src")
-    return rows.join(names.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
+    rows = edges.select("edge_id", "src", "dst", F.explode("refs").alias("evidence_id"))
+    rows = salted_join(rows, evidence, ["evidence_id"], ["edge_id"])
+    for end in ("src", "dst"):
+        rows = salted_join(rows, names.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name")), [end], ["edge_id", "evidence_id"])
+    return rows

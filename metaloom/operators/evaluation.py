@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import global_rank
+from ..scale import global_rank, salted_join
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -68,7 +68,7 @@ def nearest_rank(rows: DataFrame, group: list[str], value: str, shares: dict[str
     sized = rows.where(F.col(value).isNotNull())
     ranked = global_rank(sized.select(*group, value), group, [F.asc(value)], "place")
     n = sized.groupBy(*group).agg(F.count("*").alias("n"))
-    at = ranked.join(n, group)
+    at = salted_join(ranked, n, group, ["place"])
     picks = [
         F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * s), F.col("n") - 1) + 1, F.col(value))).alias(name) for name, s in shares.items()
     ]

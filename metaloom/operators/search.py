@@ -302,6 +302,11 @@ def posting_heads(posts: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
     return top_per_group(posts.select("token", "path"), ["token"], [F.asc("path")], limit, "pos").drop("pos")
 
 
+def wanted_postings(posts: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings of the words that some query asks for."""
+    return posts.join(maybe_broadcast(asked.select(*keys).distinct()), keys, "left_semi")
+
+
 def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
@@ -312,9 +317,9 @@ def bounded_candidates(index: PageIndex, queries: DataFrame, limit: int = CANDID
     Reads rejected by ``allowed`` (query_id, path) still use budget; a path read twice keeps
     its first position.
     """
-    asked = query_words(queries).join(index.terms, "token")
+    asked = salted_join(query_words(queries), index.terms, ["token"], ["query_id"])
     # A list longer than the budget can never be read past it, so its head is enough.
-    reads = asked.join(posting_heads(index.postings, limit), "token")
+    reads = salted_join(asked, posting_heads(wanted_postings(index.postings, asked, ["token"]), limit), ["token"], ["query_id"])
     w = Window.partitionBy("query_id").orderBy("df", "token", "path")
     reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= limit)
     if allowed is not None:
@@ -340,7 +345,7 @@ def candidate_words(index: PageIndex, queries: DataFrame, candidates: DataFrame)
 
     A popular document may be a candidate of a third of all queries, so the join is salted.
     """
-    words = query_words(queries).join(index.terms, "token")
+    words = salted_join(query_words(queries), index.terms, ["token"], ["query_id"])
     # Each query's words travel as one array (bounded by the query text) to its candidates.
     packed = words.groupBy("query_id").agg(F.collect_list(F.struct("token", "df")).alias("words"))
     pairs = candidates.select("query_id", "path").join(packed, "query_id")
@@ -371,9 +376,8 @@ def score_all(index: PageIndex, queries: DataFrame) -> DataFrame:
     queries in salted buckets, and each task adds up its parts before the shuffle.
     """
     n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
-    asked = query_words(queries).join(index.terms, "token")
-    held = index.postings.join(maybe_broadcast(asked.select("token").distinct()), "token", "left_semi")
-    held = salted_join(held, index.lengths, ["path"], ["token"])
+    asked = salted_join(query_words(queries), index.terms, ["token"], ["query_id"])
+    held = salted_join(wanted_postings(index.postings, asked, ["token"]), index.lengths, ["path"], ["token"])
     part = bm25_expr(n, F.col("df"), F.col("tf"), F.col("dl"), avgdl)
     return salted_join(held, asked, ["token"], ["path"]).groupBy("query_id", "path").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 

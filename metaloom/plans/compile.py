@@ -19,7 +19,7 @@ from ..operators import pages as PG
 from ..operators import quality as Q
 from ..operators import references as RF
 from ..operators import search as S
-from ..scale import cut_lineage
+from ..scale import cut_lineage, salted_join
 from ..sources import templates as TP
 
 
@@ -59,12 +59,12 @@ def compile_fragments(fragments: DataFrame) -> Catalog:
     # identity: the key alone decides here, so one aggregation is the whole grouping
     groups = ordered.groupBy("key").agg(F.min("seq").alias("group"), F.min_by("name", "seq").alias("name"), F.min_by("context_type", "seq").alias("context_type"))
     ids = cut_lineage(I.canonical_ids(groups.select("group", "context_type", "name")).join(groups.select("group", "key"), "group"))
-    frags = ordered.join(ids.select("key", "canonical_id", F.col("path").alias("ctx_id")), "key")
+    frags = salted_join(ordered, ids.select("key", "canonical_id", F.col("path").alias("ctx_id")), ["key"], ["seq"])
     contexts = ids.select("path", "canonical_id", "context_type", "name", F.lit("EXPLICIT").alias("identity_status"), F.array().cast("array<string>").alias("aliases"))
 
     # sections
     rows = frags.where("section NOT IN ('identity', 'references')").select("ctx_id", "section", "seq", "value", "source_type", "status", "position")
-    lists = FU.fuse_lists(rows).join(FU.combined_status(rows), ["ctx_id", "section"])
+    lists = salted_join(FU.fuse_lists(rows), FU.combined_status(rows), ["ctx_id", "section"], ["first_seq"])
     lists = lists.select("ctx_id", "section", "value", F.col("first_seq").alias("position"), "status")
     scalar_rows = rows.where(~F.col("section").isin(*LIST_SECTIONS))
     states = FU.scalar_states(scalar_rows)
