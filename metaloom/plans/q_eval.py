@@ -221,18 +221,19 @@ def case_motifs(spark, sf):
     return CB.motifs(build_edges(spark, sf), build_entities(spark, sf)).groupBy("category", "anchor", "hop").agg(F.count("*").alias("edges"))
 
 
-@R.query(
-    "motif_cases",
-    f"""WITH {EDGE_SQL}, g AS (SELECT category, anchor, max(hop) AS hops, count(*) AS edges FROM mo GROUP BY ALL), en AS (SELECT DISTINCT category, anchor, unnest([source, target]) AS id FROM mo),
+CASES_SQL = f"""{EDGE_SQL},
+    g AS (SELECT category, anchor, max(hop) AS hops, count(*) AS edges FROM mo GROUP BY ALL), en AS (SELECT DISTINCT category, anchor, unnest([source, target]) AS id FROM mo),
     dk AS (SELECT 'o:' || o_orderkey AS id, 'doc-' || o_orderpriority AS document FROM orders UNION ALL SELECT 's:' || s_suppkey, 'doc-supply' FROM supplier UNION ALL SELECT 'c:' || c_custkey, 'doc-' || c_mktsegment FROM customer),
     nm AS (SELECT 'o:' || o_orderkey AS id, 'order ' || o_orderkey AS name FROM orders UNION ALL SELECT 's:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'c:' || c_custkey, c_name FROM customer),
     dc AS (SELECT category, anchor, count(DISTINCT document) AS documents FROM en JOIN dk USING (id) GROUP BY ALL), kd AS (SELECT category, anchor, count(DISTINCT left(id, 1)) AS kinds FROM en GROUP BY ALL),
-    z AS (SELECT g.*, coalesce(documents, 0) AS documents, kinds, name FROM g LEFT JOIN dc USING (category, anchor) JOIN kd USING (category, anchor) LEFT JOIN nm ON nm.id = anchor)
-    SELECT category, anchor, CAST(hops AS BIGINT) AS hops, edges, documents, CASE WHEN documents > 1 THEN 'cross_document' WHEN documents = 1 THEN 'single_document' ELSE 'unknown' END AS source_span,
+    z AS (SELECT g.*, coalesce(documents, 0) AS documents, kinds, name FROM g LEFT JOIN dc USING (category, anchor) JOIN kd USING (category, anchor) LEFT JOIN nm ON nm.id = anchor),
+    cs AS (SELECT category, anchor, CAST(hops AS BIGINT) AS hops, edges, documents, CASE WHEN documents > 1 THEN 'cross_document' WHEN documents = 1 THEN 'single_document' ELSE 'unknown' END AS source_span,
       CASE WHEN documents = 0 OR documents > 1 AND kinds >= 3 THEN 'hard' WHEN documents > 1 OR hops >= 2 THEN 'medium' ELSE 'easy' END AS difficulty,
       CASE category WHEN 'metric_to_model' THEN '指标「' || name || '」由哪些模型提供？请列出指标和模型。' WHEN 'purpose_to_data' THEN '分析目的「' || name || '」需要哪些指标、维度、模型和字段？请列出能够确定的实体。'
-        WHEN 'model_to_analysis' THEN '模型「' || name || '」支持哪些分析目的和指标？请列出模型及相关实体。' ELSE '模型「' || name || '」对应哪些业务对象？请列出模型和业务对象。' END AS query FROM z""",
-)
+        WHEN 'model_to_analysis' THEN '模型「' || name || '」支持哪些分析目的和指标？请列出模型及相关实体。' ELSE '模型「' || name || '」对应哪些业务对象？请列出模型和业务对象。' END AS query FROM z)"""
+
+
+@R.query("motif_cases", f"WITH {CASES_SQL} SELECT * FROM cs")
 def motif_cases(spark, sf):
     return cases(spark, sf).select("category", "anchor", "hops", "edges", "documents", "source_span", "difficulty", "query")
 
@@ -408,9 +409,14 @@ def case_difficulty(spark, sf):
     return g.select("l_orderkey", level.alias("difficulty"), CB.token_budget(level).alias("budget"))
 
 
-@R.query("dataset_description", f"WITH {EDGE_SQL} SELECT 'category' AS dimension, category AS value, count(DISTINCT anchor) AS cases FROM mo GROUP BY ALL")
+@R.query(
+    "dataset_description",
+    f"""WITH {CASES_SQL} SELECT 'category' AS dimension, category AS value, count(*) AS cases FROM cs GROUP BY ALL UNION ALL SELECT 'source_span', source_span, count(*) FROM cs GROUP BY ALL
+    UNION ALL SELECT 'difficulty', difficulty, count(*) FROM cs GROUP BY ALL UNION ALL SELECT 'duplicate_queries', '', count(*) - count(DISTINCT query) FROM cs
+    UNION ALL SELECT 'repeated_motifs', '', count(*) - count(DISTINCT category || ':' || hops) FROM cs""",
+)
 def dataset_description(spark, sf):
-    return CB.describe_cases(cases(spark, sf)).where("dimension = 'category'")
+    return CB.describe_cases(cases(spark, sf))
 
 
 @R.query(

@@ -348,10 +348,10 @@ def coverage_summary(spark, sf):
 
 @R.query(
     "support_facts",
-    f"WITH {COVER_SQL} SELECT aspect, count(*) AS facts FROM (SELECT aspect FROM fx UNION ALL SELECT 'grain' FROM part WHERE p_size = 46 AND p_size % 6 <> 0) GROUP BY ALL",
+    f"WITH {COVER_SQL} SELECT path, aspect, conflicted FROM fx UNION ALL SELECT 'data://metrics/' || p_partkey, 'grain', p_size % 7 = 0 FROM part WHERE p_size = 46",
 )
 def support_facts(spark, sf):
-    return metric_facts(spark, sf).groupBy("aspect").agg(F.count("*").alias("facts"))
+    return metric_facts(spark, sf).select("path", "aspect", F.coalesce("conflicted", F.lit(False)).alias("conflicted"))
 
 
 @R.query(
