@@ -237,3 +237,55 @@ def test_usage_disagreement_is_unknown(spark):
     rows = [(1, "a", 5, 2), (1, "a", 5, 2), (1, "b", 1, 1), (2, "a", 5, 2), (2, "a", 6, 2), (3, "a", None, 1)]
     got = {r["run"]: r["total_tokens"] for r in EV.token_usage(spark.createDataFrame(rows, "run int, call_id string, input_tokens long, output_tokens long")).collect()}
     assert got == {1: 9, 2: None, 3: None}
+
+
+def test_hierarchies_of_any_depth(spark):
+    n = 37
+    edges = [("v", f"n{i:02d}", f"n{i + 1:02d}", True) for i in range(n)] + [("v", "n05", "n09", True), ("w", "a", "b", True), ("w", "b", "a", True)]
+    active = spark.createDataFrame(edges, "view string, parent string, child string, active boolean")
+    got = {(r.view, r.ancestor, r.node): r.depth for r in H.closure(active).collect()}
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            assert got["v", f"n{i:02d}", f"n{j:02d}"] == j - i - (3 if i <= 5 and j >= 9 else 0)
+    assert got["w", "a", "b"] == got["w", "b", "a"] == 1
+    nodes = spark.createDataFrame([(f"n{i:02d}", f"N{i}", False) for i in range(n + 1)], "path string, name string, virtual boolean")
+    chain = active.where("view = 'v' AND NOT (parent = 'n05' AND child = 'n09')")
+    assert {r.node: r.depth for r in H.breadcrumbs(chain, nodes).collect()} == {f"n{i:02d}": i + 1 for i in range(n + 1)}
+    assert {(r.view, r.node) for r in H.cyclic_nodes(active).collect()} == {("w", "a"), ("w", "b")}
+
+
+def test_diverse_sample_equals_plain_greedy(spark, monkeypatch):
+    monkeypatch.setattr(CB, "SAMPLE_BATCH", 7)
+    rnd = random.Random(12)
+    rows = [
+        (f"c{i:03d}", rnd.choice("AB"), f"query {rnd.randrange(70)}", sorted({rnd.choice("pqrstuvw") for _ in range(3)}), [rnd.choice("xyz")], [rnd.choice("de")], [], rnd.choice("mn"))
+        for i in range(90)
+    ]
+    df = spark.createDataFrame(rows, "case_id string, category string, query string, traits array<string>, entities array<string>, source_documents array<string>, topics array<string>, motif string")
+    caps, targets = {"entity": 5, "document": 6, "motif": 7}, {"A": 4, "B": 5}
+    left, order = list(rows), []
+    while left and len(order) < 11:
+        used = [r for r in rows if r[0] in order]
+        count = lambda i, v: sum(v in (r[i] if isinstance(r[i], list) else [r[i]]) for r in used)
+        fits = [r for r in left if all(count(4, v) < 5 for v in r[4]) and all(count(5, v) < 6 for v in r[5]) and count(7, r[7]) < 7 and r[2] not in {u[2] for u in used}]
+        if not fits:
+            break
+        seen = {t for r in used for t in r[3]}
+        best = min(fits, key=lambda r: (-round(len(set(r[3]) - seen) + 5 * max(0.0, 1 - count(1, r[1]) / targets[r[1]]), 9), r[0]))
+        order.append(best[0])
+        left.remove(best)
+    assert [r.case_id for r in CB.sample_diverse(df, 11, caps, targets).orderBy("pick").collect()] == order
+
+
+def test_exact_search_scores_every_page_that_shares_a_word(spark):
+    words = ["alpha", "beta", "gamma", "delta", "common"]
+    rnd = random.Random(3)
+    pages = [(f"p{i:03d}", "metric", f"name{i}", f"id{i}", "", " ".join(rnd.choice(words) for _ in range(12)) + " common", "EXPLICIT", [f"alias{i}"]) for i in range(150)]
+    pg = spark.createDataFrame(pages, "path string, context_type string, name string, canonical_id string, l0 string, l1 string, identity_status string, aliases array<string>")
+    index = S.build_index(pg)
+    queries = spark.createDataFrame([("a", "common alpha"), ("b", "alias7")], "query_id string, text string")
+    assert S.score_all(index, queries).groupBy("query_id").count().collect() and S.score_all(index, queries).where("query_id = 'a'").count() == 150
+    assert [r.path for r in S.search_many(index, queries).where("query_id = 'b'").collect()] == ["p007"]
+    assert [r.path for r in S.exact_channel(S.eligible_pages(pg), "alias7").collect()] == ["p007"]
+    listed = pg.withColumn("topic_domain", F.array(F.lit("Radio"), F.lit("Core")))
+    assert S.facet_channel(S.eligible_pages(listed), {"topic_domain": "core"}).count() == 150
