@@ -317,7 +317,7 @@ def bounded_candidates(index: PageIndex, queries: DataFrame, limit: int = CANDID
     Reads rejected by ``allowed`` (query_id, path) still use budget; a path read twice keeps
     its first position.
     """
-    asked = salted_join(query_words(queries), index.terms, ["token"], ["query_id"])
+    asked = cut_lineage(salted_join(query_words(queries), index.terms, ["token"], ["query_id"]))
     # A list longer than the budget can never be read past it, so its head is enough.
     reads = salted_join(asked, posting_heads(wanted_postings(index.postings, asked, ["token"]), limit), ["token"], ["query_id"])
     w = Window.partitionBy("query_id").orderBy("df", "token", "path")
@@ -376,7 +376,7 @@ def score_all(index: PageIndex, queries: DataFrame) -> DataFrame:
     queries in salted buckets, and each task adds up its parts before the shuffle.
     """
     n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
-    asked = salted_join(query_words(queries), index.terms, ["token"], ["query_id"])
+    asked = cut_lineage(salted_join(query_words(queries), index.terms, ["token"], ["query_id"]))
     held = salted_join(wanted_postings(index.postings, asked, ["token"]), index.lengths, ["path"], ["token"])
     part = bm25_expr(n, F.col("df"), F.col("tf"), F.col("dl"), avgdl)
     return salted_join(held, asked, ["token"], ["path"]).groupBy("query_id", "path").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
