@@ -22,15 +22,18 @@ import numpy as np
 
 MAGIC = b"TIDS"
 VERSION = 1
-BLOCK = 4096
+BLOCK = 2048
 TOTAL_BITS = 20  # probabilities of an id add up to 1 << TOTAL_BITS
 PLAIN_BITS = 15  # those of order 0 to 1 << PLAIN_BITS
-SLOTS = 4096  # order-2 contexts of a block, hashed
-UPDATES = frozenset((32, 64, 128, 256, 512, 1024, 2048, 3072))
+SLOTS = 2048  # order-2 contexts of a block, hashed
+UPDATES = frozenset((32, 64, 128, 256, 512, 1024))
 GAIN = 32  # weight of an id seen against one only listed
 TRUST = 8  # levels of trust in a context's prediction
 RATE = 4  # a level's hit rate moves by 1/16 of its error
+STEP_BITS = 5
+COARSE = 1 << (PLAIN_BITS - STEP_BITS)  # steps of a block's table from probabilities of order 0 to ids
 SLAB = 64  # blocks whose ids are ranked at once
+ROOM = (1 << TOTAL_BITS) - (1 << PLAIN_BITS)
 HEADER = struct.Struct("<4sBIQII")
 LOW32 = np.uint64(0xFFFFFFFF)
 ONE32 = np.uint64(1 << 32)
@@ -46,20 +49,17 @@ class Mixer:
 
     def __init__(self, sizes: np.ndarray) -> None:
         n, widest = len(sizes), int(sizes.max())
-        self.n, self.width = n, widest + 1
+        self.n, self.width, self.sizes = n, widest + 1, sizes
         self.lane = np.arange(n)
         self.base = self.lane * self.width
-        self.known = (np.arange(widest)[None, :] < sizes[:, None]).astype(np.int64)
-        self.sizes = sizes
-        self.counts = self.known.copy()
-        self.next1 = np.zeros(n * self.width, np.int16)
-        self.trust1 = np.zeros(n * self.width, np.uint8)
-        self.next2 = np.zeros(n * SLOTS, np.int16)
-        self.trust2 = np.zeros(n * SLOTS, np.uint8)
-        start = np.array([0, 2, 4, 6, 8, 10, 12, 13], np.int32) << (16 - 4)
-        self.rate1, self.rate2 = np.tile(start, n), np.tile(start, n)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.counts = (np.arange(widest)[None, :] < sizes[:, None]).astype(np.int64)
+        # contexts of order 1 (one per id) and, behind them, of order 2
+        self.second = n * self.width + self.lane * SLOTS
+        self.cells = np.zeros(n * (self.width + SLOTS), np.int16)  # predicted id * TRUST + trust in it
+        self.levels = np.arange(2 * n).reshape(2, n) * TRUST
+        self.rates = np.tile(np.array([0, 2, 4, 6, 8, 10, 12, 13], np.int64) << (16 - 4), 2 * n)
+        self.at = np.zeros((2, n), np.int64)
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.renew()
 
     def renew(self) -> None:
@@ -69,82 +69,103 @@ class Mixer:
         sums *= ((1 << PLAIN_BITS) - self.sizes)[:, None]
         sums //= np.maximum(self.counts.sum(axis=1), 1)[:, None]
         sums[:, 1:] += np.minimum(np.arange(1, self.width)[None, :], self.sizes[:, None])
-        self.plain = sums.astype(np.int32).ravel()
-        self.search = None
+        self.plain = sums.ravel()
+        self.coarse = None
 
     def look(self, k: int) -> None:
         """Predictions and shares for the first ``k`` blocks."""
-        lane = self.lane[:k]
-        self.at1 = self.base[:k] + self.last[:k]
-        self.at2 = lane * SLOTS + ((self.last[:k] * 40503 + self.before[:k] * 2531) >> 3 & (SLOTS - 1))
-        self.p1, self.p2 = self.next1[self.at1].astype(np.int64), self.next2[self.at2].astype(np.int64)
-        self.level1, self.level2 = lane * TRUST + self.trust1[self.at1], lane * TRUST + self.trust2[self.at2]
-        rate2 = self.rate2[self.level2].astype(np.int64)
-        room = (1 << TOTAL_BITS) - (1 << PLAIN_BITS)
-        self.w2 = rate2 * room >> 16
-        self.w1 = self.rate1[self.level1].astype(np.int64) * (room - self.w2) >> 16
+        at, last = self.at[:, :k], self.last[:k]
+        np.add(self.base[:k], last, out=at[0])
+        np.add(self.second[:k], (last * 40503 + self.before[:k] * 2531) >> 3 & (SLOTS - 1), out=at[1])
+        cells = self.cells[at]
+        self.guess, self.trusted = cells >> 3, cells & (TRUST - 1)
+        self.level = self.levels[:, :k] + self.trusted
+        self.rate = self.rates[self.level]
+        self.w2 = self.rate[1] * ROOM >> 16
+        self.w1 = self.rate[0] * (ROOM - self.w2) >> 16
         self.w0 = (1 << TOTAL_BITS) - self.w1 - self.w2
 
-    def below(self, rank: np.ndarray, k: int) -> np.ndarray:
-        """Mixed probability of all ids before ``rank``."""
-        return (self.plain[self.base[:k] + rank] * self.w0 >> PLAIN_BITS) + self.w1 * (rank > self.p1) + self.w2 * (rank > self.p2)
+    def share(self, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed probability of all ids before ``rank`` and of ``rank`` itself."""
+        at = self.base[:k] + rank
+        below = self.plain[at] * self.w0 >> PLAIN_BITS
+        size = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) - below
+        small = rank.astype(np.int16)
+        self.hit = self.guess == small
+        past = self.guess < small
+        below += self.w1 * past[0]
+        below += self.w2 * past[1]
+        size += self.w1 * self.hit[0]
+        size += self.w2 * self.hit[1]
+        return below, size
+
+    def _coarse(self) -> np.ndarray:
+        """For each block and step of order 0 the last id that begins at the step or before it."""
+        starts = self.plain.reshape(self.n, self.width)[:, :-1]
+        listed = np.arange(self.width - 1)[None, :] < self.sizes[:, None]
+        keys = (self.lane[:, None] * (COARSE + 1) + (starts + (1 << STEP_BITS) - 1 >> STEP_BITS))[listed]
+        begun = np.bincount(keys, minlength=self.n * (COARSE + 1)).reshape(self.n, COARSE + 1)
+        return (np.cumsum(begun, axis=1) - 1).astype(np.int16).ravel()
 
     def find(self, value: np.ndarray, k: int) -> np.ndarray:
         """The ranks whose share of the mixture holds ``value``."""
-        low, high = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
-        first = np.where(self.p1 <= self.p2, self.w1, self.w2)
-        second = self.w1 + self.w2 - first
-        rest = value - np.where(value >= self.below(low + 1, k), first, 0) - np.where(value >= self.below(high + 1, k), second, 0)
-        if self.search is None:
-            self.search = (self.plain.reshape(self.n, self.width)[:, :-1] + (self.lane << PLAIN_BITS + 1)[:, None]).ravel()
-        target = (((rest + 1) << PLAIN_BITS) - 1) // self.w0 + (self.lane[:k] << PLAIN_BITS + 1)
-        found = np.searchsorted(self.search, target.astype(self.search.dtype), side="right") - 1 - self.lane[:k] * (self.width - 1)
-        found = np.minimum(found, self.sizes[:k] - 1)
-        for guess in (low, high):
-            start = self.below(guess, k)
-            hit = (value >= start) & (value < self.below(guess + 1, k))
-            found = np.where(hit, guess, found)
-        return found
+        swap = self.guess[0] > self.guess[1]
+        first, second = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
+        low, high = (f(self.guess[0], self.guess[1]).astype(np.int64) for f in (np.minimum, np.maximum))
+        if self.coarse is None:
+            self.coarse = self._coarse()
+        at = self.base[:k] + low
+        start_low = self.plain[at] * self.w0 >> PLAIN_BITS
+        end_low = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) + first
+        end_low += second * (low == high)
+        at = self.base[:k] + high
+        start_high = (self.plain[at] * self.w0 >> PLAIN_BITS) + first * (low != high)
+        end_high = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) + first + second
+        rest = value - first * (value >= end_low) - second * (value >= end_high)
+        target = (((rest + 1) << PLAIN_BITS) - 1) // self.w0
+        slot = self.lane[:k] * (COARSE + 1) + (np.minimum(target, (1 << PLAIN_BITS) - 1) >> STEP_BITS)
+        found, most = self.coarse[slot].astype(np.int64), self.coarse[slot + 1].astype(np.int64)
+        while (found < most).any():  # halve what is left between two steps of the table
+            middle = (found + most + 1) >> 1
+            right = self.plain[self.base[:k] + middle] <= target
+            found = np.where(right, middle, found)
+            most = np.where(right, most, middle - 1)
+        found = np.where((value >= start_low) & (value < end_low), low, found)
+        return np.where((value >= start_high) & (value < end_high), high, found)
 
     def learn(self, rank: np.ndarray, k: int) -> None:
-        for guess, at, level, nexts, trusts, rates in (
-            (self.p1, self.at1, self.level1, self.next1, self.trust1, self.rate1),
-            (self.p2, self.at2, self.level2, self.next2, self.trust2, self.rate2),
-        ):
-            hit = guess == rank
-            rate = rates[level]
-            rates[level] = rate + (np.where(hit, 65000, 0).astype(np.int32) - rate >> RATE)
-            trust = trusts[at]
-            trusts[at] = np.where(hit, np.minimum(trust + 1, TRUST - 1), trust >> 1)
-            nexts[at] = np.where(hit | (trust > 1), guess, rank)
+        """After ``share`` of the true ranks: hit rates, trust, successors and contexts."""
+        self.rates[self.level] = self.rate + (self.hit * 65000 - self.rate >> RATE)
+        trusted = self.trusted
+        guess = np.where(trusted > 1, self.guess, rank.astype(np.int16))
+        self.cells[self.at[:, :k]] = guess << 3 | np.where(self.hit, np.minimum(trusted + 1, TRUST - 1), trusted >> 1)
         self.before[:k] = self.last[:k]
         self.last[:k] = rank
 
 
 def _rows(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as one row per block, and each block's length; only the last block may be shorter."""
+    """Ids as one row per block, and each block's length; only the last block may be shorter, it is filled up with its first id."""
     blocks = -(-len(flat) // BLOCK)
-    rows = np.zeros((blocks, BLOCK), np.uint32)
+    rows = np.full((blocks, BLOCK), flat[BLOCK * (blocks - 1)], np.uint32)
     rows.ravel()[: len(flat)] = flat
     lengths = np.full(blocks, BLOCK)
     lengths[-1] = len(flat) - BLOCK * (blocks - 1)
     return rows, lengths
 
 
-def _ranked(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each id's rank among its block's distinct ids; number of distinct ids; all lists one after the other."""
-    ranks, sizes, lists = np.zeros(rows.shape, np.int16), np.zeros(len(rows), np.int64), []
-    top = int(rows.max()) + 1
+    ranks, sizes, lists = np.empty(rows.shape, np.int16), np.empty(len(rows), np.int64), []
+    short = rows.max() < 1 << 16
     for at in range(0, len(rows), SLAB):
-        part = rows[at : at + SLAB]
-        seen = np.zeros((len(part), top), np.int16)
-        used = np.arange(BLOCK)[None, :] < lengths[at : at + SLAB, None]
-        lane = np.broadcast_to(np.arange(len(part))[:, None], part.shape)
-        seen[lane[used], part[used]] = 1
-        lists.append(np.nonzero(seen)[1])
-        sizes[at : at + SLAB] = seen.sum(axis=1)
-        np.cumsum(seen, axis=1, out=seen)
-        ranks[at : at + SLAB] = np.where(used, np.take_along_axis(seen, part.astype(np.int64), axis=1) - 1, 0)
+        part = rows[at : at + SLAB].astype(np.uint16) if short else rows[at : at + SLAB]
+        order = np.argsort(part, axis=1, kind="stable")
+        ids = np.take_along_axis(part, order, axis=1)
+        new = np.ones(ids.shape, bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+        np.put_along_axis(ranks[at : at + SLAB], order, np.cumsum(new, axis=1, dtype=np.int16) - np.int16(1), axis=1)
+        sizes[at : at + SLAB] = new.sum(axis=1)
+        lists.append(ids[new].astype(np.int64))
     return ranks, sizes, np.concatenate(lists)
 
 
@@ -158,7 +179,7 @@ def _counted(mixer: Mixer, done: np.ndarray) -> None:
 def encode_blocks(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Checksums, sizes, lists, numbers of code words, and code words of all blocks of the ids."""
     rows, lengths = _rows(flat)
-    ranks, sizes, lists = _ranked(rows, lengths)
+    ranks, sizes, lists = _ranked(rows)
     n = len(rows)
     mixer, since = Mixer(sizes), 0
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -176,11 +197,10 @@ def encode_blocks(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             since = t
         mixer.look(k)
         rank = steps[t, :k]
-        start = mixer.below(rank, k)
-        size = (mixer.below(rank + 1, k) - start).astype(np.uint64)
+        start, size = mixer.share(rank, k)
         unit = span[:k] >> np.uint64(TOTAL_BITS)
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * size
+        low[:k] += unit * start.view(np.uint64)
+        span[:k] = unit * size.view(np.uint64)
         small = np.flatnonzero(span[:k] < ONE32)
         if len(small):
             bottom, left = low[small], span[small]
@@ -224,10 +244,9 @@ def decode_blocks(n_ids: int, checks: np.ndarray, sizes: np.ndarray, lists: np.n
         unit = span[:k] >> np.uint64(TOTAL_BITS)
         value = np.minimum((code[:k] - low[:k]) // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
         rank = mixer.find(value, k)
-        start = mixer.below(rank, k)
-        size = (mixer.below(rank + 1, k) - start).astype(np.uint64)
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * size
+        start, size = mixer.share(rank, k)
+        low[:k] += unit * start.view(np.uint64)
+        span[:k] = unit * size.view(np.uint64)
         small = np.flatnonzero(span[:k] < ONE32)
         if len(small):
             bottom = low[small]

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from metaloom.llm.bytepairs import blank_separated
 from metaloom.llm.common import Memo, text_pairs, text_rows
 from metaloom.llm.tokenfiles import read_chunk, write_chunk
-from metaloom.scale import maybe_broadcast
+from metaloom.scale import cut_lineage, maybe_broadcast
 
-CHUNK = 1 << 22  # ids that close a chunk
+CHUNK = 1 << 23  # ids that close a chunk
 AT_ONCE = 500  # texts encoded together
 
 
@@ -37,7 +37,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = {blank: Memo(lambda word, b=blank: self._library([b + word])[0], 200_000) for blank in ("", " ")}
+        self.words = {blank: Memo(lambda word, b=blank: self._library([b + word])[0], 300_000) for blank in ("", " ")}
         self.line_feed = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +77,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int = 0,
     """Encode every whole text, append ``end_id``, and write the ids in ascending doc_id order to the new folder ``target``.
 
     ``path`` names a file of the tokenizers library. Documents are range-partitioned by id
-    (ties by text, null ids first) and packed into frames of about four million ids in whole
+    (ties by text, null ids first) and packed into frames of about eight million ids in whole
     documents; each frame is a row (part, seq, n_docs, n_ids, payload) of a Parquet file.
     Spark's writer commits a task's file once, so a lost executor leaves no torn file. Null
     texts count as empty and keep their end id; an empty table gives a folder without rows.
@@ -132,5 +132,6 @@ def read_token_files(spark: SparkSession, target: str) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     frames = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0)).alias("seq_start")).join(maybe_broadcast(parts), "part")
+    frames = cut_lineage(frames)  # a row per frame
     docs = files.select("part", "seq", "payload").mapInArrow(unpacked, "part int, seq int, doc_id long, before long, ids binary")
     return docs.join(maybe_broadcast(frames), ["part", "seq"]).select("doc_id", (F.col("part_start") + F.col("seq_start") + F.col("before")).alias("start"), "ids")
