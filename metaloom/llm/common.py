@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,15 +12,37 @@ from pyspark.sql import functions as F
 from metaloom.scale import cut_lineage
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """Have Spark cut its Arrow batches by size, so that long texts do not meet in one; a smaller setting of the session stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return docs
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; all other columns, clashing names included, stay behind."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: idle workers share the executor with the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+    if trim:
+        trim(0)
 
 
 def text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Document ids and texts of each Arrow batch as Python lists."""
     for batch in batches:
         yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        del batch
+    give_back()
 
 
 class Memo(dict):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import text_pairs, text_rows
+from metaloom.llm.common import bounded_batches, text_pairs, text_rows
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -105,7 +105,7 @@ def train(rows: DataFrame) -> Model:
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["lang", "bucket", "n"])
 
-    table = rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = bounded_batches(rows).mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     counts[[languages.index(x) for x in table["lang"]], table["bucket"]] = table["n"]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import components
+from metaloom.llm.common import bounded_batches, components, give_back
 from metaloom.scale import cut_lineage, maybe_broadcast, salted_join
 
 EDITS = 2  # edits that make two lines the same
@@ -188,12 +188,13 @@ def _substrings(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
                     if mark not in seen:
                         seen.add(mark)
                         fresh.append(line)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             for block in blocks_of(fresh):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in key_columns(block, edits, probing)], names=["key", "line_id", "odd", "length"])
+        give_back()
 
-    return rows.select("text").mapInArrow(cut, "key long, line_id long, odd long, length int")
+    return bounded_batches(rows).select("text").mapInArrow(cut, "key long, line_id long, odd long, length int")
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from metaloom.llm.common import bounded_batches, give_back
 from metaloom.scale import cut_lineage, maybe_broadcast
 
 #: Marks that ordinary prose uses.
@@ -41,7 +42,9 @@ def text_features(text: str) -> list[float] | None:
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def features_of(texts: pd.Series) -> pd.Series:
-    return texts.map(text_features)
+    found = texts.map(text_features)
+    give_back()
+    return found
 
 
 @dataclass
@@ -120,7 +123,7 @@ def fit(
     and two prior weights come from the sums by the method of moments.
     """
     host, path = _site_keys(docs, host_col, path_col)
-    rows = cut_lineage(docs.select(docs[id_col].cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), features_of(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("features")))
+    rows = cut_lineage(bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), features_of(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("features")))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     lessons = rows.where("features IS NOT NULL").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("features", "quality").toPandas()
     x = np.array(lessons["features"].tolist(), np.float64).reshape(len(lessons), len(FEATURES))
