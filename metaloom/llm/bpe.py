@@ -19,6 +19,7 @@ from metaloom.llm.token_counts import WHITE
 #: Fixed value: the public pattern that picks the words of a normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MERGED = (1 << ID_BITS) - 1
+NEVER = 1 << 62
 
 
 class WordCoder:
@@ -42,25 +43,27 @@ class WordCoder:
             if ends:
                 symbols[-1] = last[body[-1]]
             self.joined.update(a << ID_BITS | b for a, b in zip(symbols, symbols[1:]))
-        self.fragments = Memo(self._fragment, 100_000)
-        self.matches = Memo(self._match, 60_000)
-        self.words = Memo(self._word, 150_000)
+        self.matches = Memo(self._match, 30_000)
+        self.words = Memo(self._word, 70_000)
 
-    def _fragment(self, symbols: tuple[int, ...]) -> tuple[int, ...]:
+    def _fragment(self, symbols: list[int]) -> list[int]:
         """Merges of one fragment, the lowest rank first and the leftmost of equals."""
-        merges, left = self.vocabulary.merges, list(symbols)
-        while len(left) > 1:
-            best, at = None, -1
-            for i in range(len(left) - 1):
-                found = merges.get(left[i] << ID_BITS | left[i + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+        found = self.vocabulary.merges.get
+        pairs = [found(a << ID_BITS | b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is NEVER:
                 break
-            left[at : at + 2] = [best & MERGED]
-        return tuple(left)
-
-    def cuts(self, match: str) -> list[tuple[int, ...]]:
+            i = pairs.index(best)
+            symbols[i] = merged = best & MERGED
+            del symbols[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = found(symbols[i - 1] << ID_BITS | merged, NEVER)
+            if i < len(pairs):
+                pairs[i] = found(merged << ID_BITS | symbols[i + 1], NEVER)
+        return symbols
+
+    def cuts(self, match: str) -> list[list[int]]:
         """The fragments of one word, as start symbols."""
         v = self.vocabulary
         raw = match.encode("utf-8", "surrogatepass")
@@ -69,20 +72,22 @@ class WordCoder:
         out, start = [], 0
         for i in range(1, len(symbols)):
             if symbols[i - 1] << ID_BITS | symbols[i] not in self.joined:
-                out.append(tuple(symbols[start:i]))
+                out.append(symbols[start:i])
                 start = i
-        out.append(tuple(symbols[start:]))
+        out.append(symbols[start:])
         return out
 
-    def _match(self, match: str) -> tuple[int, ...]:
-        return tuple(i for fragment in self.cuts(match) for i in self.fragments[fragment])
+    def _match(self, match: str) -> tuple[bytes, str]:
+        """Packed ids and decoded text of one match of the pattern."""
+        return self._packed([i for fragment in self.cuts(match) for i in self._fragment(fragment)])
 
-    def _packed(self, ids) -> tuple[bytes, str]:
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
         return array("I", ids).tobytes(), " ".join(map(self.vocabulary.names.__getitem__, ids))
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of what stands between two white spaces."""
-        return self._packed([i for match in self.findall(word) for i in self.matches[match]])
+        """The same for what stands between two white spaces."""
+        found = [self.matches[match] for match in self.findall(word)]
+        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -92,7 +97,7 @@ class WordCoder:
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         text = self.normalised(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, but not to the pattern
-            return [self._packed(self.matches[m]) for m in self.findall(text)]
+            return list(map(self.matches.__getitem__, self.findall(text)))
         return list(map(self.words.__getitem__, text.split()))
 
     def code(self, text: str) -> tuple[bytes, str]:
