@@ -291,3 +291,32 @@ def test_pipeline_stages(spark):
         assert kept.columns == columns and kept.count() <= rows
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_copies_equal_brute_force(spark, table):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(60, 500))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, max(2, len(base) // 30))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9000, ""), (9001, None), (9002, "One  two"), (9003, "one two"), (9004, "one three")]
+    sets = {i: {tuple((t or "").lower().split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    pairs = [(i, j) for i, j in itertools.combinations(sets, 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+    for i, j in pairs:
+        low, high = sorted((root[i], root[j]))
+        root = {k: low if r == high else r for k, r in root.items()}
+    far = {i: plain_fingerprint(t) for i, t in rows}
+    assert sum((far[i] ^ far[j]).bit_count() > 4 for i, j in pairs) > len(pairs) / 3  # beyond four bits
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(rows)).collect()}
+    assert got == root
+    kept = simhash.keep_first_copies(table(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+    hits = [bool(set(simhash.minima_keys(simhash.shingle_set(rows[i][1], 5))) & set(simhash.minima_keys(simhash.shingle_set(rows[j][1], 5)))) for i, j in pairs if j < 9000]
+    assert np.mean(hits) > 0.99
