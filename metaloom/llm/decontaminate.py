@@ -15,7 +15,8 @@ UNITS = (
     "lit(?:er|re)s?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|percent|dollars?|euros?|cents?|watts?|volts?|m|g|l|s|h|w|v"
 )
 NUMBER_UNIT = rf"(?<![\p{{L}}\p{{N}}])([0-9]+(?:[.,:/][0-9]+)*)\s?(%|(?i:{UNITS})(?![\p{{L}}\p{{N}}]))"
-PLAIN_NUMBER = rf"(?<![\p{{L}}\p{{N}}{NUMBER}])([0-9]+(?:[.,:/][0-9]+)*)"
+#: Takes a number behind its placeholder along, so that digits after its point or comma are not found again.
+PLAIN_NUMBER = rf"(?<![\p{{L}}\p{{N}}{NUMBER}]){NUMBER}?([0-9]+(?:[.,:/][0-9]+)*)"
 CAPITALISED = r"(?=\p{Lu})(?<=[^.!?:;|\s]\s)(\p{Lu}[\p{L}'-]*)"
 MARKS = rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{NAME}]+"
 

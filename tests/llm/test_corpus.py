@@ -72,6 +72,19 @@ def test_leaks(spark, table):
     assert decontaminate.mark_contaminated(table([]), bench).count() == 0
 
 
+def test_leaks_with_decimals_and_units(spark, table):
+    texts = ["Convert 3.5 km to miles", "Pay 1,000 dollars at 2.5% by 12:30 h", "It took 3 h and 1/2 m or 7.25 in all"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = df.select(decontaminate.template_words(df["text"], False).alias("a"), decontaminate._templates(decontaminate.template_words(df["text"], True)).alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+    n, u = decontaminate.NUMBER, decontaminate.UNIT
+    assert both[0].a == ["convert", n, u, "to", "miles"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    rows = [(i, f"he said: {t} . and left") for i, t in enumerate(texts)] + [(9, "Convert 3 km to miles")]
+    got = {r.doc_id: (r["items"], r.reworded) for r in decontaminate.mark_contaminated(table(rows), bench).collect()}
+    assert got == {0: ([0], False), 1: ([1], False), 2: ([2], False), 9: ([0], True)}
+
+
 def test_leaks_equal_plain_containment(spark):
     sf = "/root/testdata/sf0.01"
     got = R.builders["op3_benchmark_decontamination"](spark, sf).toPandas()
