@@ -69,9 +69,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
        items is too large to broadcast (its size is checked) are they shuffled.
     2. For documents with a hit, windows are lined up: by item and by distance of places. A
        line with ``share`` of the item's windows, or with ``run`` of them, is a candidate.
-    3. Its slots must be consistent: along the line every number, unit or name of the item
-       stands for one value of the document and the other way round. ``reworded`` tells that
-       some value differs: a re-parameterised question.
+    3. Its slots must be consistent, see ``_matches``, unless ``share`` of the item's windows
+       are there to the value. ``reworded`` tells that some value differs: a re-parameterised
+       question.
 
     Items shorter than ``width`` are matched as a whole; windows with fewer than two literal
     words are left out. ``items`` lists the matched item ids in rising order, ``share`` is the
@@ -94,7 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
         return whole
 
     literal = F.size(F.filter(F.slice("template", F.col("place") + 1, F.col("width")), lambda w: ~_is_slot(w)))
-    listed = cut_lineage(per_width(lambda w: _windows(items.where(F.col("width") == w), w)).where(literal >= F.least(F.lit(LITERALS), F.col("width"))).select("item_id", F.col("width"), F.col("place").alias("item_place"), "hash"))
+    listed = cut_lineage(per_width(lambda w: _windows(items.where(F.col("width") == w), w)).where(literal >= F.least(F.lit(LITERALS), F.col("width"))).select("item_id", F.col("width"), F.col("place").alias("item_place"), "hash", F.slice("words", F.col("place") + 1, F.col("width")).alias("item_words")))
     totals = listed.groupBy("item_id").agg(F.count("*").alias("windows"))
 
     scanned = _once(rows, "template", template_words(F.col("text"), False)).select("doc_id", "text_hash", "template")
@@ -106,21 +106,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     texts = rows.join(maybe_broadcast(near), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     texts = _once(texts, "words", template_words(F.col("text"), True)).drop("text")
     texts = cut_lineage(_once(texts, "template", _templates(F.col("words"))))
-    lined = per_width(
-        lambda w: _windows(texts, w).select("doc_id", "text_hash", "place", "hash").join(maybe_broadcast(listed.where(F.col("width") == w).drop("width")), "hash")
-    ).groupBy("doc_id", "text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("found"))
-    lines = lined.join(maybe_broadcast(totals), "item_id").withColumn("share", F.col("found") / F.col("windows")).where((F.col("share") >= share) | (F.col("found") >= run))
-
-    item_slots = items.select("item_id", F.posexplode("words").alias("item_place", "item_word")).where(_is_slot(F.col("item_word")))
-    item_slots = item_slots.groupBy("item_id").agg(F.collect_list(F.struct("item_place", "item_word")).alias("slots"))
-    words = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
-    checked = cut_lineage(lines).join(maybe_broadcast(item_slots), "item_id", "left").join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    pairs = F.transform("slots", lambda s: F.struct(s["item_word"].alias("a"), F.get(F.col("words"), s["item_place"] + F.col("shift")).alias("b")))
-    pairs = F.array_distinct(F.filter(F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")), lambda p: F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1)))
-    checked = _once(checked, "pairs", pairs)
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs"))
+    found = per_width(
+        lambda w: _windows(texts, w).select("doc_id", "text_hash", "place", "hash", F.slice("words", F.col("place") + 1, w).alias("doc_words")).join(maybe_broadcast(listed.where(F.col("width") == w).drop("width")), "hash")
+    )
+    hits = cut_lineage(found.select("doc_id", "text_hash", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), _slot_pairs(F.col("item_words"), F.col("doc_words")).alias("pairs")))
+    lines = _matches(hits, ["doc_id", "text_hash", "item_id", "shift"], totals, share, run)
+    return lines.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("share"), 9).alias("share"), F.bool_or("differs").alias("reworded"))
+
+
+def _slot_pairs(item_words: Column, doc_words: Column) -> Column:
+    """Different pairs (a, b) of values at the placeholders of two windows with equal templates."""
+    pairs = F.zip_with(item_words, doc_words, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.array_distinct(F.filter(pairs, lambda p: _is_slot(p["a"])))
+
+
+def _matches(hits: DataFrame, keys: list[str], totals: DataFrame, share: float, run: int | None) -> DataFrame:
+    """(keys, share, differs): the groups of hits that are a copy of their item, by windows and by slots.
+
+    A group needs ``share`` of the item's windows, or ``run`` of them where that is given. Its
+    slots, those of matched windows only, must be consistent: a value of the item stands for one
+    value of the document and a unit or name of the document for one of the item; two numbers may
+    get the same new value. With ``share`` of the windows alike to the value no slots are asked.
+    """
+    literal = ~F.exists("pairs", lambda p: p["a"] != p["b"])
+    groups = hits.groupBy(*keys).agg(
+        F.size(F.collect_set("item_place")).alias("found"), F.size(F.collect_set(F.when(literal, F.col("item_place")))).alias("literal"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    groups = groups.join(maybe_broadcast(totals), "item_id").withColumn("share", F.col("found") / F.col("windows"))
+    enough = F.col("share") >= share
+    if run is not None:
+        enough = enough | (F.col("found") >= run)
+    distinct = lambda values: F.size(F.array_distinct(values)) == F.size(values)
+    typed = F.filter("pairs", lambda p: F.substring(p["a"], 1, 1) != NUMBER)
+    consistent = distinct(F.transform("pairs", lambda p: p["a"])) & distinct(F.transform(typed, lambda p: p["b"]))
     differs = F.exists("pairs", lambda p: p["a"] != p["b"])
-    return checked.where(one_to_one).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("share"), 9).alias("share"), F.bool_or(differs).alias("reworded"))
+    return groups.where(enough & (consistent | (F.col("literal") / F.col("windows") >= share))).select(*keys, "share", differs.alias("differs"))
 
 
 def _with_leaks(docs: DataFrame, leaks: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:

@@ -85,6 +85,22 @@ def test_leaks_with_decimals_and_units(spark, table):
     assert got == {0: ([0], False), 1: ([1], False), 2: ([2], False), 9: ([0], True)}
 
 
+def test_leaks_with_values_that_clash(spark, table):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu amber birch".split()
+    twice = " ".join([*words[:4], "45", *words[4:12], "45", *words[12:]])  # thirty words, one number twice
+    run = "we then saw that the old mill by the green lake had been shut for many long years and so 17 crows sat on 17 posts in rows of two by the gate"
+    two = "a shop with 45 red hats and 12 blue caps was open all day and then sold the last of them"
+    bench = spark.createDataFrame([(1, twice), (2, run), (3, two)], "item_id long, text string")
+    rows = [
+        (1, " ".join([*words[:4], "45", *words[4:12], "46", *words[12:]])),  # 21 of 26 windows to the value
+        (2, run.split(" 17 crows")[0] + " 5 dogs ran off 6 posts into the dark of the night over there"),  # twenty words, then other text with a clashing number at a slot
+        (3, two.replace("45", "7").replace("12", "7")),
+        (4, PROSE),
+    ]
+    got = {r.doc_id: (r["items"], r.reworded) for r in decontaminate.mark_contaminated(table(rows), bench).collect()}
+    assert got == {1: ([1], True), 2: ([2], True), 3: ([3], True), 4: ([], False)}
+
+
 def test_leaks_equal_plain_containment(spark):
     sf = "/root/testdata/sf0.01"
     got = R.builders["op3_benchmark_decontamination"](spark, sf).toPandas()
