@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.scale import cut_lineage, maybe_broadcast
@@ -21,7 +21,7 @@ CAPITALISED = r"(?=\p{Lu})(?<=[^.!?:;|\s]\s)(\p{Lu}[\p{L}'-]*)"
 MARKS = rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{NAME}]+"
 
 WIDTH = 5  # words of a window
-SHARE = 0.8  # of an item's windows, in line, make a match
+SHARE = 0.8  # of an item's windows, in line or in a band of places, make a match
 RUN = 12  # so many windows in line (16 words) do so too: a long part of an item
 LITERALS = 2  # words of a window that must be no placeholders
 
@@ -68,7 +68,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
        joined with those of the items. Only hashes leave the scan, and only if the table of
        items is too large to broadcast (its size is checked) are they shuffled.
     2. For documents with a hit, windows are lined up: by item and by distance of places. A
-       line with ``share`` of the item's windows, or with ``run`` of them, is a candidate.
+       line with ``share`` of the item's windows, or with ``run`` of them, is a candidate, and
+       so is a band of places with ``share`` of the item's windows on any lines, which holds
+       copies with words put in or taken out.
     3. Its slots must be consistent, see ``_matches``, unless ``share`` of the item's windows
        are there to the value. ``reworded`` tells that some value differs: a re-parameterised
        question.
@@ -111,9 +113,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     )
     hits = cut_lineage(found.select("doc_id", "text_hash", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), _slot_pairs(F.col("item_words"), F.col("doc_words")).alias("pairs")))
     lines = _matches(hits, ["doc_id", "text_hash", "item_id", "shift"], totals, share, run)
+    lines = lines.drop("shift").unionByName(_matches(_banded(hits, items, totals, share), ["doc_id", "text_hash", "item_id", "band"], totals, share, None).drop("band"))
     return lines.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("share"), 9).alias("share"), F.bool_or("differs").alias("reworded"))
 
 
+def _banded(hits: DataFrame, items: DataFrame, totals: DataFrame, share: float) -> DataFrame:
+    """Hits once per band of places they lie in, one hit for each item window of a band.
+
+    Bands begin every quarter of the item's words and are seven quarters long, so each stretch
+    of the document of one and a half times the item's length lies within one. Of several
+    hits of an item window the one on the line with most hits in the band counts. Only items
+    with ``share`` of their windows somewhere in the document are looked at.
+    """
+    pair = ["doc_id", "text_hash", "item_id"]
+    whole = hits.groupBy(*pair).agg(F.size(F.collect_set("item_place")).alias("all")).join(maybe_broadcast(totals), "item_id").where(F.col("all") / F.col("windows") >= share)
+    whole = whole.join(maybe_broadcast(items.select("item_id", F.greatest(F.ceil(F.size("words") / 4), F.lit(1)).alias("step"))), "item_id")
+    whole = cut_lineage(whole.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("item_id").alias("_item"), "step"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("item_id") == F.col("_item"))
+    last = F.floor(F.col("place") / F.col("step"))
+    banded = hits.join(maybe_broadcast(whole), same).select(*pair, "item_place", "shift", "pairs", F.explode(F.sequence(last - 6, last)).alias("band"))
+    banded = banded.withColumn("line", F.count("*").over(Window.partitionBy(*pair, "band", "shift")))
+    best = Window.partitionBy(*pair, "band", "item_place").orderBy(F.desc("line"), "shift")
+    return banded.withColumn("order", F.row_number().over(best)).where("order = 1").drop("order", "line", "shift")
+
+
 def _slot_pairs(item_words: Column, doc_words: Column) -> Column:
     """Different pairs (a, b) of values at the placeholders of two windows with equal templates."""
     pairs = F.zip_with(item_words, doc_words, lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -101,6 +101,19 @@ def test_leaks_with_values_that_clash(spark, table):
     assert got == {1: ([1], True), 2: ([2], True), 3: ([3], True), 4: ([], False)}
 
 
+def test_leaks_with_words_put_in(spark, table):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray".split()
+    put_in = [*words[:12], "also", *words[12:]]  # 16 of 20 windows on two lines
+    price = "a shop sold 45 red hats for 3 dollars each and 12 blue caps to those who had come in late that day before it was shut for good"
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, price)], "item_id long, text string")
+    far = " ".join([*words[:12], *["filler"] * 60, *words[12:]])
+    rows = [(1, " ".join(["so", *put_in, "end"])), (2, price.replace("3 dollars", "$3")), (3, far), (4, " ".join(words[:9])), (None, " ".join(put_in))]
+    got = {r.doc_id: (r["items"], r.share, r.reworded) for r in decontaminate.mark_contaminated(table(rows), bench).collect()}
+    assert got[1] == got[None] == ([1], 0.8, False)
+    assert got[2][0] == [2] and not got[2][2]
+    assert got[3][0] == got[4][0] == []
+
+
 def test_leaks_equal_plain_containment(spark):
     sf = "/root/testdata/sf0.01"
     got = R.builders["op3_benchmark_decontamination"](spark, sf).toPandas()
