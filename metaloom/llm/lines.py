@@ -15,7 +15,8 @@ from metaloom.llm.common import bounded_batches, components, give_back
 from metaloom.scale import cut_lineage, maybe_broadcast, salted_join
 
 EDITS = 2  # edits that make two lines the same
-SHORTEST = 20  # characters of a line that can be a copy; shorter ones are left alone
+SHORTEST = 1  # characters of a line whose equal repeats go: every line that is not blank
+LINKED = 20  # characters of a line that can be a copy by edits
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -24,12 +25,12 @@ BLANKS = " \t\r\x0b\x0c"
 
 
 def lines_of(text: str) -> list[str]:
-    """Lines of a text without outer blanks that are long enough to be copies."""
-    return [s for line in text.split("\n") if len(s := line.strip(BLANKS)) >= SHORTEST]
+    """Lines of a text without outer blanks that are long enough to be copies by edits."""
+    return [s for line in text.split("\n") if len(s := line.strip(BLANKS)) >= LINKED]
 
 
 def spark_lines(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, number, line, line_id): the same lines with their numbers, in the JVM; the id is a 64-bit hash of the line."""
+    """(keys, number, line, line_id): all lines but blank ones with their numbers, in the JVM; the id is a 64-bit hash of the line."""
     lines = rows.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("number", "line")).withColumn("line", F.btrim("line", F.lit(BLANKS)))
     return lines.where(F.length("line") >= SHORTEST).withColumn("line_id", F.xxhash64("line"))
 
@@ -246,9 +247,9 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
 def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``n_lines`` and ``n_removed``, with repeated lines taken out of the text.
 
-    A line counts from ``SHORTEST`` characters on, outer blanks aside; shorter lines stay. A
-    line that equals, or is linked by edits to, a line that comes earlier by (doc_id, text)
-    is removed with its line end. Rows with equal id and text lose the same lines. Null texts
+    Outer blanks aside, a line that equals a line that comes earlier by (doc_id, text), or that
+    has ``LINKED`` characters or more and is linked to such a line by edits, is removed with
+    its line end; blank lines stay. Rows with equal id and text lose the same lines. Null texts
     stay null; an empty table gives an empty result. Only removed line numbers are joined to
     the texts.
     """

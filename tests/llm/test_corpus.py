@@ -197,6 +197,12 @@ def test_line_dedup_equals_brute_force(table):
     assert sum(map(len, want.values())) > 20
 
 
+def test_short_lines_go_by_equality_only(table):
+    rows = [(1, "Share this\n\n  \nRead more\nx"), (2, " Share this \n\nRead mors\n共有する\nx"), (3, "共有する\nown\nx"), (4, "Read more")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(table(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nRead mors\n共有する", 2), 3: ("own", 2), 4: ("", 1)}
+
+
 def test_segment_table_covers_a_line():
     for edits in (1, 2, 3):
         for length in range(20, 60):
