@@ -226,6 +226,28 @@ def test_nearby_and_paths_on_a_hub(spark):
     assert {r["signature"] for r in CB.path_motifs(df, starts, 3, 3, 100).collect()} == {f"r00|r{i:02d}|r99" for i in range(1, 20)}
 
 
+def test_long_paths_equal_depth_first_search(spark):
+    edges = [(f"r{i}", *e) for i, e in enumerate([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 2), (1, 2), (6, 5), (6, 7)])]
+    starts = [0, 6, 9]
+    want = {}
+
+    def walk(start, at, nodes, used):
+        if 3 <= len(used) <= 6:
+            key = "|".join(sorted(used))
+            want[key] = min(want.get(key, ("z",)), (str(start), str(at), len(used)))
+        for e, a, b in edges if len(used) < 6 else []:
+            for x, y in ((a, b), (b, a)):
+                if x == at and y not in nodes:
+                    walk(start, y, [*nodes, y], [*used, e])
+
+    for s in starts:
+        walk(s, s, [s], [])
+    assert {v[2] for v in want.values()} == {3, 4, 5, 6}
+    df = spark.createDataFrame([(e, str(a), str(b)) for e, a, b in edges], "evidence_id string, subject string, object string")
+    got = CB.path_motifs(df, spark.createDataFrame([(str(s),) for s in starts], "id string")).collect()
+    assert {r["signature"]: (r["start"], r["end"], r["edges"]) for r in got} == want
+
+
 def test_diverse_sample_respects_caps(spark):
     rows = [(f"c{i}", "A" if i < 4 else "B", f"query {i}", [f"t{i % 3}"], [f"e{i % 2}"], ["d"], [], f"m{i % 2}") for i in range(8)]
     df = spark.createDataFrame(rows, "case_id string, category string, query string, traits array<string>, entities array<string>, source_documents array<string>, topics array<string>, motif string")
