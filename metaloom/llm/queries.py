@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.llm.codes import compress_sql
 from metaloom.llm.secrets import scan_secrets, scan_sql
+from metaloom.llm.urls import judge_sql
 from metaloom.plans.registry import Registry
 from metaloom.scale import ensure_checkpoint_dir
 
@@ -95,3 +97,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.lines import dedup_lines
 
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@R.query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@R.query("op12_vector_codes", compress_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.codes import compress
+
+    coded = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.withColumns({c: F.col(c).try_cast("long") for c in ("error", "label_error")})
+
+
+@R.query("op13_url_filters", judge_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.urls import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
