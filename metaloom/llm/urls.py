@@ -152,12 +152,14 @@ def _by_join(pages: DataFrame, entries: DataFrame, longest_host: int, path_sizes
     pages = cut_lineage(pages)
     deepest = max(path_sizes, default=0)
     head = pages.withColumn("head", F.left("path", F.lit(deepest)))
-    labels = F.split("host", r"\.")
+    # Of a host longer than any entry's only parents that are short enough: what follows a dot in its end.
+    end = F.right("host", F.lit(longest_host + 1))
+    short = F.when(F.length("host") <= longest_host, F.col("host")).when(F.contains(end, F.lit(".")), F.regexp_extract(end, r"(?s)^[^.]*\.(.*)$", 1))
+    labels = F.split("short", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parents = F.filter(parents, lambda h: F.length(h) <= longest_host)
     lengths = F.filter(F.array(*[F.lit(s) for s in path_sizes]).cast("array<int>"), lambda s: s <= F.length("head"))
     texts = F.flatten(F.transform(parents, lambda h: F.transform(lengths, lambda s: F.concat(h, F.left(F.col("head"), s)))))
-    asked = head.select("host", "head").distinct().select("host", "head", F.explode(texts).alias("entry"))
+    asked = head.select("host", "head").distinct().withColumn("short", short).where("short IS NOT NULL").select("host", "head", F.explode(texts).alias("entry"))
     kinds = entries.groupBy("entry").agg(F.max(F.when(F.col("kind") != LIST, F.col("kind"))).alias("kind"), F.max(F.col("kind") == LIST).alias("listed"))
     fits = salted_join(asked, kinds, ["entry"], ["host", "head"])
     order = F.when(F.col("kind").isNotNull(), F.struct(F.length("entry"), "entry"))
