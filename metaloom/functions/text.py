@@ -42,6 +42,23 @@ def tokens(c: Column) -> Column:
     return F.when(low.rlike(f"[{CJK}]{{2}}"), F.flatten(F.transform(runs, _windows))).otherwise(runs)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(tokens: Column) -> Column:
+    """Array of (token, tf) of an array of tokens: sorted, then cut where a token differs from the one before; linear in its length."""
+
+    def runs(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        ends = lambda first, k: F.coalesce(F.get(first, k + 1), F.size(ordered))
+        return let(starts, lambda first: F.transform(first, lambda i, k: F.struct(F.get(ordered, i).alias("token"), (ends(first, k) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>"))
+
+
 def _windows(x: Column) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
     return F.when(x.rlike(f"^[{CJK}]{{2,}}$"), grams).otherwise(F.array(x))

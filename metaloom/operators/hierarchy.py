@@ -245,7 +245,7 @@ def closure(edges: DataFrame) -> DataFrame:
     one reach below its ancestor, so only pairs of that depth meet the known ones. Known
     pairs are dropped, so cycles end the loop.
     """
-    base = edges.where("active").select("view", F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct()
+    base = edges.where("active AND parent <> child").select("view", F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct()
     known, reach = cut_lineage(base.withColumn("depth", F.lit(1).cast("long"))), 1
     while True:
         far = known.where(F.col("depth") == reach).select("view", F.col("ancestor").alias("top"), F.col("node").alias("ancestor"))
@@ -362,8 +362,13 @@ def members(closed: DataFrame, contexts: DataFrame) -> DataFrame:
     return rows.join(contexts.select("path", "context_type"), "path")
 
 
-def branch_summary(closed: DataFrame, contexts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per branch: member and model counts, placement counts by status, share of supported placements."""
+def branch_summary(closed: DataFrame, contexts: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Per branch: member and model counts, placement counts by status, share of supported placements.
+
+    ``only`` (view, branch) restricts the result to some branches.
+    """
+    if only is not None:
+        closed = closed.join(only.withColumnRenamed("branch", "ancestor"), ["view", "ancestor"], "left_semi")
     rows = members(closed, contexts).groupBy("view", "branch").agg(
         F.count("*").alias("member_count"),
         F.count_if(F.col("context_type") == "logical-model").alias("logical_models"),

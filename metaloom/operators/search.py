@@ -54,9 +54,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    return page_tokens(pages).select("path", F.explode("toks").alias("token")).groupBy("path", "token").agg(
-        F.count("*").alias("tf")
-    )
+    """(path, token, tf); a page is one row, so its tokens are counted inside it and nothing is shuffled."""
+    return page_tokens(pages).select("path", F.inline(T.counted(F.col("toks"))))
 
 
 def doc_lengths(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import hierarchy as H
+from ..operators import maintenance as U
 from ..scale import top_per_group
 from .registry import Registry
 from .tables import CONTEXTS_SQL, GRAPH_SQL, ORG_SQL, RESOLVED_SQL, contexts, graph_links, graph_nodes, org_edges, org_nodes, table
@@ -222,6 +223,56 @@ def aggregate_pages(spark, sf):
     return H.branch_summary(H.closure(e), org_nodes(spark, sf), e)
 
 
+# ----------------------------------------------------------------------------- upkeep
+def earlier_and_now(spark, sf):
+    """The organisation of the tables, and an earlier state of it: other contexts, and placements that have moved since."""
+    placements = org_edges(spark, sf)
+
+    def marked(nodes, rows):
+        held = rows.groupBy(F.col("owner").alias("path")).agg(F.array_sort(F.collect_list(F.struct("parent", "status", "method"))).alias("held"))
+        return nodes.select("path", "context_type").join(held, "path", "left").select("path", "context_type", F.sha2(F.to_json(F.struct("path", "held")), 256).alias("fingerprint"))
+
+    topic = lambda k: F.concat(F.lit("data://topics/"), k)
+    number = lambda c: F.substring_index(c, "/", -1).try_cast("int")
+    moved = F.when((F.col("owner") == "data://topics/5"), F.lit("data://views/domain/topic-domain/ASIA")).when(
+        F.col("owner").startswith("data://business-objects/") & (number("owner") % 11 == 3), topic((number("parent") + 3) % 25)
+    ).otherwise(F.col("parent"))
+    before = placements.withColumn("parent", moved)
+    # Some contexts are new since, some have gone, and their placements with them.
+    born = F.col("path").startswith("data://logical-models/") & (number("path") % 13 == 5)
+    nodes = org_nodes(spark, sf)
+    left = nodes.where("context_type = 'logical-model'").where(number("path") % 17 == 2).withColumn("path", F.concat("path", F.lit("-gone")))
+    earlier = nodes.where(~born).unionByName(left)
+    last = before.where("child_kind = 'logical-model'").where(number("owner") % 17 == 2)
+    last = last.withColumns({c: F.concat(c, F.lit("-gone")) for c in ("owner", "child")})
+    before = before.join(earlier.select(F.col("path").alias("owner")), "owner", "left_semi").unionByName(last)
+    return U.build(marked(earlier, before), before), marked(nodes, placements), placements
+
+
+def updated(spark, sf):
+    then, now, placements = earlier_and_now(spark, sf)
+    place = lambda paths: placements.join(paths.withColumnRenamed("path", "owner"), "owner", "left_semi")
+    return U.update(then, now, place)
+
+
+@R.query("incremental_closure", f"WITH {ORG_SQL} SELECT * FROM cl")
+def incremental_closure(spark, sf):
+    return updated(spark, sf)[0].closed
+
+
+@R.query(
+    "incremental_hierarchy",
+    f"""WITH {ORG_SQL}, mb AS (SELECT view, ancestor AS branch, count(*) AS member_count, count(*) FILTER (context_type = 'logical-model') AS logical_models,
+      count(*) FILTER (context_type = 'physical-model') AS physical_models FROM cl JOIN og ON og.path = cl.node GROUP BY ALL),
+    eb AS (SELECT parent AS branch, status FROM ae UNION ALL SELECT cl.ancestor, status FROM ae JOIN cl ON cl.node = ae.parent),
+    ct AS (SELECT branch, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'DERIVED') AS derived, count(*) FILTER (status = 'CANDIDATE') AS candidate FROM eb GROUP BY ALL)
+    SELECT mb.*, confirmed, derived, candidate, round((confirmed + derived) / greatest(1, confirmed + derived + candidate), 6) AS quality FROM mb LEFT JOIN ct USING (branch)""",
+)
+def incremental_hierarchy(spark, sf):
+    """Branch sums kept up from an earlier state, against a rebuild."""
+    return updated(spark, sf)[0].summary
+
+
 VALUES_SQL = "v AS (SELECT DISTINCT 'data://logical-models/' || o_orderkey AS path, 'metrics' AS section, p_name AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
 
 

@@ -22,7 +22,11 @@ R = Registry()
 
 # ----------------------------------------------------------------------------- elements <- part
 def part_sections(spark, sf):
-    p = table(spark, sf, "part").withColumn("path", F.concat(F.lit("data://metrics/"), "p_partkey"))
+    return sections_of(table(spark, sf, "part"))
+
+
+def sections_of(parts):
+    p = parts.withColumn("path", F.concat(F.lit("data://metrics/"), "p_partkey"))
     counter = F.to_json(F.struct(
         F.concat_ws(" ", F.split("p_name", " ")[1], F.lit("counter")).alias("counter_name"), F.col("p_type").alias("note"),
         F.when(F.col("p_size") % 10 == 0, "CANDIDATE").otherwise("EXPLICIT").alias("status")))
@@ -138,8 +142,11 @@ def exact_name_match(spark, sf):
 
 # ----------------------------------------------------------------------------- branches
 def branch_pages(spark, sf):
+    return branch_pages_of(table(spark, sf, "part"))
+
+
+def branch_pages_of(p):
     """Summary pages of three views over parts: by type, by brand and by size."""
-    p = table(spark, sf, "part")
     out = None
     for view, key, label in (("domain", "p_type", "type"), ("analysis", "p_brand", "brand"), ("asset", "p_size", "size")):
         counted = p.groupBy(F.col(key).cast("string").alias("k"), "p_name").agg(F.count("*").alias("c"), F.count_if(F.col("p_retailprice") > 950).alias("good"))

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import elements as E
 from ..operators import facts as FX
+from ..operators import mentions as M
+from ..operators import search as S
+from ..scale import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents as D
 from ..sources import files as FI
 from ..sources import handoff as HO
 from ..sources import snapshot as SN
 from ..sources import templates as TP
 from ..streaming import incremental as INC
+from ..streaming.segments import DeltaIndex
+from . import q_serving as SV
 from .registry import Registry
 from .tables import table
 
@@ -350,7 +359,6 @@ def latest_changes(spark, sf):
 )
 def incremental_postings(spark, sf):
     """All documents, then a batch that revises the French ones and deletes the Spanish ones."""
-    from ..operators import search as S
     from ..operators.quality import row_fingerprint
 
     d = table(spark, sf, "documents")
@@ -365,6 +373,87 @@ def incremental_postings(spark, sf):
     return INC.merge_postings(S.postings(start), pages, changed)
 
 
+# ----------------------------------------------------------------------------- delta indexes
+def delta_index(spark, earlier, now, entries):
+    """An index that got an earlier state of the parts, then two batches of what differs, with a compaction between.
+
+    ``earlier`` and ``now`` are part tables; ``entries`` makes (owner, payload, entries) rows of one.
+    """
+    index = DeltaIndex(spark, f"{ensure_checkpoint_dir(spark)}/delta-{uuid.uuid4().hex}", buckets=16)
+    first = lambda df, deleted: entries(df).withColumn("deleted", F.lit(deleted))
+    index.apply(first(earlier, False), 0)
+    index.compact()
+    half = F.xxhash64("p_partkey") % 2 == 0
+    gone = earlier.join(now.select("p_partkey"), "p_partkey", "left_anti")
+    index.apply(first(now.where(half), False).unionByName(first(gone, True)), 1)
+    index.compact(share=0.5)
+    index.apply(first(now.where(~half), False), 2)
+    return index
+
+
+def earlier_parts(spark, sf):
+    """Parts with some names and brands of before, without some and with others that have gone since."""
+    p = table(spark, sf, "part")
+    old = p.where("p_partkey % 11 <> 4").withColumn("p_name", F.when(F.col("p_partkey") % 7 == 1, F.concat(F.lit("former "), "p_name")).otherwise(F.col("p_name")))
+    return old.unionByName(p.where("p_partkey % 5 = 3").withColumn("p_partkey", F.col("p_partkey") + 100_000_000).withColumn("p_brand", F.lit("Brand#gone")))
+
+
+def element_entries(parts):
+    """Elements of a part with their words and exact keys; the part's page owns them."""
+    els = E.build_elements(SV.sections_of(parts))
+    text = F.array_distinct(T.tokens(F.array_join("texts", " ")))
+    keys = F.filter(F.array_distinct(F.transform(F.concat(F.array("element_id"), "names"), lambda k: T.fold(k))), lambda k: k != "")
+    entry = lambda space, xs: F.transform(xs, lambda k: F.struct(F.lit(space).alias("space"), k.alias("key"), F.col("element_id").alias("member"), F.lit(1).cast("long").alias("weight")))
+    rows = els.select("path", "element_id", F.concat(entry("token", text), entry("exact", keys)).alias("entries"))
+    held = rows.groupBy("path").agg(F.sort_array(F.collect_list("element_id")).alias("ids"), F.flatten(F.collect_list("entries")).alias("entries"))  # elements of one page
+    pages = parts.select(F.concat(F.lit("data://metrics/"), "p_partkey").alias("path"))
+    return pages.join(held, "path", "left").select(F.col("path").alias("owner"), F.to_json("ids").alias("payload"), "entries")
+
+
+@R.query(
+    "incremental_elements",
+    f"""WITH {SV.ELEMENTS_SQL} SELECT DISTINCT unnest(regexp_extract_all(lower(txt), '[a-z0-9_]+')) AS token, element_id, path FROM el""",
+)
+def incremental_elements(spark, sf):
+    """Word postings of elements after batches, against an index of the last state."""
+    index = delta_index(spark, earlier_parts(spark, sf), table(spark, sf, "part"), element_entries)
+    return index.postings().where("space = 'token'").select(F.col("key").alias("token"), F.col("member").alias("element_id"), F.col("owner").alias("path"))
+
+
+@R.query(
+    "incremental_mentions",
+    f"""WITH {SV.ELEMENTS_SQL}, ky AS (SELECT DISTINCT lower(trim(ident)) AS key, element_id FROM el UNION SELECT element_id, element_id FROM el)
+    SELECT key, count(*) AS members, NOT regexp_full_match(key, '[a-z0-9_]+(?:[.:/\\-][a-z0-9_]+)*') AS phrase FROM ky GROUP BY ALL""",
+)
+def incremental_mentions(spark, sf):
+    """Vocabulary of exact keys with reference counts after batches: a key leaves with its last element."""
+    index = delta_index(spark, earlier_parts(spark, sf), table(spark, sf, "part"), element_entries)
+    counts = index.key_counts().where("space = 'exact'")
+    return counts.select("key", "members", (~F.col("key").rlike(f"^{M.SYMBOL}$")).alias("phrase"))
+
+
+def branch_entries(parts):
+    pages = SV.branch_pages_of(parts)
+    own = S.indexable(pages).select("view", "path", "quality", "l0", "l1", T.tokens(S.index_text(pages)).alias("toks"))
+    entries = INC.token_entries(F.col("view"), F.col("toks"), F.col("path"))
+    return own.select(F.col("path").alias("owner"), F.to_json(F.struct("l0", "l1", "quality")).alias("payload"), entries.alias("entries"))
+
+
+@R.query(
+    "incremental_aggregates",
+    f"""WITH {SV.BRANCH_SQL} SELECT view, path, token, tf FROM bp""",
+)
+def incremental_aggregates(spark, sf):
+    """Postings of branch pages kept up while parts change: pages are summed anew, only those that differ reach the index."""
+    index = DeltaIndex(spark, f"{ensure_checkpoint_dir(spark)}/delta-{uuid.uuid4().hex}", buckets=16)
+    before, after = (cut_lineage(branch_entries(p)) for p in (earlier_parts(spark, sf), table(spark, sf, "part")))
+    index.apply(before.withColumn("deleted", F.lit(False)), 0)
+    index.compact()
+    gone = before.join(after.select("owner"), "owner", "left_anti").withColumn("deleted", F.lit(True))
+    index.apply(after.withColumn("deleted", F.lit(False)).unionByName(gone), 1)
+    return index.postings().select(F.col("space").alias("view"), F.col("member").alias("path"), F.col("key").alias("token"), F.col("weight").alias("tf"))
+
+
 @R.query(
     "resume_plan",
     "SELECT o_orderkey AS case_id, r AS repeat FROM orders, (SELECT unnest([1, 2]) AS r) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = r)",

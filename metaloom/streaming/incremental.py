@@ -2,19 +2,22 @@
 
 A change row is (path, name, context_type, l0, l1, identity_status, version, deleted). Every
 micro-batch is reduced to the newest version per page; pages whose content did not change are
-skipped; the rest replaces its postings. Index generations are immutable folders, so a batch
-that is retried after a lost executor gives the same result.
+skipped; what the rest gained and lost becomes one delta segment of the stored index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import UNTRUSTED
+from ..functions import text as T
 from ..operators import search as S
 from ..operators.quality import row_fingerprint
+from .segments import DeltaIndex
 
 PAGE_COLUMNS = ("path", "name", "context_type", "l0", "l1", "identity_status")
+PAGE_SCHEMA = ", ".join(f"{c} string" for c in PAGE_COLUMNS)
 
 
 def latest_changes(batch: DataFrame) -> DataFrame:
@@ -42,38 +45,34 @@ def merge_postings(postings: DataFrame, pages: DataFrame, changed: DataFrame) ->
     return kept.unionByName(S.postings(touched))
 
 
+def token_entries(space: Column, tokens: Column, member: Column) -> Column:
+    """Entries of a text: each distinct token once with its count."""
+    return F.transform(T.counted(tokens), lambda t: F.struct(space.alias("space"), t["token"].alias("key"), member.alias("member"), t["tf"].alias("weight")))
+
+
 class StreamingIndex:
-    """Page and posting tables under ``root/gen-<batch>``; the newest finished generation is current."""
+    """Pages and their postings as a delta index under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _finished(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in names if p.getName().startswith("gen-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "postings/_SUCCESS"))]
-        return sorted(int(p.getName()[4:]) for p in done)
-
-    def tables(self, before: int | None = None) -> tuple[DataFrame, DataFrame]:
-        gens = [g for g in self._finished() if before is None or g < before]
-        if not gens:
-            pages = self.spark.createDataFrame([], ", ".join(f"{c} string" for c in (*PAGE_COLUMNS, "fingerprint")))
-            return pages, self.spark.createDataFrame([], "path string, token string, tf bigint")
-        base = f"{self.root}/gen-{gens[-1]}"
-        return self.spark.read.parquet(f"{base}/pages"), self.spark.read.parquet(f"{base}/postings")
+        self.store = DeltaIndex(spark, root)
+
+    def tables(self, as_of: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pages with fingerprint, postings (path, token, tf)) as of a batch or now."""
+        stored = self.store.read("owners", as_of=as_of).select(F.from_json("payload", PAGE_SCHEMA).alias("p"))
+        pages = stored.select("p.*").withColumn("fingerprint", row_fingerprint(*PAGE_COLUMNS))
+        posts = self.store.postings(as_of)
+        return pages, posts.select(F.col("member").alias("path"), F.col("key").alias("token"), F.col("weight").alias("tf"))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """foreachBatch target; writing the same batch again replaces its own unfinished folder."""
-        pages, postings = self.tables(before=batch_id)
-        new_pages, changed = merge_pages(pages, batch)
-        base = f"{self.root}/gen-{batch_id}"
-        changed.write.mode("overwrite").parquet(f"{base}/changed")
-        new_pages.write.mode("overwrite").parquet(f"{base}/pages")
-        stored = self.spark.read.parquet(f"{base}/pages")
-        merge_postings(postings, stored, self.spark.read.parquet(f"{base}/changed")).write.mode("overwrite").parquet(f"{base}/postings")
+        """foreachBatch target; a batch that is retried writes its own segment again, one that is committed is left alone."""
+        newest = latest_changes(batch)
+        tokens = F.when(F.col("identity_status").isin(*UNTRUSTED), F.array().cast("array<string>")).otherwise(T.tokens(S.index_text(newest)))
+        rows = newest.withColumn("tokens", tokens).select(
+            F.col("path").alias("owner"), F.to_json(F.struct(*PAGE_COLUMNS)).alias("payload"),
+            token_entries(F.lit("page"), F.col("tokens"), F.col("path")).alias("entries"), "deleted",
+        )
+        self.store.apply(rows, batch_id)
+        self.store.compact()
 
     def start(self, changes: DataFrame, checkpoint: str, available_now: bool = True):
         """Run over a streaming frame of change rows."""
