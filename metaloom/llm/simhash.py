@@ -31,8 +31,10 @@ KEY_COLUMNS = "key int, fp long, root long"
 FREE = 4  # bits of a block that may differ freely within the radius
 
 STAGE_WIDTH, SIMILAR = 5, 0.8  # words of a shingle and share of common shingles of near copies, for the pipeline
-#: Independent fingerprints of a text and smallest hashes in each: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^16 = 0.9998.
-PRINTS, ROWS = 16, 4
+#: Fingerprints of a text, smallest hashes in each, and the orders they are drawn from: pairs at 0.8, 0.7, 0.6, 0.5 and 0.3
+#: share a fingerprint with probability 0.996, 0.85, 0.45, 0.14 and 0.003 (simulated), so that texts that merely hold a common
+#: passage seldom meet.
+PRINTS, ROWS, ORDERS = 40, 8, 128
 MINIMA_BLOCK = 1 << 12  # shingles whose hashes are permuted at once
 
 
@@ -68,20 +70,20 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 
 @functools.cache
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """Masks and odd factors that put 64-bit hashes in PRINTS x ROWS different orders."""
+def permutations() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks and odd factors that put 64-bit hashes in different orders, and the orders of each fingerprint."""
     rnd = np.random.default_rng(SEED)
-    masks, factors = rnd.integers(0, 1 << 64, (2, PRINTS * ROWS), np.uint64)
-    return masks, factors | np.uint64(1)
+    masks, factors = rnd.integers(0, 1 << 64, (2, ORDERS), np.uint64)
+    return masks, factors | np.uint64(1), np.array([rnd.choice(ORDERS, ROWS, replace=False) for _ in range(PRINTS)])
 
 
 def minima_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each independent fingerprint: the hash of its number and of the smallest shingle in each of its orders."""
-    masks, factors = permutations()
-    least = np.full(PRINTS * ROWS, np.uint64((1 << 64) - 1))
+    """A key for each fingerprint: the hash of its number and of the smallest shingle in each of its orders."""
+    masks, factors, drawn = permutations()
+    least = np.full(ORDERS, np.uint64((1 << 64) - 1))
     for at in range(0, len(shingles), MINIMA_BLOCK):
         least = np.minimum(least, ((shingles[at : at + MINIMA_BLOCK, None] ^ masks) * factors).min(axis=0))
-    packed = least.reshape(PRINTS, ROWS).tobytes()
+    packed = least[drawn].tobytes()
     size = len(packed) // PRINTS
     return [_signed(xxhash.xxh64_intdigest(packed[i * size : (i + 1) * size], i)) for i in range(PRINTS)]
 
@@ -242,14 +244,14 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     """(doc_id, component_id) of every row: documents that share ``similar`` of all their different word shingles are linked.
 
     1. Equal sets of shingles, those of texts without words among them, are one node.
-    2. Nodes that share a key of an independent fingerprint are candidates, unless their sizes
-       rule the similarity out. Members of a key are compared with its smallest, then with its
-       largest node, which joins most of a cloud of near copies without pairs; then all pairs
-       with different roots are compared.
+    2. Nodes that share a key of a fingerprint are candidates, unless their sizes rule the
+       similarity out. Members of a key are compared with its smallest, with its largest and
+       with one other node, which joins most of a cloud of near copies without pairs; then all
+       pairs with different roots are compared.
     3. A candidate counts by its shingles, which are made again only for nodes that share a key.
 
     ``component_id`` is the smallest document id that can be reached, with nulls and repeated
-    rows as in ``near_duplicates``. Pairs at 0.8 are missed with probability 0.0002 each, closer
+    rows as in ``near_duplicates``. Pairs at 0.8 are missed with probability 0.004 each, closer
     ones less often; a lower ``similar`` is missed more often.
     """
     texts = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -278,8 +280,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
         return cut_lineage(pairs.where((F.col("root_x") != F.col("root_y")) & sized).select("x", "y", "root_x", "root_y").distinct())
 
     near = cut_lineage(keyed.select("node", F.col("node").alias("root")).distinct())
-    for pick in (F.min, F.max):
-        members = keyed.join(near, "node").withColumn("mid", pick(F.struct("node", "root", "size")).over(Window.partitionBy("key")))
+    for order in (F.col("node"), -F.col("node"), F.xxhash64("node", F.lit(1))):
+        pivot = F.min_by(F.struct("node", "root", "size"), order)
+        members = keyed.join(near, "node").withColumn("mid", pivot.over(Window.partitionBy("key")))
         stars = members.select(F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("mid.node").alias("y"), F.col("mid.root").alias("root_y"), F.col("mid.size").alias("size_y"))
         near = joined(near, links(open_pairs(stars)))
     members = cut_lineage(keyed.join(near, "node"))
