@@ -35,6 +35,8 @@ STAGE_WIDTH, SIMILAR = 5, 0.8  # words of a shingle and share of common shingles
 #: share a fingerprint with probability 0.996, 0.85, 0.45, 0.14 and 0.003 (simulated), so that texts that merely hold a common
 #: passage seldom meet.
 PRINTS, ROWS, ORDERS = 40, 8, 128
+#: Fingerprints (first, end) whose keys are compared with one of their members, round by round; the last round takes all again.
+STAR_ROUNDS = ((0, 3), (3, 8), (8, 18), (18, PRINTS), (0, PRINTS))
 MINIMA_BLOCK = 1 << 12  # shingles whose hashes are permuted at once
 
 
@@ -245,9 +247,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
 
     1. Equal sets of shingles, those of texts without words among them, are one node.
     2. Nodes that share a key of a fingerprint are candidates, unless their sizes rule the
-       similarity out. Members of a key are compared with its smallest, with its largest and
-       with one other node, which joins most of a cloud of near copies without pairs; then all
-       pairs with different roots are compared.
+       similarity out. Members of a key are compared with one of them, for a few fingerprints
+       first and then for more and more, always between different roots, which joins most of a
+       cloud of near copies without pairs; then all pairs with different roots are compared.
     3. A candidate counts by its shingles, which are made again only for nodes that share a key.
 
     ``component_id`` is the smallest document id that can be reached, with nulls and repeated
@@ -257,7 +259,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     texts = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = cut_lineage(_shingled(texts, width))
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("print", "key"))
     shared = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     keyed = cut_lineage(keyed.join(maybe_broadcast(shared), "key"))
     wanted = cut_lineage(nodes.join(maybe_broadcast(cut_lineage(keyed.select("node").distinct())), "node", "left_semi").select("node", F.col("text_hash").alias("_hash")))
@@ -280,9 +282,10 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
         return cut_lineage(pairs.where((F.col("root_x") != F.col("root_y")) & sized).select("x", "y", "root_x", "root_y").distinct())
 
     near = cut_lineage(keyed.select("node", F.col("node").alias("root")).distinct())
-    for order in (F.col("node"), -F.col("node"), F.xxhash64("node", F.lit(1))):
-        pivot = F.min_by(F.struct("node", "root", "size"), order)
-        members = keyed.join(near, "node").withColumn("mid", pivot.over(Window.partitionBy("key")))
+    for low, high in STAR_ROUNDS:
+        own = keyed.where(F.col("print").between(low, high - 1)).join(near, "node")
+        pivot = F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(low)))
+        members = own.withColumn("mid", pivot.over(Window.partitionBy("key")))
         stars = members.select(F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("mid.node").alias("y"), F.col("mid.root").alias("root_y"), F.col("mid.size").alias("size_y"))
         near = joined(near, links(open_pairs(stars)))
     members = cut_lineage(keyed.join(near, "node"))
