@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import ARBITRATION, BRANCH_CANDIDATE_LIMIT, BRANCH_K, CANDIDATE_LIMIT, ENTITY_CANDIDATE_K
+from ..constants import ARBITRATION, BRANCH_K, ENTITY_CANDIDATE_K
 from ..functions import text as T
 from ..scale import cut_lineage, salted_join, top_per_group
 from . import search as S
@@ -18,13 +18,15 @@ def branch_postings(branches: DataFrame) -> DataFrame:
     return cut_lineage(toks.groupBy("view", "path", "token").agg(F.count("*").alias("tf")))
 
 
-def rank_branches(queries: DataFrame, branches: DataFrame, top_k: int = 9, limit: int = BRANCH_CANDIDATE_LIMIT) -> DataFrame:
+def rank_branches(queries: DataFrame, branches: DataFrame, top_k: int = 9, limit: int | None = None) -> DataFrame:
     """(query_id, view, path, score, rank): branch ranking inside each view.
 
     ``branches``: (view, path, name, canonical_id, l0, l1, identity_status, quality). Term
-    statistics are kept per view, so views never mix. Each (query, view) pair reads at most
-    ``limit`` postings; a branch that matches by view only is dropped; the score is damped by
-    the share of supported placements.
+    statistics are kept per view, so views never mix; a branch that matches by view only is
+    dropped; the score is damped by the share of supported placements. Every branch that shares
+    a word with a query or is named in it is scored; the view itself ranks all its branches in
+    path order, for all queries alike. With ``limit`` each (query, view) pair reads so many
+    postings at most, and a column ``truncated`` tells whether there were more.
     """
     pair = ["query_id", "view"]
     posts = branch_postings(branches)
@@ -32,35 +34,52 @@ def rank_branches(queries: DataFrame, branches: DataFrame, top_k: int = 9, limit
     stats = lengths.groupBy("view").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row per view
     terms = posts.groupBy("view", "token").agg(F.count("*").alias("df"))
     words = cut_lineage(salted_join(S.query_words(queries), terms, ["token"], ["query_id"]))
-    asked_posts = S.wanted_postings(posts.select("view", "token", "path"), words, ["view", "token"])
-    heads = top_per_group(asked_posts, ["view", "token"], [F.asc("path")], limit, "pos").drop("pos")
+    held = S.wanted_postings(posts, words, ["view", "token"])
+    cands = None
+    if limit is not None:
+        cands = _budgeted_branches(words, held, lengths, limit)
+        held = held.join(cands.select("view", "path").distinct(), ["view", "path"], "left_semi")
+    hit = salted_join(salted_join(held, lengths, ["view", "path"], ["token"]), words, ["view", "token"], ["path"]).join(F.broadcast(stats), "view")
+    part = S.bm25_expr(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    bm = hit.groupBy(*pair, "path").agg(F.round(F.sum(part), S.SCORE_DIGITS).alias("score"))
+    keys = branches.select(T.fold(F.col("name")).alias("key"), F.col("view").alias("source"), F.col("path").alias("target"), F.lit("branch").alias("kind"))
+    exact = resolve_mentions(queries, keys).select("query_id", F.col("source").alias("view"), F.col("target").alias("path")).distinct().withColumn("score", F.lit(1.0))
+    if cands is None:
+        # All branches of a view tie in it, so their rank is that of their path and no query lists them.
+        facet = lengths.select("view", "path", F.row_number().over(Window.partitionBy("view").orderBy("path")).alias("place"))
+    else:
+        bm, exact = (c.join(cands.select(*pair, "path"), [*pair, "path"], "left_semi") for c in (bm, exact))
+        facet = cands.select(*pair, "path", F.row_number().over(Window.partitionBy(*pair).orderBy("path")).alias("place"))
+    parts = None
+    for name, frame in (("exact", exact), ("bm25", bm.where("score > 0"))):
+        w = Window.partitionBy(*pair).orderBy(F.desc("score"), F.asc("path"))
+        ranked = frame.select(*pair, "path", (F.lit(S.CHANNEL_WEIGHTS[name]) / (S.RRF_OFFSET + F.row_number().over(w))).alias("part"))
+        parts = ranked if parts is None else parts.unionByName(ranked)
+    fused = parts.groupBy(*pair, "path").agg(F.sum("part").alias("part"))
+    placed = salted_join(fused, facet, [c for c in facet.columns if c != "place"], ["query_id"])
+    scored = salted_join(placed, branches.select("view", "path", "quality"), ["view", "path"], ["query_id"])
+    rrf = F.round(F.col("part") + F.lit(S.CHANNEL_WEIGHTS["facet"]) / (S.RRF_OFFSET + F.col("place")), 12)
+    scored = scored.select(*pair, "path", F.round(rrf * (0.9 + 0.1 * F.col("quality")), 12).alias("score"))
+    best = top_per_group(scored, pair, [F.desc("score"), F.asc("path")], top_k)
+    return best if cands is None else best.join(cands.select(*pair, "truncated").distinct(), pair)
+
+
+def _budgeted_branches(words: DataFrame, held: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
+    """(query_id, view, path, truncated): branches of the first ``limit`` postings of each pair, rare words first, topped up in path order."""
+    pair = ["query_id", "view"]
+    heads = top_per_group(held.select("view", "token", "path"), ["view", "token"], [F.asc("path")], limit + 1, "pos").drop("pos")
     reads = salted_join(words, heads, ["view", "token"], ["query_id"])
-    w = Window.partitionBy(*pair).orderBy("df", "token", "path")
-    reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= limit)
+    order = Window.partitionBy(*pair).orderBy("df", "token", "path")
+    reads = reads.withColumn("read", F.row_number().over(order)).where(F.col("read") <= limit + 1)
+    reads = reads.withColumn("truncated", F.max("read").over(Window.partitionBy(*pair)) > limit).where(F.col("read") <= limit)
     recalled = reads.groupBy(*pair, "path").agg(F.min("read").alias("first"))
+    cut = reads.groupBy(*pair).agg(F.max("truncated").alias("truncated"))
     first_paths = top_per_group(lengths.select("view", "path"), ["view"], [F.asc("path")], limit, "pos")
     filler = first_paths.groupBy("view").agg(F.collect_list(F.struct("pos", "path")).alias("filler"))  # at most ``limit`` each
     extra = words.select(*pair).distinct().join(F.broadcast(filler), "view").select(*pair, F.explode("filler").alias("f"))
     extra = extra.select(*pair, F.col("f.path").alias("path"), (F.col("f.pos") + limit).cast("int").alias("first"))
     both = recalled.unionByName(extra).groupBy(*pair, "path").agg(F.min("first").alias("first"))
-    cands = cut_lineage(top_per_group(both, pair, [F.asc("first")], limit, "n").select(*pair, "path"))
-
-    packed = words.groupBy(*pair).agg(F.collect_list(F.struct("token", "df")).alias("words"))  # bounded by the query text
-    asked = cands.join(packed, pair).select(*pair, "path", F.explode("words").alias("w")).select(*pair, "path", "w.token", "w.df")
-    hit = salted_join(asked, posts, ["view", "path", "token"], ["query_id"])
-    hit = salted_join(hit, lengths, ["view", "path"], ["query_id"]).join(F.broadcast(stats), "view")
-    part = S.bm25_expr(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    bm = cut_lineage(hit.groupBy(*pair, "path").agg(F.round(F.sum(part), S.SCORE_DIGITS).alias("score")))
-    keys = branches.select(T.fold(F.col("name")).alias("key"), F.col("view").alias("source"), F.col("path").alias("target"), F.lit("branch").alias("kind"))
-    named = resolve_mentions(queries, keys).select("query_id", F.col("source").alias("view"), F.col("target").alias("path"))
-    exact = cands.join(named.distinct(), [*pair, "path"], "left_semi").withColumn("score", F.lit(1.0))
-    facet = cands.withColumn("score", F.lit(1.0))
-    fused = S.fuse_many({"exact": exact, "bm25": bm, "facet": facet}, pair, limit).drop("rank")
-    relevant = bm.where("score > 0").select(*pair, "path").unionByName(exact.select(*pair, "path")).distinct()
-    fused = fused.join(relevant, [*pair, "path"], "left_semi")
-    quality = branches.select("view", "path", "quality")
-    scored = salted_join(fused, quality, ["view", "path"], ["query_id"]).withColumn("score", F.round(F.col("score") * (0.9 + 0.1 * F.col("quality")), 12))
-    return top_per_group(scored.drop("quality"), pair, [F.desc("score"), F.asc("path")], top_k)
+    return cut_lineage(top_per_group(both, pair, [F.asc("first")], limit, "n").select(*pair, "path").join(cut, pair))
 
 
 def arbitrate_views(ranked: DataFrame, initial: DataFrame) -> DataFrame:
@@ -81,28 +100,34 @@ def arbitrate_views(ranked: DataFrame, initial: DataFrame) -> DataFrame:
     )
 
 
-def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
+def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
     """Search inside the chosen branches: (query_id, branch_rank, path, rank).
 
-    ``chosen``: (query_id, branch, branch_rank); ``members``: (branch, path). Each (query, branch)
-    pair has its own read budget and reads rejected by membership still use it.
+    ``chosen``: (query_id, branch, branch_rank); ``members``: (branch, path). Every member that
+    shares a word with the query is scored. With ``limit`` each (query, branch) pair reads so many
+    postings at most, reads rejected by membership still use it, and a column ``truncated`` tells
+    whether there were more.
     """
     pairs = chosen.withColumn("pair_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("branch_rank").cast("string")))
     asked = pairs.join(queries, "query_id").select(F.col("pair_id").alias("query_id"), "text")
-    words = salted_join(S.query_words(asked), index.terms, ["token"], ["query_id"])
-    heads = S.posting_heads(S.wanted_postings(index.postings, words, ["token"]), CANDIDATE_LIMIT)
-    reads = salted_join(words, heads, ["token"], ["query_id"])
-    w = Window.partitionBy("query_id").orderBy("df", "token", "path")
-    reads = reads.withColumn("read", F.row_number().over(w)).where(F.col("read") <= CANDIDATE_LIMIT)
-    # Membership is tested per read (at most the budget), never listed per branch.
     owner = pairs.select(F.col("pair_id").alias("query_id"), "branch")
-    inside = salted_join(reads.select("query_id", "path").distinct().join(owner, "query_id"), members, ["branch", "path"], ["query_id"])
-    cands = cut_lineage(inside.select("query_id", "path"))
-    scored = S.score_candidates(index, asked, cands)
-    top = top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("path")], ENTITY_CANDIDATE_K)
-    return top.join(pairs.select(F.col("pair_id").alias("p"), F.col("query_id").alias("q"), "branch_rank"), F.col("query_id") == F.col("p")).select(
-        F.col("q").alias("query_id"), "branch_rank", "path", "rank"
-    )
+    words = cut_lineage(salted_join(S.query_words(asked), index.terms, ["token"], ["query_id"]))
+    posts, cut = S.wanted_postings(index.postings, words, ["token"]), None
+    if limit is None:
+        reads = salted_join(posts.select("token", "path"), words, ["token"], ["path"]).select("query_id", "path").distinct()
+    else:
+        heads = S.posting_heads(posts, limit + 1)
+        order = Window.partitionBy("query_id").orderBy("df", "token", "path")
+        reads = salted_join(words, heads, ["token"], ["query_id"]).withColumn("read", F.row_number().over(order)).where(F.col("read") <= limit + 1)
+        cut = reads.groupBy("query_id").agg((F.max("read") > limit).alias("truncated"))
+        reads = reads.where(F.col("read") <= limit).select("query_id", "path").distinct()
+    # Membership is tested per read, never listed per branch.
+    cands = cut_lineage(salted_join(salted_join(reads, owner, ["query_id"], ["path"]), members, ["branch", "path"], ["query_id"]).select("query_id", "path"))
+    top = top_per_group(S.score_candidates(index, asked, cands), ["query_id"], [F.desc("score"), F.asc("path")], ENTITY_CANDIDATE_K)
+    if cut is not None:
+        top = top.join(cut, "query_id")
+    named = top.join(pairs.select(F.col("pair_id").alias("p"), F.col("query_id").alias("q"), "branch_rank"), F.col("query_id") == F.col("p"))
+    return named.select(F.col("q").alias("query_id"), "branch_rank", "path", "rank", *["truncated"] * (cut is not None))
 
 
 def discover(seeds: DataFrame, hits: DataFrame, top_k: int = ENTITY_CANDIDATE_K) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import CANDIDATE_LIMIT
 from ..scale import salted_join, top_per_group
 
 SYMBOL = r"[a-z0-9_]+(?:[.:/\-][a-z0-9_]+)*"
@@ -39,26 +38,31 @@ def phrase_candidates(queries: DataFrame, lengths: Column) -> DataFrame:
     return spans.where((stop <= F.length("q")) & ~cut).select("query_id", F.substring(F.col("q"), F.col("s"), F.col("n")).alias("key"))
 
 
-def resolve_mentions(queries: DataFrame, keys: DataFrame, target_limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Mentions per query, longest key first, under one shared target budget.
+def resolve_mentions(queries: DataFrame, keys: DataFrame, target_limit: int | None = None) -> DataFrame:
+    """Every mention of every query, longest keys first.
 
     ``keys``: (key, source, target, kind) with folded keys. Symbol keys match only as symbols of
     the text; other keys match anywhere between identifier borders. One-letter keys count only
-    when they are the whole text.
+    when they are the whole text. With ``target_limit`` a query gets so many targets at most, and
+    a column ``truncated`` tells whether it had more.
     """
-    heads = top_per_group(keys, ["key", "source"], [F.asc("target")], target_limit, "pos").drop("pos")
-    phrase_keys = heads.where(~F.col("key").rlike(f"^{SYMBOL}$"))
+    symbol = F.col("key").rlike(f"^{SYMBOL}$")
+    heads = keys
+    if target_limit is not None:  # a query cannot use more of one key than its budget, and one more row shows that there are more
+        heads = top_per_group(keys, ["key", "source"], [F.asc("target")], target_limit + 1, "pos").drop("pos")
     # Distinct key lengths: never more numbers than the longest key has characters.
-    lengths = keys.where(~F.col("key").rlike(f"^{SYMBOL}$")).agg(
-        F.coalesce(F.collect_set(F.length("key")), F.array().cast("array<int>")).alias("n")
-    ).scalar()
+    lengths = keys.where(~symbol).agg(F.coalesce(F.collect_set(F.length("key")), F.array().cast("array<int>")).alias("n")).scalar()
     direct = salted_join(direct_candidates(queries), heads, ["key"], ["query_id"])
-    phrases = salted_join(phrase_candidates(queries, lengths), phrase_keys, ["key"], ["query_id"])
+    phrases = salted_join(phrase_candidates(queries, lengths), heads.where(~symbol), ["key"], ["query_id"])
     rows = direct.unionByName(phrases).dropDuplicates(["query_id", "key", "source", "target"])
     whole = queries.select("query_id", F.lower(F.trim("text")).alias("whole"))
     short = rows.where(F.length("key") < 2).join(whole, "query_id").where("key = whole").drop("whole")
     rows = rows.where(F.length("key") >= 2).unionByName(short)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.length("key")), F.asc("key"), F.desc("source"), F.asc("target"))
-    rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= target_limit)
-    method = F.when(F.col("key").rlike(f"^{SYMBOL}$"), "exact_symbol").otherwise("exact_alias")
-    return rows.select("query_id", "key", "source", "target", "kind", method.alias("match_method"))
+    method = F.when(symbol, "exact_symbol").otherwise("exact_alias")
+    found = rows.select("query_id", "key", "source", "target", "kind", method.alias("match_method"))
+    if target_limit is None:
+        return found
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.length("key")), F.asc("key"), F.desc("source"), F.asc("target"))
+    numbered = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= target_limit + 1)
+    more = F.max("n").over(Window.partitionBy("query_id")) > target_limit
+    return numbered.withColumn("truncated", more).where(F.col("n") <= target_limit).drop("n")

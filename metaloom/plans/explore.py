@@ -27,12 +27,15 @@ class Engine:
 
     # ------------------------------------------------------------------ search / read / expand / source
     def search(self, queries: DataFrame, top_k: int = 8, bundle_k: int | None = None, token_budget: int | None = None, max_per_type: int | None = None,
-               intent: str | None = None, seen: DataFrame | None = None) -> DataFrame:
-        """(query_id, path, level, tokens, position): seeds, related pages, diversified order, budget."""
+               intent: str | None = None, seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """(query_id, path, level, tokens, position): seeds, related pages, diversified order, budget.
+
+        ``limit`` bounds the postings read for each query; without it every page that shares a word is scored.
+        """
         if top_k < 1 or (bundle_k is not None and bundle_k < 1) or (token_budget is not None and token_budget < 1):
             raise ValueError("limits must be positive")
         pages = self.catalog.pages
-        seeds = self.seeds(queries, top_k)
+        seeds = self.seeds(queries, top_k, limit)
         allowed = S.indexable(pages).select("path")
         pool = G.complete_bundles(seeds, self.catalog.edges, allowed, intent, top_k)
         flags = self.catalog.coverage
@@ -51,10 +54,13 @@ class Engine:
             ranked = ranked.withColumn("seen", F.lit(False))
         return BU.budgeted_select(ranked, bundle_k or top_k * 2, token_budget, max_per_type)
 
-    def seeds(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """BM25 and exact-name channels over bounded candidates, fused."""
-        cands = cut_lineage(S.fill_candidates(S.bounded_candidates(self.index, queries), queries, self.catalog.pages).select("query_id", "path"))
-        bm = S.score_candidates(self.index, queries, cands)
+    def seeds(self, queries: DataFrame, top_k: int, limit: int | None = None) -> DataFrame:
+        """BM25 and exact-name channels, fused; over bounded candidates if ``limit`` is given."""
+        if limit is None:
+            bm = cut_lineage(S.score_all(self.index, queries))
+        else:
+            cands = S.fill_candidates(S.bounded_candidates(self.index, queries, limit), queries, self.catalog.pages, limit)
+            bm = S.score_candidates(self.index, queries, cut_lineage(cands.select("query_id", "path")))
         named = self.mentions(queries).where("source = 'page'").select("query_id", F.col("target").alias("path")).distinct()
         exact = named.withColumn("score", F.lit(1.0))
         fused = S.fuse_many({"exact": exact, "bm25": bm}, ["query_id"], top_k)

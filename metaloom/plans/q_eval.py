@@ -12,7 +12,7 @@ from ..operators import identity as I
 from ..operators import search as S
 from .q_search import SCORED_SQL
 from .registry import Registry
-from .tables import pages, query_set, table
+from .tables import query_set, search_index, table
 
 R = Registry()
 VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
@@ -47,7 +47,7 @@ sc3 AS (SELECT *, CASE WHEN precision + coalesce(recall, 0) > 0 THEN round(2 * p
 def judged(spark, sf):
     """Returned items and gold sets; every labelled document is gold for one case."""
     queries = query_set(spark, sf)
-    hits = S.search_many(S.build_index(pages(spark, sf)), queries).withColumn("item", F.substring_index("path", "/", -1))
+    hits = S.search_many(search_index(spark, sf), queries).withColumn("item", F.substring_index("path", "/", -1))
     returned = hits.select(F.when(F.col("query_id") % 2 == 0, "left").otherwise("right").alias("system"), F.col("query_id").alias("case_id"), "item")
     role = F.when(F.col("toxic") == 1, "forbidden").when(F.col("quality") == 1, "required").otherwise("allowed")
     gold = table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("case_id"), F.col("doc_id").cast("string").alias("item"), role.alias("role"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blockindex as BX
 from ..operators import search as S
 from ..scale import cut_lineage, top_per_group
 from .registry import Registry
-from .tables import INDEX_SQL, PAGES_SQL, pages, query_set
+from .tables import INDEX_SQL, PAGES_SQL, pages, query_set, search_index, stored_index
 
 R = Registry()
 QUERY = "the thing of that entition and inenan src3_63"
@@ -40,8 +41,7 @@ def doc_length_stats(spark, sf):
     WHERE token IN (SELECT unnest({QTOKENS})) GROUP BY path ORDER BY sum({BM25}) DESC, path LIMIT 10""",
 )
 def bm25_topk(spark, sf):
-    top = S.bm25_channel(pages(spark, sf), QUERY).orderBy(F.desc("score"), "path").limit(10)
-    return top.withColumn("score", F.round("score", 6))
+    return BX.bm25_topk(stored_index(spark, sf), QUERY, 10).withColumn("score", F.round("score", 6))
 
 
 ELIGIBLE = "(context_type NOT IN ('physical-model', 'logical-model') OR (topic_domain = 'src3' AND layer = 'fr'))"
@@ -71,7 +71,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(score, 9
     FROM rk GROUP BY path ORDER BY 2 DESC, path LIMIT 20""",
 )
 def hybrid_search_topk(spark, sf):
-    top = S.hybrid_search(pages(spark, sf), QUERY, scope={"topic_domain": "src3", "classification.layer": "fr"}, top_k=20)
+    top = BX.hybrid_top(stored_index(spark, sf), QUERY, scope={"topic_domain": "src3", "classification.layer": "fr"}, top_k=20)
     return top.withColumn("score", F.round("score", 9))
 
 
@@ -108,7 +108,8 @@ def facet_channel(spark, sf):
     WHERE t.token IS NOT NULL OR 'src3_63' IN (lower(p.name), lower(p.alias))""",
 )
 def identifier_gate(spark, sf):
-    return S.identifier_gate(S.indexable(pages(spark, sf)), "SRC3_63").select("path")
+    index = stored_index(spark, sf)
+    return BX.gate(index, index.docs, "SRC3_63").select("path")
 
 
 @R.query(
@@ -120,9 +121,7 @@ def identifier_gate(spark, sf):
     SELECT path, round(s, 6) AS score FROM sc WHERE s > 0 ORDER BY s DESC, path LIMIT 15""",
 )
 def baseline_lexical_topk(spark, sf):
-    top = S.baseline_search(
-        pages(spark, sf), "the the thing entition", scope={"topic_domain": "src3", "technology": "entition"}, top_k=15
-    )
+    top = BX.baseline_topk(stored_index(spark, sf), "the the thing entition", scope={"topic_domain": "src3", "technology": "entition"}, top_k=15)
     return top.withColumn("score", F.round("score", 6))
 
 
@@ -142,12 +141,12 @@ tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @R.query("bounded_candidates", f"WITH {BOUNDED_SQL} SELECT query_id, path, first_read FROM rc")
 def bounded_candidates(spark, sf):
-    return S.bounded_candidates(S.build_index(pages(spark, sf)), query_set(spark, sf))
+    return S.bounded_candidates(search_index(spark, sf), query_set(spark, sf))
 
 
 @R.query("bm25_multi_query", f"WITH {SCORED_SQL} SELECT query_id, path, round(score, 6) AS score, rank FROM tp WHERE rank <= 8")
 def bm25_multi_query(spark, sf):
-    return S.search_many(S.build_index(pages(spark, sf)), query_set(spark, sf)).withColumn("score", F.round("score", 6))
+    return S.search_many(search_index(spark, sf), query_set(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @R.query(
@@ -160,7 +159,7 @@ def bm25_multi_query(spark, sf):
     SELECT query_id, path, round(score, 8) AS score FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, path) <= 5""",
 )
 def rrf_multi_query(spark, sf):
-    queries, index = query_set(spark, sf), S.build_index(pages(spark, sf))
+    queries, index = query_set(spark, sf), search_index(spark, sf)
     bm = cut_lineage(S.score_all(index, queries))
     held = S.overlap_all(index, queries)
     fused = S.fuse_many({"bm25": bm, "facet": held}, ["query_id"], 5)
@@ -175,7 +174,7 @@ def seen_anti_join(spark, sf):
     from .tables import table
 
     seen = table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("data://documents/"), "doc_id").alias("path"))
-    return S.search_many(S.build_index(pages(spark, sf)), query_set(spark, sf)).select("query_id", "path", "rank").join(seen, "path", "left_anti")
+    return S.search_many(search_index(spark, sf), query_set(spark, sf)).select("query_id", "path", "rank").join(seen, "path", "left_anti")
 
 
 @R.query(
@@ -186,5 +185,5 @@ def seen_anti_join(spark, sf):
 )
 def diversity_cap_select(spark, sf):
     pg = pages(spark, sf)
-    hits = S.search_many(S.build_index(pg), query_set(spark, sf), top_k=20).join(pg.select("path", "context_type"), "path")
+    hits = S.search_many(search_index(spark, sf), query_set(spark, sf), top_k=20).join(pg.select("path", "context_type"), "path")
     return top_per_group(hits, ["query_id", "context_type"], [F.asc("rank")], 2, "r").select("query_id", "path", "context_type")

@@ -16,7 +16,7 @@ from ..operators import search as S
 from ..scale import global_rank, spread, top_per_group
 from .q_search import SCORED_SQL
 from .registry import Registry
-from .tables import CONTEXTS_SQL, contexts, pages, query_set, table
+from .tables import CONTEXTS_SQL, contexts, pages, query_set, search_index, table
 
 R = Registry()
 
@@ -72,7 +72,7 @@ def name_queries(spark, sf):
     f"""WITH {ELEMENTS_SQL}, {EQ}, tk AS (SELECT DISTINCT element_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9_]+')) AS token FROM el),
     ky AS (SELECT DISTINCT lower(trim(ident)) AS key, element_id FROM el), qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM eq),
     rd AS (SELECT query_id, element_id, '' AS token, 0 AS pool FROM eq JOIN ky ON ky.key = lower(trim(text)) UNION ALL SELECT query_id, element_id, token, 1 FROM qw JOIN tk USING (token)),
-    cd AS (SELECT query_id, element_id, max(CASE WHEN pool = 0 THEN 1 ELSE 0 END) AS ex FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pool, token, element_id) AS r FROM rd) WHERE r <= 100 GROUP BY ALL),
+    cd AS (SELECT query_id, element_id, max(CASE WHEN pool = 0 THEN 1 ELSE 0 END) AS ex FROM rd GROUP BY ALL),
     nq AS (SELECT query_id, count(*) AS asked FROM qw GROUP BY ALL), hd AS (SELECT query_id, element_id, count(*) AS held FROM cd JOIN qw USING (query_id) JOIN tk USING (element_id, token) GROUP BY ALL),
     sc AS (SELECT query_id, element_id, round(coalesce(held, 0) / greatest(1, asked) + 2 * ex, 9) AS score, CASE WHEN ex = 1 THEN 'EXACT_IDENTIFIER' ELSE 'TEXT' END AS match FROM cd JOIN nq USING (query_id) LEFT JOIN hd USING (query_id, element_id))
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) AS rank FROM sc QUALIFY rank <= 20""",
@@ -194,10 +194,10 @@ def branch_queries(spark, sf):
     return global_rank(names, ["g"], [F.asc("text")], "query_id").select("query_id", "text")
 
 
-@R.query("branch_ranking", f"WITH {BRANCH_SQL} SELECT query_id, view, path, round(score, 8) AS score, rank FROM rb WHERE rank <= 9")
+@R.query("branch_ranking", f"WITH {BRANCH_SQL} SELECT query_id, view, path, round(score, 10) AS score, rank FROM rb WHERE rank <= 9")
 def branch_ranking(spark, sf):
     ranked = BR.rank_branches(branch_queries(spark, sf), branch_pages(spark, sf))
-    return ranked.select("query_id", "view", "path", F.round("score", 8).alias("score"), "rank")
+    return ranked.select("query_id", "view", "path", F.round("score", 10).alias("score"), "rank")
 
 
 @R.query(
@@ -258,7 +258,7 @@ ASPECTS_SQL = r"list_filter(['business_meaning', CASE WHEN contains(l1, chr(10))
 def greedy_rerank(spark, sf):
     """Bounded served results of the whole query set, reordered for coverage and kind diversity."""
     pg = pages(spark, sf)
-    hits = S.search_many(S.build_index(pg), query_set(spark, sf), top_k=8)
+    hits = S.search_many(search_index(spark, sf), query_set(spark, sf), top_k=8)
     info = pg.select("path", "context_type", F.length("l1").alias("l1_length"), F.array_compact(F.array(
         F.lit("business_meaning"), F.when(F.col("l1").contains("\n"), "fields"), F.when(F.length("l1") > 1000, "lineage"))).alias("aspects"))
     return BU.greedy_rerank(hits.withColumn("is_seed", F.col("rank") <= 4).join(info, "path"))
@@ -281,7 +281,7 @@ COST_SQL = r"CAST(greatest(1, ceil(length(regexp_replace({}, '[\s\p{{Z}}\x{{85}}
 )
 def token_budget_select(spark, sf):
     pg = pages(spark, sf)
-    hits = S.search_many(S.build_index(pg), query_set(spark, sf), top_k=20)
+    hits = S.search_many(search_index(spark, sf), query_set(spark, sf), top_k=20)
     cost = pg.select("path", "context_type", T.token_estimate(F.col("l1")).alias("l1_tokens"), T.token_estimate(F.col("l0")).alias("l0_tokens"))
     ranked = hits.join(cost, "path").withColumn("position", F.col("rank")).withColumn("seen", F.lit(False))
     return BU.budgeted_select(ranked, limit=8, token_budget=2800, max_per_type=3)

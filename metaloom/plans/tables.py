@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blockindex import StoredIndex, build_blocks
+from ..operators.search import PageIndex
 from ..scale import spread
 
 
@@ -54,6 +56,21 @@ tdf AS (SELECT token, count(*) AS df FROM post GROUP BY ALL),
 st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lens)"""
 
 
+_STORED: dict[tuple[str, str], StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The block index of the pages: written by the first query of a session that asks for it, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not _STORED[key].stands():
+        _STORED[key] = build_blocks(pages(spark, sf_dir))
+    return _STORED[key]
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> PageIndex:
+    return stored_index(spark, sf_dir).as_page_index(pages(spark, sf_dir))
+
+
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
