@@ -130,13 +130,14 @@ def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, m
     return named.select(F.col("q").alias("query_id"), "branch_rank", "path", "rank", *["truncated"] * (cut is not None))
 
 
-def discover(seeds: DataFrame, hits: DataFrame, top_k: int = ENTITY_CANDIDATE_K) -> DataFrame:
+def discover(seeds: DataFrame, hits: DataFrame, top_k: int = ENTITY_CANDIDATE_K, base: DataFrame | None = None) -> DataFrame:
     """Merge seed scores with branch hits, branch by branch.
 
     A hit scores base x (.9 + .1/rank); a page already chosen keeps the larger score plus .2 x
     base. A page meets at most ``BRANCH_K`` branches, so the fold runs over a tiny array.
     """
-    base = seeds.groupBy("query_id").agg(F.max("score").alias("base"))
+    if base is None:
+        base = seeds.groupBy("query_id").agg(F.max("score").alias("base"))
     rows = hits.where(F.col("branch_rank") <= BRANCH_K).groupBy("query_id", "path").agg(
         F.array_sort(F.collect_list(F.struct("branch_rank", "rank"))).alias("steps")
     )

@@ -10,10 +10,11 @@ from ..operators import branches as BR
 from ..operators import bundle as BU
 from ..operators import coverage as C
 from ..operators import elements as E
+from ..operators import hierarchical as HS
 from ..operators import mentions as M
 from ..operators import planning as P
 from ..operators import search as S
-from ..scale import global_rank, spread, top_per_group
+from ..scale import cut_lineage, global_rank, spread, top_per_group
 from .q_search import SCORED_SQL
 from .registry import Registry
 from .tables import CONTEXTS_SQL, contexts, pages, query_set, search_index, table
@@ -213,6 +214,73 @@ def view_arbitration(spark, sf):
     return BR.arbitrate_views(ranked, initial).withColumn("evidence", F.round("evidence", 8))
 
 
+# ----------------------------------------------------------------------------- through the organisation
+DOMAIN = "PROMO"
+MEMBERS_SQL = f"""
+pp AS (SELECT 'data://physical-models/p' || p_partkey AS path, CASE WHEN p_size % 2 = 0 THEN 'physical-model' ELSE 'metric' END AS kind, p_type, p_brand, p_size,
+  CASE p_partkey % 3 WHEN 1 THEN p_type WHEN 2 THEN 'other' END AS facet, 'part ' || p_partkey || ' ' || p_name || ' ' || p_brand || ' ' || p_type AS txt FROM part),
+mem AS (SELECT 'data://views/domain/type/' || p_type AS branch, path FROM pp UNION ALL SELECT 'data://views/analysis/brand/' || p_brand, path FROM pp),
+ok AS (SELECT path FROM pp WHERE kind = 'metric' OR lower(trim(facet)) = lower('{DOMAIN}') OR (facet IS NULL AND p_type = '{DOMAIN}'))"""
+MEMBER_SCORES_SQL = """
+ptk AS (SELECT path, unnest(regexp_extract_all(lower(txt), '[a-z0-9_]+')) AS token FROM pp),
+ppo AS (SELECT path, token, count(*) AS tf FROM ptk GROUP BY ALL), pln AS (SELECT path, count(*) AS dl FROM ptk GROUP BY ALL), pdf AS (SELECT token, count(*) AS df FROM ppo GROUP BY ALL),
+pst AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM pln),
+psc AS (SELECT query_id, path, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+  FROM qw JOIN ppo USING (token) JOIN pdf USING (token) JOIN pln USING (path), pst GROUP BY ALL)"""
+
+
+def member_pages(spark, sf):
+    """Parts as pages: models without a facet of their own stand below the node of their type."""
+    p = table(spark, sf, "part")
+    own = F.when(F.col("p_partkey") % 3 == 1, F.col("p_type")).when(F.col("p_partkey") % 3 == 2, F.lit("other"))
+    return p.select(
+        F.concat(F.lit("data://physical-models/p"), "p_partkey").alias("path"), F.concat(F.lit("c:"), "p_partkey").alias("canonical_id"),
+        F.when(F.col("p_size") % 2 == 0, "physical-model").otherwise("metric").alias("context_type"), F.concat(F.lit("part "), "p_partkey").alias("name"),
+        own.alias("topic_domain"), F.concat_ws(" ", "p_name", "p_brand").alias("l0"), F.col("p_type").alias("l1"), F.lit("EXPLICIT").alias("identity_status"), "p_type", "p_brand",
+    )
+
+
+def member_closure(pages):
+    by = lambda view, label, c: pages.select(F.lit(view).alias("view"), F.concat(F.lit(f"data://views/{view}/{label}/"), c).alias("ancestor"), F.col("path").alias("node"))
+    return by("domain", "type", "p_type").unionByName(by("analysis", "brand", "p_brand"))
+
+
+def type_nodes(pages):
+    return pages.select(F.concat(F.lit("data://views/domain/type/"), "p_type").alias("path"), F.col("p_type").alias("name"), F.lit("topic-domain").alias("context_type")).distinct()
+
+
+@R.query("organisation_filter", f"WITH {MEMBERS_SQL} SELECT path FROM ok")
+def organisation_filter(spark, sf):
+    pages = member_pages(spark, sf)
+    return HS.organisation_allowed(pages, member_closure(pages), type_nodes(pages), scope={"topic_domain": f" {DOMAIN.lower()}"}).select("path")
+
+
+@R.query(
+    "hierarchical_search",
+    f"""WITH {BRANCH_SQL}, {MEMBERS_SQL}, {MEMBER_SCORES_SQL},
+    sd AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS r FROM psc) WHERE r <= 8),
+    ch AS (SELECT query_id, path AS branch, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS b FROM rb WHERE rank <= 9 AND view IN ('domain', 'analysis') AND query_id % 4 <> 0 QUALIFY b <= 3),
+    h0 AS (SELECT query_id, b, path, row_number() OVER (PARTITION BY query_id, b ORDER BY score DESC, path) AS r FROM ch JOIN mem USING (branch) JOIN psc USING (query_id, path) QUALIFY r <= 50),
+    hr AS (SELECT query_id, b, path, row_number() OVER (PARTITION BY query_id, b ORDER BY r) AS r FROM h0 WHERE path IN (SELECT path FROM ok)),
+    bs2 AS (SELECT query_id, max(score) AS base FROM sd GROUP BY ALL),
+    p AS (SELECT query_id, path, max(CASE WHEN b = 1 THEN r END) AS r1, max(CASE WHEN b = 2 THEN r END) AS r2, max(CASE WHEN b = 3 THEN r END) AS r3 FROM hr GROUP BY ALL),
+    j AS (SELECT coalesce(sd.query_id, p.query_id) AS query_id, coalesce(sd.path, p.path) AS path, sd.score AS s0, r1, r2, r3 FROM sd FULL JOIN p ON p.query_id = sd.query_id AND p.path = sd.path),
+    k AS (SELECT j.*, coalesce(base, 0.05::DOUBLE) AS base FROM j LEFT JOIN bs2 USING (query_id)),
+    f1 AS (SELECT *, CASE WHEN r1 IS NULL THEN s0 WHEN s0 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r1) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r1), s0) + base * 0.2::DOUBLE END AS s1 FROM k),
+    f2 AS (SELECT *, CASE WHEN r2 IS NULL THEN s1 WHEN s1 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r2) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r2), s1) + base * 0.2::DOUBLE END AS s2 FROM f1),
+    f3 AS (SELECT *, CASE WHEN r3 IS NULL THEN s2 WHEN s2 IS NULL THEN base * (0.9::DOUBLE + 0.1::DOUBLE / r3) ELSE greatest(base * (0.9::DOUBLE + 0.1::DOUBLE / r3), s2) + base * 0.2::DOUBLE END AS s3 FROM f2)
+    SELECT query_id, path, round(s3, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s3, 12) DESC, path) AS rank FROM f3 QUALIFY rank <= 50""",
+)
+def hierarchical_search(spark, sf):
+    """Three of four queries go through two views of the organisation, the rest are answered directly."""
+    pages = member_pages(spark, sf)
+    queries, index = branch_queries(spark, sf), S.build_index(pages.drop("p_type", "p_brand"))
+    seeds = cut_lineage(S.search_many(index, queries, top_k=8).select("query_id", "path", "score"))
+    routes = queries.where("query_id % 4 <> 0").select("query_id", F.explode(F.array(F.lit("domain"), F.lit("analysis"))).alias("view"))
+    hits, _ = HS.hierarchical_search(index, queries, seeds, routes, branch_pages(spark, sf), member_closure(pages), type_nodes(pages), scope={"topic_domain": DOMAIN})
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @R.query(
     "branch_discovery",
     """WITH sd AS (SELECT o_custkey AS query_id, CAST(o_orderkey AS VARCHAR) AS path, round(o_totalprice / 1000000, 6) AS score FROM orders WHERE o_orderstatus = 'F'),
