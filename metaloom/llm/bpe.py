@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import unicodedata
 from array import array
@@ -20,6 +21,8 @@ from metaloom.llm.token_counts import WHITE
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MERGED = (1 << ID_BITS) - 1
 NEVER = 1 << 62
+#: From so many symbols on a fragment's merges come from a heap.
+LONG_FRAGMENT = 64
 
 
 class WordCoder:
@@ -48,11 +51,13 @@ class WordCoder:
 
     def _fragment(self, symbols: list[int]) -> list[int]:
         """Merges of one fragment, the lowest rank first and the leftmost of equals."""
+        if len(symbols) > LONG_FRAGMENT:
+            return self._long_fragment(symbols)
         found = self.vocabulary.merges.get
         pairs = [found(a << ID_BITS | b, NEVER) for a, b in zip(symbols, symbols[1:])]
         while pairs:
             best = min(pairs)
-            if best is NEVER:
+            if best == NEVER:
                 break
             i = pairs.index(best)
             symbols[i] = merged = best & MERGED
@@ -63,6 +68,29 @@ class WordCoder:
                 pairs[i] = found(merged << ID_BITS | symbols[i + 1], NEVER)
         return symbols
 
+    def _long_fragment(self, symbols: list[int]) -> list[int]:
+        """The same merges from a heap over linked symbols, in n log n steps."""
+        found, n = self.vocabulary.merges.get, len(symbols)
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
+        pairs = [found(a << ID_BITS | b, NEVER) for a, b in zip(symbols, symbols[1:])] + [NEVER]
+        heap = [(value, i) for i, value in enumerate(pairs) if value != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            value, i = heapq.heappop(heap)
+            if gone[i] or pairs[i] != value:
+                continue
+            symbols[i], j = value & MERGED, after[i]
+            after[i], gone[j] = after[j], 1
+            if after[j] < n:
+                before[after[j]] = i
+            for left in (before[i], i):
+                if left >= 0:
+                    right = after[left]
+                    pairs[left] = found(symbols[left] << ID_BITS | symbols[right], NEVER) if right < n else NEVER
+                    if pairs[left] != NEVER:
+                        heapq.heappush(heap, (pairs[left], left))
+        return [s for s, dead in zip(symbols, gone) if not dead]
+
     def cuts(self, match: str) -> list[list[int]]:
         """The fragments of one word, as start symbols."""
         v = self.vocabulary

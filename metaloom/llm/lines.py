@@ -185,9 +185,8 @@ def _substrings(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
             fresh = []
             for text in batch.column(0).to_pylist():
                 for line in lines_of(text):
-                    mark = hash(line)
-                    if mark not in seen:
-                        seen.add(mark)
+                    if line not in seen:
+                        seen.add(line)
                         fresh.append(line)
             if len(seen) > 200_000:
                 seen.clear()

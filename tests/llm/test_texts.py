@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,18 @@ def test_codes_equal_the_library_and_decode(docs):
         assert r.decoded == t.decode(ids, skip_special_tokens=False) == word_coder(WORD).decode(bytes(r.ids))
 
 
+def test_long_fragments_merge_alike():
+    coder, t, rnd = word_coder(WORD), Tokenizer.from_file(WORD), random.Random(9)
+    for n in (65, 200, 3000):
+        for letters in ("a", "ab", "abcdeinorst"):
+            word = "".join(rnd.choice(letters) for _ in range(n))
+            ids = [i for fragment in coder.cuts(word) for i in coder._fragment(fragment)]
+            assert ids == t.encode(word, add_special_tokens=False).ids
+    start = time.time()
+    coder.matches["a" * 1_000_000]
+    assert time.time() - start < 60
+
+
 def test_cuts_fall_only_where_no_token_reaches_over():
     coder = word_coder(WORD)
     pieces = coder.cuts("qzxjkv")
