@@ -35,8 +35,8 @@ STAGE_WIDTH, SIMILAR = 5, 0.8  # words of a shingle and share of common shingles
 #: share a fingerprint with probability 0.996, 0.85, 0.45, 0.14 and 0.003 (simulated), so that texts that merely hold a common
 #: passage seldom meet.
 PRINTS, ROWS, ORDERS = 40, 8, 128
-#: Fingerprints (first, end) whose keys are compared with one of their members, round by round; the last round takes all again.
-STAR_ROUNDS = ((0, 3), (3, 8), (8, 18), (18, PRINTS), (0, PRINTS))
+#: Fingerprints (first, end) whose members are compared with one of them, round by round, before the others are looked at.
+STAR_ROUNDS = ((0, 3), (3, 8))
 MINIMA_BLOCK = 1 << 12  # shingles whose hashes are permuted at once
 
 
@@ -242,14 +242,34 @@ def _shingle_rows(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
 
 
+def _prefix_pairs(sets: DataFrame, near: DataFrame, similar: float) -> DataFrame:
+    """Pairs (x, y, their roots and sizes) of nodes that can be similar, none left out, by their rarest shingles.
+
+    Of two sets that share ``similar`` of their shingles, put in one order of rising frequency,
+    each has a common one among its first size - similar x size + 1. Texts that merely hold a
+    common passage differ just there. At the first common shingle enough must be left on both
+    sides; only such rows leave the join.
+    """
+    held = cut_lineage(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    counted = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))  # a node is one text's set
+    prefix = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + 1
+    heads = counted.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("n") > 1)).select("shingle", "node", "size", "place")
+    heads = cut_lineage(heads.join(near, "node"))
+    x, y = (heads.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "size", "place")]).withColumnRenamed(f"node_{end}", end) for end in "xy")
+    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    enough = left >= F.lit(similar / (1 + similar)) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    return x.join(y, "shingle").where((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough)
+
+
 def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: documents that share ``similar`` of all their different word shingles are linked.
 
     1. Equal sets of shingles, those of texts without words among them, are one node.
     2. Nodes that share a key of a fingerprint are candidates, unless their sizes rule the
-       similarity out. Members of a key are compared with one of them, for a few fingerprints
-       first and then for more and more, always between different roots, which joins most of a
-       cloud of near copies without pairs; then all pairs with different roots are compared.
+       similarity out. Members of a key are compared with one of them for a few fingerprints,
+       which joins most of a cloud of near copies without pairs. Nodes that then share a key
+       with another root are compared by their rarest shingles, where no pair is left out.
     3. A candidate counts by its shingles, which are made again only for nodes that share a key.
 
     ``component_id`` is the smallest document id that can be reached, with nulls and repeated
@@ -288,9 +308,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
         members = own.withColumn("mid", pivot.over(Window.partitionBy("key")))
         stars = members.select(F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("mid.node").alias("y"), F.col("mid.root").alias("root_y"), F.col("mid.size").alias("size_y"))
         near = joined(near, links(open_pairs(stars)))
-    members = cut_lineage(keyed.join(near, "node"))
-    x, y = (members.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "size")]).withColumnRenamed(f"node_{end}", end) for end in "xy")
-    near = joined(near, links(open_pairs(x.join(y, "key").where("x < y"))))
+    mixed = keyed.join(near, "node").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    still_open = cut_lineage(keyed.join(mixed, "key", "left_semi").select("node").distinct())
+    near = joined(near, links(open_pairs(_prefix_pairs(sets.join(still_open, "node", "left_semi"), near, similar))))
 
     linked = cut_lineage(nodes.select("node", "first").join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
