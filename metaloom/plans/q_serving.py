@@ -259,8 +259,8 @@ def organisation_filter(spark, sf):
     "hierarchical_search",
     f"""WITH {BRANCH_SQL}, {MEMBERS_SQL}, {MEMBER_SCORES_SQL},
     sd AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS r FROM psc) WHERE r <= 8),
-    ch AS (SELECT query_id, path AS branch, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS b FROM rb WHERE rank <= 9 AND view IN ('domain', 'analysis') AND query_id % 4 <> 0 QUALIFY b <= 3),
-    h0 AS (SELECT query_id, b, path, row_number() OVER (PARTITION BY query_id, b ORDER BY score DESC, path) AS r FROM ch JOIN mem USING (branch) JOIN psc USING (query_id, path) QUALIFY r <= 50),
+    cho AS (SELECT query_id, path AS branch, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS b FROM rb WHERE rank <= 9 AND view IN ('domain', 'analysis') AND query_id % 4 <> 0 QUALIFY b <= 3),
+    h0 AS (SELECT query_id, b, path, row_number() OVER (PARTITION BY query_id, b ORDER BY score DESC, path) AS r FROM cho JOIN mem USING (branch) JOIN psc USING (query_id, path) QUALIFY r <= 50),
     hr AS (SELECT query_id, b, path, row_number() OVER (PARTITION BY query_id, b ORDER BY r) AS r FROM h0 WHERE path IN (SELECT path FROM ok)),
     bs2 AS (SELECT query_id, max(score) AS base FROM sd GROUP BY ALL),
     p AS (SELECT query_id, path, max(CASE WHEN b = 1 THEN r END) AS r1, max(CASE WHEN b = 2 THEN r END) AS r2, max(CASE WHEN b = 3 THEN r END) AS r3 FROM hr GROUP BY ALL),
