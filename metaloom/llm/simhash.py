@@ -38,6 +38,7 @@ PRINTS, ROWS, ORDERS = 40, 8, 128
 #: Fingerprints (first, end) whose members are compared with one of them, round by round, before the others are looked at.
 STAR_ROUNDS = ((0, 3), (3, 8))
 MINIMA_BLOCK = 1 << 12  # shingles whose hashes are permuted at once
+SKETCH = 8  # words of 64 bits of the sketch of a set of shingles
 
 
 def shingle_hashes(text: str, width: int) -> Iterator[bytes]:
@@ -231,15 +232,22 @@ def _shingled(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", "text_hash", "text").mapInArrow(hashed, "doc_id long, text_hash long, node long, size int, keys array<long>")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes by their low bits: two sketches differ in no more bits than the sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _shingle_rows(rows: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of (node, text) rows."""
+    """(node, shingles, sketch) of (node, text) rows."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, texts in text_pairs(batches):
-            sets = [shingle_set(t, width).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingle_set(t, width) for t in texts]
+            columns = [pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-    return rows.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>, sketch array<long>")
 
 
 def _prefix_pairs(sets: DataFrame, near: DataFrame, similar: float) -> DataFrame:
@@ -248,18 +256,21 @@ def _prefix_pairs(sets: DataFrame, near: DataFrame, similar: float) -> DataFrame
     Of two sets that share ``similar`` of their shingles, put in one order of rising frequency,
     each has a common one among its first size - similar x size + 1. Texts that merely hold a
     common passage differ just there. At the first common shingle enough must be left on both
-    sides; only such rows leave the join.
+    sides, and the sketches may differ in no more bits than similar sets of these sizes in
+    shingles; only such rows leave the join.
     """
     held = cut_lineage(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
     counted = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))  # a node is one text's set
     prefix = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + 1
     heads = counted.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("n") > 1)).select("shingle", "node", "size", "place")
-    heads = cut_lineage(heads.join(near, "node"))
-    x, y = (heads.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "size", "place")]).withColumnRenamed(f"node_{end}", end) for end in "xy")
+    heads = cut_lineage(heads.join(near, "node").join(sets.select("node", "sketch"), "node"))
+    x, y = (heads.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "size", "place", "sketch")]).withColumnRenamed(f"node_{end}", end) for end in "xy")
     left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
     enough = left >= F.lit(similar / (1 + similar)) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    return x.join(y, "shingle").where((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough)
+    bits = functools.reduce(Column.__add__, [F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(SKETCH)])
+    alike = bits <= F.lit((1 - similar) / (1 + similar)) * (F.col("size_x") + F.col("size_y")) + 1e-9
+    return x.join(y, "shingle").where((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough & alike)
 
 
 def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +299,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
 
     def links(pairs: DataFrame) -> DataFrame:
         """(a, b): roots of the pairs (x, y, root_x, root_y) that are similar enough."""
-        both = pairs.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("y", "set_y"), "y")
+        both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y")
         common = F.size(F.array_intersect("set_x", "set_y"))
         alike = common >= F.lit(similar) * (F.size("set_x") + F.size("set_y") - common) - 1e-9
         return cut_lineage(both.where(alike).select(F.least("root_x", "root_y").alias("a"), F.greatest("root_x", "root_y").alias("b")).distinct())
