@@ -71,8 +71,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
        line with ``share`` of the item's windows, or with ``run`` of them, is a candidate, and
        so is a band of places with ``share`` of the item's windows on any lines, which holds
        copies with words put in or taken out.
-    3. Its slots must be consistent, see ``_matches``, unless ``share`` of the item's windows
-       are there to the value. ``reworded`` tells that some value differs: a re-parameterised
+    3. Its slots must be consistent, see ``_matches``, unless ``share`` of the item's windows,
+       or ``run`` of them on one line, are there to the value. ``reworded`` tells that some value differs: a re-parameterised
        question.
 
     Items shorter than ``width`` are matched as a whole; windows with fewer than two literal
@@ -149,21 +149,22 @@ def _matches(hits: DataFrame, keys: list[str], totals: DataFrame, share: float,
     A group needs ``share`` of the item's windows, or ``run`` of them where that is given. Its
     slots, those of matched windows only, must be consistent: a value of the item stands for one
     value of the document and a unit or name of the document for one of the item; two numbers may
-    get the same new value. With ``share`` of the windows alike to the value no slots are asked.
+    get the same new value. With ``share`` of the windows, or ``run`` of a line, alike to the value
+    no slots are asked: so long a passage of the item is a leak whatever stands around it.
     """
     literal = ~F.exists("pairs", lambda p: p["a"] != p["b"])
     groups = hits.groupBy(*keys).agg(
         F.size(F.collect_set("item_place")).alias("found"), F.size(F.collect_set(F.when(literal, F.col("item_place")))).alias("literal"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     groups = groups.join(maybe_broadcast(totals), "item_id").withColumn("share", F.col("found") / F.col("windows"))
-    enough = F.col("share") >= share
+    enough, verbatim = F.col("share") >= share, F.col("literal") / F.col("windows") >= share
     if run is not None:
-        enough = enough | (F.col("found") >= run)
+        enough, verbatim = enough | (F.col("found") >= run), verbatim | (F.col("literal") >= run)
     distinct = lambda values: F.size(F.array_distinct(values)) == F.size(values)
     typed = F.filter("pairs", lambda p: F.substring(p["a"], 1, 1) != NUMBER)
     consistent = distinct(F.transform("pairs", lambda p: p["a"])) & distinct(F.transform(typed, lambda p: p["b"]))
     differs = F.exists("pairs", lambda p: p["a"] != p["b"])
-    return groups.where(enough & (consistent | (F.col("literal") / F.col("windows") >= share))).select(*keys, "share", differs.alias("differs"))
+    return groups.where(enough & (consistent | verbatim)).select(*keys, "share", differs.alias("differs"))
 
 
 def _with_leaks(docs: DataFrame, leaks: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:

@@ -58,16 +58,18 @@ def test_leaks(spark, table):
     bench = spark.createDataFrame([(10, ITEM, 1), (11, None, 1), (12, "", 1), (13, "too short item", 1)], "item_id long, text string, words int")
     reworded = ITEM.replace("Morris", "Felix").replace("45", "77").replace("Arlen", "Selby")
     mixed = ITEM.replace("Morris kept 45", "Felix kept 46")
-    rows = [(1, f"start of it. {ITEM}. And more text."), (2, f"before {reworded} after"), (3, f"before {mixed} after"), (4, PROSE), (5, None), (6, ""), (7, " ".join(ITEM.split()[:10]) + " " + PROSE), (8, "this is too short item here"), (1, f"start of it. {ITEM}. And more text.")]
+    clashing = ITEM.replace("named Morris", "named Felix").replace("sold 45", "sold 46").replace("3 dollars", "5 dollars")  # 11 windows to the value
+    rows = [(1, f"start of it. {ITEM}. And more text."), (2, f"before {reworded} after"), (3, f"before {mixed} after"), (9, f"before {clashing} after"), (4, PROSE), (5, None), (6, ""), (7, " ".join(ITEM.split()[:10]) + " " + PROSE), (8, "this is too short item here"), (1, f"start of it. {ITEM}. And more text.")]
     got = decontaminate.mark_contaminated(table(rows), bench).collect()
     assert len(got) == len(rows)
     found = {r.doc_id: (r.contaminated, r.items, r.reworded) for r in got}
     assert found[1] == (True, [10], False)
     assert found[2] == (True, [10], True)
-    assert found[3] == (False, [], False)  # one name or number cannot stand for two
+    assert found[3] == (True, [10], True)  # nineteen words of the item to the letter
+    assert found[9] == (False, [], False)  # one name or number cannot stand for two
     assert not any(found[i][0] for i in (4, 5, 6, 7))
     assert found[8] == (True, [13], False)
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table(rows), bench).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table(rows), bench).collect()) == [4, 5, 6, 7, 9]
     assert decontaminate.mark_contaminated(table(rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.mark_contaminated(table([]), bench).count() == 0
 
