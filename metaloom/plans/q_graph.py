@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import maintenance as U
-from ..scale import top_per_group
+from ..operators import provenance as P
+from ..scale import cut_lineage, top_per_group
 from .registry import Registry
 from .tables import CONTEXTS_SQL, GRAPH_SQL, ORG_SQL, RESOLVED_SQL, contexts, graph_links, graph_nodes, org_edges, org_nodes, table
 
@@ -223,6 +224,94 @@ def aggregate_pages(spark, sf):
     return H.branch_summary(H.closure(e), org_nodes(spark, sf), e)
 
 
+# ----------------------------------------------------------------------------- provenance
+# Placements with who stated them, on what evidence and from which file: orders state where their customer belongs.
+PROVENANCE_SQL = f"""{ORG_SQL},
+ct AS (SELECT parent, child, status, method, rule_id, owner, NULL::VARCHAR AS evidence, 'file:taxonomy' AS source FROM oe WHERE child_kind = 'topic'
+  UNION ALL SELECT parent, child, status, method, rule_id, owner, NULL, NULL FROM oe WHERE child_kind = 'business-object'
+  UNION ALL SELECT parent, child, status, method, rule_id, 'data://logical-models/' || o_orderkey, 'order:' || o_orderkey, 'file:' || o_orderpriority
+    FROM oe JOIN orders ON child = 'data://business-objects/' || o_custkey WHERE child_kind = 'business-object'
+  UNION ALL SELECT parent, child, status, method, rule_id, owner, 'flag:' || l_returnflag || l_linestatus, 'file:' || o_orderpriority
+    FROM oe JOIN orders ON child = 'data://logical-models/' || o_orderkey JOIN lineitem ON l_orderkey = o_orderkey),
+ce AS (SELECT edge_id, confidence, owner, evidence, source FROM ct JOIN me ON me.parent = ct.parent AND me.child = ct.child AND me.status = ct.status AND me.method = ct.method AND me.rule_id IS NOT DISTINCT FROM ct.rule_id)"""
+
+
+def contributions(spark, sf):
+    edges = org_edges(spark, sf)
+    order = table(spark, sf, "orders").select(
+        F.concat(F.lit("data://business-objects/"), "o_custkey").alias("customer"), F.concat(F.lit("data://logical-models/"), "o_orderkey").alias("order"),
+        F.concat(F.lit("order:"), "o_orderkey").alias("row"), F.concat(F.lit("file:"), "o_orderpriority").alias("file"), "o_orderkey",
+    )
+    flags = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("flag:"), "l_returnflag", "l_linestatus").alias("flag")).distinct()
+    none = F.lit(None).cast("string")
+    proof = lambda rows, evidence, source: rows.select(*edges.columns, evidence.alias("evidence"), source.alias("source"))
+    customers = edges.where("child_kind = 'business-object'")
+    stated = customers.join(order, F.col("child") == F.col("customer")).withColumn("owner", F.col("order"))
+    flagged = edges.where("child_kind = 'logical-model'").join(order, F.col("child") == F.col("order")).join(flags, F.col("o_orderkey") == F.col("l_orderkey"))
+    return (
+        proof(edges.where("child_kind = 'topic'"), none, F.lit("file:taxonomy"))
+        .unionByName(proof(customers, none, none))
+        .unionByName(proof(stated, F.col("row"), F.col("file")))
+        .unionByName(proof(flagged, F.col("flag"), F.col("file")))
+    )
+
+
+@R.query(
+    "edge_provenance",
+    f"""WITH {PROVENANCE_SQL} SELECT edge_id, 'owner' AS kind, owner AS item FROM ce UNION SELECT edge_id, 'evidence', evidence FROM ce WHERE evidence IS NOT NULL
+    UNION SELECT edge_id, 'source', source FROM ce WHERE source IS NOT NULL""",
+)
+def edge_provenance(spark, sf):
+    return P.provenance_rows(*P.merge_provenance(contributions(spark, sf)))
+
+
+@R.query(
+    "edge_provenance_counts",
+    f"WITH {PROVENANCE_SQL} SELECT edge_id, max(confidence) AS confidence, count(DISTINCT owner) AS owner_count, count(DISTINCT evidence) AS evidence_count, count(DISTINCT source) AS source_count FROM ce GROUP BY edge_id",
+)
+def edge_provenance_counts(spark, sf):
+    merged, _ = P.merge_provenance(contributions(spark, sf))
+    return merged.select("edge_id", "confidence", "owner_count", "evidence_count", "source_count")
+
+
+@R.query(
+    "evidence_existence",
+    f"""WITH {PROVENANCE_SQL}, kn AS (SELECT 'flag:' || l_returnflag || l_linestatus AS evidence FROM lineitem WHERE l_returnflag <> 'N' UNION SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+    SELECT 'evidence_not_found' AS code, edge_id AS subject, count(DISTINCT evidence) AS missing FROM ce WHERE evidence IS NOT NULL AND evidence NOT IN (SELECT evidence FROM kn) GROUP BY edge_id""",
+)
+def evidence_existence(spark, sf):
+    """Edges that rest on evidence which is not on record: open lines and open orders are not."""
+    flags = table(spark, sf, "lineitem").where("l_returnflag <> 'N'").select(F.concat(F.lit("flag:"), "l_returnflag", "l_linestatus").alias("evidence"))
+    rows = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.concat(F.lit("order:"), "o_orderkey").alias("evidence"))
+    return P.evidence_issues(*P.merge_provenance(contributions(spark, sf)), flags.union(rows))
+
+
+@R.query(
+    "page_integrity",
+    f"""WITH {ORG_SQL}, cx AS (SELECT path FROM og WHERE NOT virtual),
+    pg AS (SELECT CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'data://views/domain/topic/' END || 'data://topics/' || n_nationkey AS path, 'data://topics/' || n_nationkey AS node, n_nationkey % 3 = 1 AS old FROM nation
+      UNION ALL SELECT path, path, false FROM og WHERE virtual),
+    bl AS (SELECT ancestor, node AS member FROM cl JOIN cx ON cx.path = cl.node),
+    op AS (SELECT 'data://logical-models/' || o_orderkey AS member FROM orders WHERE o_orderstatus = 'P')
+    SELECT 'page_path_collision' AS code, path AS subject FROM pg WHERE path IN (SELECT path FROM cx)
+    UNION ALL SELECT 'view_uri_mismatch', path FROM pg WHERE path NOT LIKE 'data://views/domain/%'
+    UNION ALL SELECT DISTINCT 'aggregate_member_mismatch', pg.path FROM pg JOIN bl ON bl.ancestor = pg.node JOIN op USING (member) WHERE old""",
+)
+def page_integrity(spark, sf):
+    """Branch pages of nations and regions, some stored below a wrong path, some before the orders in progress were known."""
+    closed = cut_lineage(H.closure(active(spark, sf)))
+    real = org_nodes(spark, sf).where("NOT virtual").select("path")
+    n = table(spark, sf, "nation")
+    topic = F.concat(F.lit("data://topics/"), "n_nationkey")
+    nations = n.select(F.when(F.col("n_nationkey") % 5 == 0, topic).otherwise(F.concat(F.lit("data://views/domain/topic/"), topic)).alias("path"), topic.alias("node"), (F.col("n_nationkey") % 3 == 1).alias("old"))
+    regions = org_nodes(spark, sf).where("virtual").select("path", F.col("path").alias("node"), F.lit(False).alias("old"))
+    pages = nations.unionByName(regions).withColumn("view", F.lit("domain"))
+    below = closed.join(real.select(F.col("path").alias("node")), "node", "left_semi").select("view", F.col("ancestor"), F.col("node").alias("member"))
+    running = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("data://logical-models/"), "o_orderkey").alias("member"), F.lit(True).alias("running"))
+    stored = below.join(pages.select("view", F.col("node").alias("ancestor"), "path", "old"), ["view", "ancestor"]).join(running, "member", "left")
+    return P.page_issues(pages.drop("old"), stored.where("NOT old OR running IS NULL").select("path", "member"), closed, real)
+
+
 # ----------------------------------------------------------------------------- upkeep
 def earlier_and_now(spark, sf):
     """The organisation of the tables, and an earlier state of it: other contexts, and placements that have moved since."""
