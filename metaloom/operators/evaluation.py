@@ -44,6 +44,75 @@ def micro_scores(scored: DataFrame, by: list[str]) -> DataFrame:
     return total.withColumn("f1", F.when((F.col("recall") > 0) & (F.col("precision") > 0), F.round(both, 6)).otherwise(empty))
 
 
+def entity_scores(runs: DataFrame, entities: DataFrame, gold: DataFrame, relations: DataFrame, gold_relations: DataFrame) -> DataFrame:
+    """Per run: entity and relation recall, precision and F1, and whether cases that expect nothing stayed empty.
+
+    ``runs``: (system, case_id, valid, expected_empty, annotated, ...), one row each, runs that
+    returned nothing included; ``entities``: (system, case_id, item, unknown), item null for names
+    that the registry does not resolve; ``gold``: (case_id, item, type, role) with disjoint roles
+    required, optional and forbidden; ``relations``: (system, case_id, source, relation, target,
+    unknown), ends null for unresolved ones; ``gold_relations``: (case_id, source, relation, target).
+
+    Unknown names and relations count against precision. An invalid run matches nothing. A case
+    that expects nothing has no F1, and no precision if nothing came; relation scores are null
+    where relations are not ``annotated``. Repeated rows count once.
+    """
+    run, triple = ["system", "case_id"], ["source", "relation", "target"]
+    roles = gold.select("case_id", "item", "role").distinct()
+    required = roles.where("role = 'required'").groupBy("case_id").agg(F.count("*").alias("required"))
+    named = entities.where("item IS NOT NULL").select(*run, "item").distinct().join(roles, ["case_id", "item"], "left").groupBy(*run).agg(
+        F.count("*").alias("named"), F.count_if(F.col("role") == "required").alias("matched"), F.count_if(F.col("role").isin("required", "optional")).alias("acceptable"), F.count_if(F.col("role") == "forbidden").alias("forbidden")
+    )
+    unknown = entities.where("item IS NULL").select(*run, "unknown").distinct().groupBy(*run).agg(F.count("*").alias("unknown"))
+    told = relations.select(*run, *triple, F.when(F.col("source").isNull() | F.col("target").isNull(), F.col("unknown")).alias("raw"))
+    open_ends = F.col("source").isNull() | F.col("target").isNull()
+    told = told.select(*run, *[F.when(~open_ends, F.col(c)).alias(c) for c in triple], "raw").distinct()
+    right = gold_relations.select("case_id", *triple).distinct().withColumn("right", F.lit(True))
+    told = told.join(right, ["case_id", *triple], "left").groupBy(*run).agg(F.count("*").alias("relation_returned"), F.count_if("right").alias("relation_matched"))
+    wanted = right.groupBy("case_id").agg(F.count("*").alias("relation_required"))
+    rows = runs.join(named, run, "left").join(unknown, run, "left").join(told, run, "left").join(required, "case_id", "left").join(wanted, "case_id", "left")
+    counts = ["named", "matched", "acceptable", "forbidden", "unknown", "relation_returned", "relation_matched", "required", "relation_required"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    rows = rows.withColumns({c: F.when(F.col("valid"), F.col(c)).otherwise(0) for c in ("matched", "acceptable", "relation_matched")}).withColumn("returned", F.col("named") + F.col("unknown"))
+
+    none, empty = F.col("returned") == 0, F.col("expected_empty")
+    recall, share = F.col("matched") / F.nullif("required", F.lit(0)), F.col("acceptable") / F.nullif("returned", F.lit(0))
+    precision = F.when(~none & F.col("valid"), share).when(none & (F.col("required") == 0) & F.col("valid"), 1.0).otherwise(0.0)
+    both = lambda r, p: F.when((r > 0) & (p > 0), F.round(2 * r * p / (r + p), 6))
+    relation_recall, relation_share = (F.col("relation_matched") / F.nullif(c, F.lit(0)) for c in ("relation_required", "relation_returned"))
+    nought = F.when(F.col("relation_required") > 0, 0.0)
+    annotated = lambda c: F.when(F.col("annotated"), c)
+    quiet = none & (F.col("relation_returned") == 0)
+    return rows.select(
+        *runs.columns, "required", "returned", "matched", "acceptable", "forbidden", "unknown", "relation_required", "relation_returned", "relation_matched",
+        F.round(recall, 6).alias("recall"), F.when(~(empty & none), F.round(precision, 6)).alias("precision"), F.when(~empty, F.coalesce(both(recall, precision), F.lit(0.0))).alias("f1"),
+        F.when(empty, F.col("valid") & quiet).alias("negative_correct"), F.when(empty, ~quiet).alias("negative_false_positive"),
+        annotated(F.round(relation_recall, 6)).alias("relation_recall"), annotated(F.coalesce(F.round(relation_share, 6), nought)).alias("relation_precision"),
+        annotated(F.coalesce(both(relation_recall, relation_share), nought)).alias("relation_f1"),
+    )
+
+
+def entity_type_scores(runs: DataFrame, entities: DataFrame, gold: DataFrame) -> DataFrame:
+    """(system, type, required, matched, recall): required entities of each type over all runs, and how many came in valid ones."""
+    wanted = gold.where("role = 'required'").select("case_id", "item", "type").distinct()
+    asked = runs.select("system", "case_id", "valid").join(wanted, "case_id")
+    came = entities.where("item IS NOT NULL").select("system", "case_id", "item").distinct().withColumn("came", F.lit(True))
+    rows = asked.join(came, ["system", "case_id", "item"], "left").groupBy("system", "type").agg(F.count("*").alias("required"), F.count_if(F.col("came") & F.col("valid")).alias("matched"))
+    return rows.withColumn("recall", ratio(F.col("matched"), F.col("required")))
+
+
+def macro_scores(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Means over runs per group, cases without a value left out; mean and median of tokens; sums of forbidden and unknown returns.
+
+    ``scored``: rows of ``entity_scores`` with tokens and complete (whether all tokens were counted).
+    """
+    mean = lambda c: F.round(F.avg(c), 6)
+    return scored.groupBy(*by).agg(
+        F.count("*").alias("runs"), F.count_if("valid").alias("valid_runs"), mean("recall").alias("recall_macro"), mean("precision").alias("precision_macro"), mean("tokens").alias("tokens_mean"),
+        F.median("tokens").alias("tokens_median"), F.count_if("complete").alias("complete_runs"), F.sum("forbidden").alias("forbidden_returns"), F.sum("unknown").alias("unknown_returns"),
+    )
+
+
 def recall_at(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """(k, found, expected, recall) over all queries: ranked (query_id, item, rank), gold (query_id, item)."""
     hits = ranked.join(gold.distinct(), ["query_id", "item"], "left_semi")

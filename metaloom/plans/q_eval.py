@@ -82,6 +82,86 @@ def recall_at_k(spark, sf):
     return EV.recall_at(hits.select("query_id", "item", "rank"), good, [1, 3, 8])
 
 
+# Two systems asked for the parts of each customer: what came, resolved or not, against required, optional and forbidden parts.
+ENTITY_SQL = """ru AS (SELECT system, c_custkey AS case_id, c_custkey % 17 <> 3 AS valid, c_acctbal < 0 AS expected_empty, c_mktsegment <> 'BUILDING' AS annotated,
+  CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 101 END AS tokens, c_custkey % 13 <> 0 AS complete FROM customer, (SELECT unnest(['left', 'right']) AS system)),
+li AS (SELECT o_custkey AS case_id, 'part:' || l_partkey AS item, 'supplier:' || l_suppkey AS supplier, l_linenumber AS n, l_quantity AS q, l_tax AS tax, l_discount AS dc, l_returnflag AS flag, c_acctbal < 0 AS empty
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+gd AS (SELECT case_id, item, p_brand AS type, ['required', 'optional', 'forbidden'][min(CASE WHEN n = 1 THEN 1 WHEN flag = 'R' THEN 3 ELSE 2 END)] AS role FROM li JOIN part ON item = 'part:' || p_partkey WHERE n <= 2 AND NOT empty GROUP BY ALL),
+en AS (SELECT CASE WHEN q > 25 THEN 'left' ELSE 'right' END AS system, case_id, CASE WHEN tax < 0.08 THEN item END AS item, CASE WHEN tax >= 0.08 THEN 'untyped:' || item END AS unknown FROM li WHERE n IN (1, CASE WHEN q > 25 THEN 3 ELSE 2 END) AND (NOT empty OR q < 10)),
+rl AS (SELECT CASE WHEN q > 25 THEN 'left' ELSE 'right' END AS system, case_id, item AS source, CASE WHEN tax < 0.08 THEN supplier END AS target, item || '>' || supplier AS raw FROM li WHERE n = 1 AND dc < 0.05 AND NOT empty),
+gr AS (SELECT DISTINCT case_id, item AS source, supplier AS target FROM li WHERE n = 1 AND flag <> 'N' AND NOT empty),
+c1 AS (SELECT system, case_id, count(DISTINCT item) AS named, count(DISTINCT unknown) AS unknown, count(DISTINCT item) FILTER (role = 'required') AS matched, count(DISTINCT item) FILTER (role IN ('required', 'optional')) AS acceptable,
+  count(DISTINCT item) FILTER (role = 'forbidden') AS forbidden FROM en LEFT JOIN gd USING (case_id, item) GROUP BY ALL),
+c2 AS (SELECT system, case_id, count(DISTINCT CASE WHEN rl.target IS NULL THEN raw END) + count(DISTINCT CASE WHEN rl.target IS NOT NULL THEN raw END) AS told, count(DISTINCT CASE WHEN gr.case_id IS NOT NULL THEN raw END) AS hit
+  FROM rl LEFT JOIN gr USING (case_id, source, target) GROUP BY ALL),
+c3 AS (SELECT case_id, count(*) FILTER (role = 'required') AS required FROM gd GROUP BY ALL), c4 AS (SELECT case_id, count(*) AS wanted FROM gr GROUP BY ALL),
+j AS (SELECT ru.*, coalesce(required, 0) AS required, coalesce(named, 0) + coalesce(unknown, 0) AS returned, CASE WHEN valid THEN coalesce(matched, 0) ELSE 0 END AS matched, CASE WHEN valid THEN coalesce(acceptable, 0) ELSE 0 END AS acceptable,
+  coalesce(forbidden, 0) AS forbidden, coalesce(unknown, 0) AS unknown, coalesce(wanted, 0) AS relation_required, coalesce(told, 0) AS relation_returned, CASE WHEN valid THEN coalesce(hit, 0) ELSE 0 END AS relation_matched
+  FROM ru LEFT JOIN c1 USING (system, case_id) LEFT JOIN c2 USING (system, case_id) LEFT JOIN c3 USING (case_id) LEFT JOIN c4 USING (case_id)),
+k AS (SELECT *, matched / nullif(required, 0) AS r, CASE WHEN valid AND returned > 0 THEN acceptable / returned WHEN valid AND required = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p,
+  relation_matched / nullif(relation_required, 0) AS rr, coalesce(relation_matched / nullif(relation_returned, 0), CASE WHEN relation_required > 0 THEN 0.0::DOUBLE END) AS rp FROM j),
+es AS (SELECT * EXCLUDE (r, p, rr, rp), round(r, 6) AS recall, CASE WHEN NOT (expected_empty AND returned = 0) THEN round(p, 6) END AS precision,
+  CASE WHEN NOT expected_empty THEN CASE WHEN r > 0 AND p > 0 THEN round(2 * r * p / (r + p), 6) ELSE 0.0::DOUBLE END END AS f1,
+  CASE WHEN expected_empty THEN valid AND returned = 0 AND relation_returned = 0 END AS negative_correct, CASE WHEN expected_empty THEN returned + relation_returned > 0 END AS negative_false_positive,
+  CASE WHEN annotated THEN round(rr, 6) END AS relation_recall, CASE WHEN annotated THEN round(rp, 6) END AS relation_precision,
+  CASE WHEN annotated THEN CASE WHEN rr > 0 AND rp > 0 THEN round(2 * rr * rp / (rr + rp), 6) WHEN relation_required > 0 THEN 0.0::DOUBLE END END AS relation_f1 FROM k)"""
+
+
+def entity_runs(spark, sf):
+    """Runs, returned entities, gold, returned relations and gold relations of two systems over all customers."""
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    runs = c.select(
+        F.explode(F.array(F.lit("left"), F.lit("right"))).alias("system"), key.alias("case_id"), (key % 17 != 3).alias("valid"), (F.col("c_acctbal") < 0).alias("expected_empty"), (F.col("c_mktsegment") != "BUILDING").alias("annotated"),
+        F.when(key % 13 != 0, key % 101).alias("tokens"), (key % 13 != 0).alias("complete"),
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c.select("c_custkey", (F.col("c_acctbal") < 0).alias("empty")), F.col("o_custkey") == F.col("c_custkey"))
+    li = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        key.alias("case_id"), F.concat(F.lit("part:"), "l_partkey").alias("item"), F.concat(F.lit("supplier:"), "l_suppkey").alias("supplier"), "l_partkey", F.col("l_linenumber").alias("n"),
+        F.col("l_tax").alias("tax"), F.col("l_discount").alias("dc"), F.col("l_returnflag").alias("flag"), (F.col("l_quantity") > 25).alias("large"), (F.col("l_quantity") < 10).alias("few"), "empty",
+    )
+    system = F.when(F.col("large"), "left").otherwise("right")
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("type"))
+    roles = F.array(F.lit("required"), F.lit("optional"), F.lit("forbidden"))
+    gold = li.where("n <= 2 AND NOT empty").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("case_id", "item", "type").agg(
+        F.element_at(roles, F.min(F.when(F.col("n") == 1, 1).when(F.col("flag") == "R", 3).otherwise(2))).alias("role")
+    )
+    came = li.where("(n = 1 OR n = IF(large, 3, 2)) AND (NOT empty OR few)")
+    entities = came.select(system.alias("system"), "case_id", F.when(F.col("tax") < 0.08, F.col("item")).alias("item"), F.when(F.col("tax") >= 0.08, F.concat(F.lit("untyped:"), "item")).alias("unknown"))
+    first = li.where("n = 1 AND NOT empty")
+    told = first.where("dc < 0.05").select(
+        system.alias("system"), "case_id", F.col("item").alias("source"), F.lit("SUPPLIED_BY").alias("relation"), F.when(F.col("tax") < 0.08, F.col("supplier")).alias("target"), F.concat("item", F.lit(">"), "supplier").alias("unknown")
+    )
+    wanted = first.where("flag <> 'N'").select("case_id", F.col("item").alias("source"), F.lit("SUPPLIED_BY").alias("relation"), F.col("supplier").alias("target"))
+    return runs, entities, gold, told, wanted
+
+
+@R.query("entity_scores", f"WITH {ENTITY_SQL} SELECT * FROM es")
+def entity_scores(spark, sf):
+    return EV.entity_scores(*entity_runs(spark, sf))
+
+
+@R.query(
+    "entity_type_scores",
+    f"""WITH {ENTITY_SQL}, a AS (SELECT DISTINCT system, case_id, item FROM en WHERE item IS NOT NULL)
+    SELECT ru.system, type, count(*) AS required, count(*) FILTER (valid AND a.item IS NOT NULL) AS matched, round(count(*) FILTER (valid AND a.item IS NOT NULL) / count(*), 6) AS recall
+    FROM ru JOIN gd USING (case_id) LEFT JOIN a ON a.system = ru.system AND a.case_id = ru.case_id AND a.item = gd.item WHERE role = 'required' GROUP BY ALL""",
+)
+def entity_type_scores(spark, sf):
+    runs, entities, gold, _, _ = entity_runs(spark, sf)
+    return EV.entity_type_scores(runs, entities, gold)
+
+
+@R.query(
+    "eval_macro",
+    f"""WITH {ENTITY_SQL} SELECT system, count(*) AS runs, count(*) FILTER (valid) AS valid_runs, round(avg(recall), 6) AS recall_macro, round(avg(precision), 6) AS precision_macro, round(avg(tokens), 6) AS tokens_mean, median(tokens) AS tokens_median,
+    count(*) FILTER (complete) AS complete_runs, CAST(sum(forbidden) AS BIGINT) AS forbidden_returns, CAST(sum(unknown) AS BIGINT) AS unknown_returns FROM es GROUP BY system""",
+)
+def eval_macro(spark, sf):
+    return EV.macro_scores(EV.entity_scores(*entity_runs(spark, sf)), ["system"])
+
+
 @R.query(
     "eval_grouping_sets",
     """SELECT lang, source, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS low, max(n_chars) AS high, count(n_chars) AS measured, count(*) AS expected, count(n_chars) = count(*) AS complete,
