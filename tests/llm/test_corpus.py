@@ -370,3 +370,17 @@ def test_near_copies_equal_brute_force(spark, table):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
     hits = [bool(set(simhash.minima_keys(simhash.shingle_set(rows[i][1], 5))) & set(simhash.minima_keys(simhash.shingle_set(rows[j][1], 5)))) for i, j in pairs if j < 9000]
     assert np.mean(hits) > 0.99
+
+
+def test_sketches_differ_in_no_more_bits_than_their_sets(spark):
+    assert spark.sql("SELECT bit_count(-1L) AS n").first().n == 64
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+        for changed in (0, 1, n // 10, n):
+            b = np.union1d(a[changed:], rnd.integers(0, 1 << 64, changed // 2, np.uint64))
+            bits = int(np.bitwise_count((simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)).sum())  # of signed words numpy counts the bits of the size
+            differ = len(np.setxor1d(a, b))
+            assert bits <= differ and bits % 2 == differ % 2
+            if 0 < differ <= 40:
+                assert bits > differ / 2  # so that it tells sets apart
