@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from metaloom.scale import cut_lineage, maybe_broadcast, salted_join
 EDITS = 2  # edits that make two lines the same
 SHORTEST = 1  # characters of a line whose equal repeats go: every line that is not blank
 LINKED = 20  # characters of a line that can be a copy by edits
+FEW = 64  # index rows of a key up to which each is compared with every probe row of the key
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -63,6 +65,56 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
+def ways(edits: int, probing: bool) -> list[tuple[int, int, int]]:
+    """The (difference, segment, shift) of the probe rows, or of the index rows, of a line."""
+    return probes(edits) if probing else [(0, i, 0) for i in range(edits + 1)]
+
+
+def rest_of(text: str, short: int, budget: int, i: int, shift: int) -> tuple[str, list[tuple[str, int, int]]] | None:
+    """What is the same if segment i of a string of ``short`` characters stands ``shift`` places later in ``text``, and what may differ.
+
+    What may differ are parts (text, characters of the shorter string, edits): what stands
+    before the segment within i edits, what stands behind it within the others. A part
+    without edits is the same as well. None if the segment does not fit.
+    """
+    start, size = (int(x) for x in segment(short, i, budget))
+    place = start + shift
+    if place < 0 or place + size > len(text):
+        return None
+    same, parts = [text[place : place + size]], []
+    for part, length, edits in ((text[:place], start, i), (text[place + size :], short - start - size, budget - i)):
+        if edits:
+            parts.append((part, length, edits))
+        else:
+            same.append(part)
+    return "\0".join(same), parts
+
+
+def next_keys(key: int, parts: list[tuple[str, int, int]], probing: bool) -> Iterator[tuple[int, list[tuple[str, int, int]], bool]]:
+    """(key, parts, final): keys under which a row of one key is told apart from others by its parts that may still differ.
+
+    Each part is split into one segment more than it may have edits, as lines are at first. A
+    part with no more characters than edits is not split; final rows have only such parts.
+    """
+    choices = []
+    for text, short, edits in parts:
+        if short <= edits:
+            choices.append([("", [(text, short, edits)])])
+            continue
+        d = len(text) - short
+        found = []
+        for i in range(edits + 1):
+            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1) if probing else (0,):
+                rest = rest_of(text, short, edits, i, shift)
+                if rest:
+                    found.append((f"{i}\0{rest[0]}", rest[1]))
+        choices.append(found)
+    for chosen in itertools.product(*choices):
+        left = [part for _, rest in chosen for part in rest]
+        name = "\0".join([str(key), *[same for same, _ in chosen]])
+        yield line_id(name), left, all(short <= edits for _, short, edits in left)
+
+
 @functools.lru_cache(maxsize=2)
 def powers(n: int = BLOCK) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64 for a block of lines, or for one longer line."""
@@ -95,9 +147,9 @@ def blocks_of(lines: list[str]) -> Iterator[list[str]]:
 
 
 def key_columns(lines: list[str], edits: int, probing: bool) -> list[np.ndarray]:
-    """Columns key, line_id, odd, length of the index rows or the probe rows of a block of lines.
+    """Columns key, line_id, odd, length, way of the index rows or the probe rows of a block of lines.
 
-    ``odd`` tells which of 64 classes of characters occur an odd number of times in the line:
+    ``way`` is the place among ``ways``. ``odd`` tells which of 64 classes of characters occur an odd number of times in the line:
     an edit changes two classes at most.
     """
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -106,11 +158,11 @@ def key_columns(lines: list[str], edits: int, probing: bool) -> list[np.ndarray]
     ids = np.array(list(map(line_id, lines)), np.int64)
     odd = np.bitwise_xor.reduceat(np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), first).view(np.int64)
     sums, parts = prefix_sums(codes), []
-    for d, i, shift in probes(edits) if probing else [(0, i, 0) for i in range(edits + 1)]:
+    for way, (d, i, shift) in enumerate(ways(edits, probing)):
         start, size = segment(length - d, i, edits)
         place = start + shift
         fits = (place >= 0) & (place + size <= length)
-        parts.append((substring_keys(sums, (first + place)[fits], size[fits], (length - d)[fits], i), ids[fits], odd[fits], length[fits].astype(np.int32)))
+        parts.append((substring_keys(sums, (first + place)[fits], size[fits], (length - d)[fits], i), ids[fits], odd[fits], length[fits].astype(np.int32), np.full(int(fits.sum()), way, np.int8)))
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
@@ -191,10 +243,93 @@ def _substrings(rows: DataFrame, edits: int, probing: bool) -> DataFrame:
             if len(seen) > 200_000:
                 seen.clear()
             for block in blocks_of(fresh):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in key_columns(block, edits, probing)], names=["key", "line_id", "odd", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in key_columns(block, edits, probing)], names=["key", "line_id", "odd", "length", "way"])
         give_back()
 
-    return bounded_batches(rows).select("text").mapInArrow(cut, "key long, line_id long, odd long, length int")
+    return bounded_batches(rows).select("text").mapInArrow(cut, "key long, line_id long, odd long, length int, way byte")
+
+
+PARTS = "array<struct<text:string,short:int,edits:int>>"
+
+
+def _likely(edits: int):
+    """Condition on a pair of an index row and a probe row: each pair once, and classes of letters that agree."""
+    return (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * edits) & ((F.col("length_a") < F.col("length_b")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line_id, line) of the wanted ids, each text once."""
+    return cut_lineage(spark_lines(rows).select("line_id", "line").join(maybe_broadcast(cut_lineage(wanted)), "line_id", "left_semi").distinct())
+
+
+def _crowded(rows: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
+    """(a, b): candidate pairs of the lines that meet under keys with more than ``FEW`` index rows.
+
+    Lines made from one template share such keys, and what tells them apart is in the parts
+    that may differ. These parts are split again, and once more for the keys that are still
+    crowded, until few index rows share a key or a part has no more characters than edits.
+    In the last case the index rows differ in so few characters that each is within the
+    edits of all others, so one of them stands for all; only probe rows whose parts are
+    longer meet every index row. A round moves rows, never pairs of a crowded key.
+    """
+    schema = f"key long, line_id long, odd long, length int, probing boolean, parts {PARTS}, final boolean"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, line, odd, length, way, probing, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                d, i, shift = ways(edits, probing)[way]
+                rest = rest_of(text, length - d, edits, i, shift)
+                if rest:
+                    key = line_id("\0".join((str(key), str(length - d), str(i), rest[0])))
+                    out.append((key, line, odd, length, probing, rest[1], all(short <= e for _, short, e in rest[1])))
+            yield _batch(out)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, line, odd, length, probing, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for new, left, final in next_keys(key, [(p["text"], p["short"], p["edits"]) for p in parts], probing):
+                    out.append((new, line, odd, length, probing, left, final))
+                if len(out) > 20_000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    both = index.withColumn("probing", F.lit(False)).union(probe.withColumn("probing", F.lit(True)))
+    met = cut_lineage(both.join(maybe_broadcast(hot), "key", "left_semi").distinct())
+    texts = _texts_of(rows, met.select("line_id").distinct())
+    state = met.join(texts, "line_id").select("key", "line_id", "odd", "length", "way", "probing", "line").mapInArrow(begin, schema)
+    found = []
+    while True:
+        state = cut_lineage(state)
+        own = ~F.col("probing")
+        counts = state.groupBy("key").agg(
+            F.count_if(own).alias("n_index"), F.min(F.when(own, F.col("line_id"))).alias("least"), F.min("line_id").alias("low"), F.max("line_id").alias("high")
+        )
+        counts = cut_lineage(counts.where("n_index > 0 AND low <> high").select("key", "n_index", "least"))
+        state = salted_join(state, counts, ["key"], ["line_id"])
+        plain = F.col("final") | (F.col("n_index") <= FEW)
+        fits = F.forall("parts", lambda p: F.greatest(F.length(p["text"]), p["short"]) <= p["edits"])
+        alike = F.col("final") & (F.col("n_index") > FEW) & fits
+        found.append(state.where(alike & (F.col("line_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("line_id").alias("b")))
+        left = state.where(plain & ~F.col("probing")).select("key", F.col("line_id").alias("a"), F.col("odd").alias("odd_a"), F.col("length").alias("length_a"))
+        right = state.where(plain & F.col("probing") & ~alike).select("key", F.col("line_id").alias("b"), F.col("odd").alias("odd_b"), F.col("length").alias("length_b"))
+        found.append(left.join(right, "key").where(_likely(edits)).select("a", "b"))
+        open_rows = cut_lineage(state.where(~plain).select("key", "line_id", "odd", "length", "probing", "parts"))
+        if open_rows.isEmpty():
+            break
+        state = open_rows.mapInArrow(go_on, schema).distinct()
+    return functools.reduce(DataFrame.union, found)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``_crowded`` as Arrow."""
+    part = pa.struct([("text", pa.string()), ("short", pa.int32()), ("edits", pa.int32())])
+    kinds = {"key": pa.int64(), "line_id": pa.int64(), "odd": pa.int64(), "length": pa.int32(), "probing": pa.bool_(), "parts": pa.list_(part), "final": pa.bool_()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    lists = [[dict(zip(("text", "short", "edits"), p, strict=True)) for p in parts] for parts in columns[5]]
+    return pa.RecordBatch.from_arrays([pa.array(lists if name == "parts" else columns[i], kind) for i, (name, kind) in enumerate(kinds.items())], names=list(kinds))
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -204,15 +339,23 @@ def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     the longer one holds some segment of the shorter one unchanged, near its place. Index
     rows (segments) and probe rows (substrings at those places) meet by a key of length,
     segment and text. Candidates must also agree on all but twice as many classes of letters
-    as edits; only then are their texts fetched and compared.
+    as edits; only then are their texts fetched and compared. Keys with many index rows are
+    split further (``_crowded``); there, lines that are all within the edits of one line are
+    linked to it only, so pairs may be left out whose ends are linked through others.
     """
-    index = _substrings(rows, edits, False).toDF("key", "a", "odd_a", "length_a")
-    probe = _substrings(rows, edits, True).toDF("key", "b", "odd_b", "length_b")
-    likely = (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * edits) & ((F.col("length_a") < F.col("length_b")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
-    pairs = cut_lineage(index.join(probe, "key").where(likely).select("a", "b").distinct())
+    index, probe = _substrings(rows, edits, False), _substrings(rows, edits, True)
+    counts = index.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("low"), F.max("line_id").alias("high"))
+    hot = cut_lineage(counts.where((F.col("n") > FEW) & (F.col("low") != F.col("high"))).select("key"))
+    crowded = not hot.isEmpty()
+    left, right = index.drop("way").toDF("key", "a", "odd_a", "length_a"), probe.drop("way").toDF("key", "b", "odd_b", "length_b")
+    if crowded:
+        left = left.join(maybe_broadcast(hot), "key", "left_anti")
+    pairs = left.join(right, "key").where(_likely(edits)).select("a", "b")
+    if crowded:
+        pairs = pairs.union(_crowded(rows, index, probe, hot, edits))
+    pairs = cut_lineage(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).distinct()
-    found = spark_lines(rows).select("line_id", "line").join(maybe_broadcast(cut_lineage(wanted)), "line_id", "left_semi")
-    texts = cut_lineage(found.distinct())
+    texts = _texts_of(rows, wanted)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -199,6 +199,37 @@ def test_line_dedup_equals_brute_force(table):
     assert sum(map(len, want.values())) > 20
 
 
+@pytest.mark.parametrize("few", [3, 64])
+def test_lines_of_a_template_equal_brute_force(table, monkeypatch, few):
+    """Keys that many lines share are split until few are left; the components are those of all pairs."""
+    monkeypatch.setattr(lines, "FEW", few)
+    rnd = random.Random(few)
+    made = {f"Invoice number {rnd.randrange(2000):06d} was paid on time" for _ in range(70)}
+    made |= {f"Order {rnd.randrange(40)} of client {rnd.randrange(10 ** rnd.randrange(1, 5))} is ready" for _ in range(70)}
+    made |= {edited(rnd, "aaaaaaaaaaaaaaaaaaaaaaab", rnd.randrange(9)) for _ in range(40)}
+    made |= {edited(rnd, rnd.choice(sorted(made)), rnd.randrange(4)) for _ in range(60)}
+    made = sorted(m for s in made if len(m := s.strip()) >= lines.LINKED)
+    got = {r.node: r.root for r in lines.components(lines.near_lines(table([(i, m) for i, m in enumerate(made)]))).collect()}
+    group = {m: m for m in made}
+
+    def root(s):
+        while group[s] != s:
+            s = group[s]
+        return s
+
+    for a, b in itertools.combinations(made, 2):
+        if abs(len(a) - len(b)) <= lines.EDITS and distance(a, b) <= lines.EDITS:
+            group[root(a)] = root(b)
+    want = collections.defaultdict(set)
+    for m in made:
+        want[root(m)].add(lines.line_id(m))
+    have = collections.defaultdict(set)
+    for node, end in got.items():
+        have[end].add(node)
+    assert {frozenset(g) for g in want.values() if len(g) > 1} == {frozenset(g) for g in have.values()}
+    assert max(map(len, want.values())) > few
+
+
 def test_short_lines_go_by_equality_only(table):
     rows = [(1, "Share this\n\n  \nRead more\nx"), (2, " Share this \n\nRead mors\n共有する\nx"), (3, "共有する\nown\nx"), (4, "Read more")]
     got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(table(rows)).collect()}
