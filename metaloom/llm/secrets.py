@@ -15,14 +15,51 @@ HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 SHORTEST_VALUE = 12
 
-WINDOW = 20
-CANDIDATE = f"[A-Za-z0-9+/_-]{{{WINDOW},}}"
-ONE_HEX_CLASS = "^([0-9a-f]+|[0-9A-F]+)$"
-#: Bits of entropy of a window from which a candidate counts, by character class.
-HEX_BITS, MIXED_BITS = 3.0, 4.0
+WINDOW, SHORTEST_RUN = 20, 12
+CANDIDATE = f"[A-Za-z0-9+/_-]{{{SHORTEST_RUN},}}"
 SCALE = 1 << 20
 #: c * log2(c) in units of 1 / SCALE for counts up to a window: whole numbers add up alike in any order.
 WEIGHTS = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 1)]
+#: Character classes, the first whose patterns all match counts: patterns, size of the alphabet, shortest run.
+CLASSES = (
+    (("^[0-9]+$",), 10, WINDOW),
+    (("^([0-9a-f]+|[0-9A-F]+)$",), 16, SHORTEST_RUN),
+    (("^([A-Z2-7]+|[a-z2-7]+)$",), 32, SHORTEST_RUN),
+    (("^([0-9a-z]+|[0-9A-Z]+)$",), 36, SHORTEST_RUN),
+    (("[a-z]", "[A-Z]", "[0-9]", "^[^/_+-]*([/_+-][^/_+-]+){0,3}[/_+-]?$"), 64, SHORTEST_RUN),
+)
+OTHER_BITS = 4.0  # a window of runs of no class, such as paths and words joined by marks
+SPREAD = 2.0  # standard deviations below the expected entropy of a window of random letters
+
+
+def random_bits(letters: int, n: int) -> tuple[float, float]:
+    """Mean and standard deviation of the entropy of ``n`` characters drawn at random from an alphabet of so many letters."""
+    share = 1 / letters
+    weight = [c * math.log2(c) if c else 0.0 for c in range(n + 1)]
+    mean = letters * sum(math.comb(n, c) * share**c * (1 - share) ** (n - c) * weight[c] for c in range(2, n + 1))
+    square = letters * sum(math.comb(n, c) * share**c * (1 - share) ** (n - c) * weight[c] ** 2 for c in range(2, n + 1))
+    square += letters * (letters - 1) * sum(
+        math.comb(n, c) * math.comb(n - c, d) * share ** (c + d) * (1 - 2 * share) ** (n - c - d) * weight[c] * weight[d] for c in range(2, n + 1) for d in range(2, n - c + 1)
+    )
+    return math.log2(n) - mean / n, math.sqrt(max(square - mean * mean, 0.0)) / n
+
+
+def most_weight(bits: float, n: int = WINDOW) -> int:
+    """The largest sum of weights of a window of ``n`` characters with at least so many bits of entropy."""
+    return math.floor((math.log2(n) - bits) * n * SCALE)
+
+
+def most_weights(letters: int, shortest: int) -> list[int]:
+    """Largest sums of weights of windows of 0 to ``WINDOW`` characters of a class; -1 where no window is short enough."""
+    sums = [-1] * shortest
+    for n in range(shortest, WINDOW + 1):
+        mean, deviation = random_bits(letters, n)
+        sums.append(most_weight(mean - SPREAD * deviation, n))
+    return sums
+
+
+#: By class, the last for runs of none: largest sums of weights by length of the window.
+MOST = [most_weights(letters, shortest) for _, letters, shortest in CLASSES] + [[-1] * WINDOW + [most_weight(OTHER_BITS)]]
 #: Candidates that are no secrets: words, identifiers of words, runs of the alphabet, placeholders, UUIDs.
 ALLOWED = (
     "^[A-Z]?[a-z]+$",
@@ -34,13 +71,8 @@ ALLOWED = (
 )
 
 
-def most_weight(bits: float) -> int:
-    """The largest sum of weights of a window with at least so many bits of entropy."""
-    return math.floor((math.log2(WINDOW) - bits) * WINDOW * SCALE)
-
-
 def least_window_weight(run: Column) -> Column:
-    """Smallest sum of c * log2(c) over all windows of an ASCII string: the window of highest entropy.
+    """Smallest sum of c * log2(c) over all windows of an ASCII string: the window of highest entropy; a shorter string is one window.
 
     The window moves by one character at a time; the counts of the character that enters and
     of the one that leaves are changed, and the sum with them.
@@ -57,7 +89,7 @@ def least_window_weight(run: Column) -> Column:
         has = F.get(state["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
         total = (after - F.get(weights, has) + F.get(weights, has + 1)).cast("long")
         counts = F.transform(state["counts"], lambda n, code: n + F.when(code == enters, 1).otherwise(0) - F.when(code == leaves, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= WINDOW, F.least(state["least"], total)).alias("least"))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= F.least(F.length(run), F.lit(WINDOW)), F.least(state["least"], total)).alias("least"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda state: state["least"])
 
@@ -84,9 +116,11 @@ def scan_secrets(docs: DataFrame, allowed: Sequence[str] = ALLOWED, id_col: str
     """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) of every whole text.
 
     Base spans are the leftmost non-overlapping matches of each base pattern. Entropy spans
-    are maximal runs of key characters of twenty or more in which some window of twenty has
-    at least 3.0 bits (runs of hexadecimal digits of one case) or 4.0 bits (other runs),
-    unless an ``allowed`` pattern matches the run. ``spans`` lists kind:start:end (code
+    are maximal runs of key characters of twelve or more in which some window of twenty (the
+    whole run if it is shorter) has an entropy of at most two standard deviations below that
+    of random characters of the run's class: digits (from twenty on), hexadecimal digits,
+    base 32, base 36, base 64; runs of no class count from twenty characters and 4.0 bits on.
+    A run that an ``allowed`` pattern matches does not count. ``spans`` lists kind:start:end (code
     points, end exclusive) by start, then kind as in ``KINDS``; ``base_sha256`` is the hash
     of that list without entropy spans.
 
@@ -104,7 +138,13 @@ def scan_secrets(docs: DataFrame, allowed: Sequence[str] = ALLOWED, id_col: str
     suspect = F.col("run").isNotNull()
     for pattern in allowed:
         suspect = suspect & ~F.col("run").rlike(pattern)
-    limit = F.when(F.col("run").rlike(ONE_HEX_CLASS), F.lit(most_weight(HEX_BITS))).otherwise(F.lit(most_weight(MIXED_BITS)))
+    width = F.least(F.length("run"), F.lit(WINDOW))
+    limit = F.get(F.array(*map(F.lit, MOST[-1])), width)
+    for (patterns, *_), sums in reversed(list(zip(CLASSES, MOST))):
+        fits = F.lit(True)
+        for pattern in patterns:
+            fits = fits & F.col("run").rlike(pattern)
+        limit = F.when(fits, F.get(F.array(*map(F.lit, sums)), width)).otherwise(limit)
     kept = (F.col("kind").isin(1, 2)) | ((F.col("kind") == 0) & (F.col("value") >= SHORTEST_VALUE)) | ((F.col("kind") == 3) & F.when(suspect, least_window_weight(F.col("run")) <= limit).otherwise(False))
     span = F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end")
     listed = placed.withColumn("kept", F.coalesce(kept, F.lit(False))).groupBy("row", "doc_id").agg(
@@ -133,6 +173,10 @@ def scan_sql(allowed: Sequence[str] = ALLOWED) -> str:
         for k, p in enumerate(patterns)
     )
     weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
+    width = f"CAST(least(length(run), {WINDOW}) AS BIGINT)"
+    limits = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'regexp_matches(run, {_sql_literal(p)})' for p in patterns)} THEN {sums}[{width} + 1]" for (patterns, *_), sums in zip(CLASSES, MOST)
+    ) + f" ELSE {MOST[-1]}[{width} + 1] END"
     banned = " AND ".join(f"NOT regexp_matches(run, {_sql_literal(p)})" for p in allowed)
     names = "['" + "', '".join(KINDS) + "']"
     return f"""
@@ -143,11 +187,12 @@ placed AS (
 suspects AS (SELECT DISTINCT run FROM placed WHERE kind = 3 AND {banned}),
 letters AS (
   SELECT run, pos, substr(substr(run, CAST(pos AS BIGINT), {WINDOW}), CAST(k AS BIGINT), 1) AS c
-  FROM (SELECT run, unnest(generate_series(1, length(run) - {WINDOW - 1})) AS pos FROM suspects), generate_series(1, {WINDOW}) AS s(k)),
+  FROM (SELECT run, unnest(generate_series(1, greatest(length(run) - {WINDOW - 1}, 1))) AS pos FROM suspects), generate_series(1, {WINDOW}) AS s(k)
+  WHERE k <= length(run)),
 sums AS (SELECT run, pos, sum({weights}[n + 1]) AS total FROM (SELECT run, pos, c, count(*) AS n FROM letters GROUP BY run, pos, c) GROUP BY run, pos),
 hot AS (
   SELECT run FROM sums GROUP BY run
-  HAVING min(total) <= CASE WHEN regexp_matches(run, '{ONE_HEX_CLASS}') THEN {most_weight(HEX_BITS)} ELSE {most_weight(MIXED_BITS)} END),
+  HAVING min(total) <= {limits}),
 kept AS (
   SELECT doc_id, kind, stop - length(run) AS start, stop FROM placed
   WHERE kind IN (1, 2) OR (kind = 0 AND length(val) >= {SHORTEST_VALUE}) OR (kind = 3 AND run IN (SELECT run FROM hot)))

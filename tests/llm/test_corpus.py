@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 
@@ -51,6 +52,33 @@ def test_window_entropy_equals_counting(spark):
         assert r.least == want
 
 
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base64": DIGITS + LOWER + UPPER + "+/", "base64url": DIGITS + LOWER + UPPER + "_-"}
+
+
+@pytest.mark.parametrize("size,least", [(12, 0.78), (16, 0.88), (20, 0.9), (32, 0.95), (40, 0.95)])
+def test_random_keys_are_found(table, size, least):
+    rnd = random.Random(size)
+    keys = [(name, "".join(rnd.choice(letters) for _ in range(size))) for name, letters in ALPHABETS.items() for _ in range(200)]
+    found = collections.Counter()
+    for r in secrets.scan_secrets(table([(i, f"key {k} end") for i, (_, k) in enumerate(keys)])).collect():
+        found[keys[r.doc_id][0]] += f"entropy:4:{4 + size}" in r.spans
+    assert all(found[name] >= least * 200 for name in ALPHABETS), found
+
+
+def test_words_and_numbers_are_no_secrets(table):
+    plain = "internationalization getElementByIdentifier snake_case_words_everywhere how-to-make-a-cake-in-2023 2023-05-17 +49-30-1234567 a/path/to/some/file 123456789012345 SCREAMING_SNAKE_CASE"
+    assert [r.spans for r in secrets.scan_secrets(table([(1, plain)])).collect()] == [""]
+
+
+def test_limits_of_random_windows():
+    rnd = random.Random(1)
+    for letters, n in ((16, 12), (36, 20), (64, 20)):
+        bits = [math.log2(n) - sum(c * math.log2(c) for c in collections.Counter(rnd.choices(range(letters), k=n)).values()) / n for _ in range(4000)]
+        mean, deviation = secrets.random_bits(letters, n)
+        assert abs(np.mean(bits) - mean) < 0.02 and abs(np.std(bits) - deviation) < 0.02
+
+
 ITEM = "In the town of Arlen a baker named Morris sold 45 loaves of bread for 3 dollars each and Morris kept 45 more for the next day"
 
 
