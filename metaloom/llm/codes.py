@@ -193,7 +193,7 @@ def compress(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     coded = blocks.mapInArrow(encode, "vec_id long, label string, code string, error string")
     coded = cut_lineage(coded.select("vec_id", F.coalesce(F.concat(F.lit("="), "label"), F.lit("")).alias("label"), "code", F.col("error").cast("decimal(38,0)").alias("error")))
     totals = cut_lineage(coded.groupBy("label").agg(F.sum("error").alias("label_error")))
-    return salted_join(coded, totals, ["label"], ["vec_id", "code"]).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+    return salted_join(coded, totals, ["label"], ["vec_id", "code"], salts=SALTS, limit=CUT_BYTES).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
 def compress_sql(dim: int = 64) -> str:

@@ -308,7 +308,7 @@ def _crowded(rows: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame
             F.count_if(own).alias("n_index"), F.min(F.when(own, F.col("line_id"))).alias("least"), F.min("line_id").alias("low"), F.max("line_id").alias("high")
         )
         counts = cut_lineage(counts.where("n_index > 0 AND low <> high").select("key", "n_index", "least"))
-        state = salted_join(state, counts, ["key"], ["line_id"])
+        state = salted_join(state, counts, ["key"], ["line_id"], salts=SALTS, limit=CUT_BYTES)
         plain = F.col("final") | (F.col("n_index") <= FEW)
         fits = F.forall("parts", lambda p: F.greatest(F.length(p["text"]), p["short"]) <= p["edits"])
         alike = F.col("final") & (F.col("n_index") > FEW) & fits
@@ -382,7 +382,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     firsts = linked.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("times").alias("all")).where(F.col("all") > 1)
     keepers = cut_lineage(linked.select("line_id", "root").join(firsts, "root").select("line_id", "keeper"))
     own = F.struct("doc_id", "text_hash", "number")
-    doubled = salted_join(occurrences, keepers, ["line_id"], ["doc_id", "number"]).where(~own.eqNullSafe(F.col("keeper")))
+    doubled = salted_join(occurrences, keepers, ["line_id"], ["doc_id", "number"], salts=SALTS, limit=CUT_BYTES).where(~own.eqNullSafe(F.col("keeper")))
     return doubled.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 

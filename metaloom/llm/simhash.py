@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     linked = cut_lineage(link_fingerprints(groups).join(groups, "fp"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.select("fp", "root").join(maybe_broadcast(firsts), "root").select("fp", "component_id")
-    return salted_join(prints, cut_lineage(named), ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_join(prints, cut_lineage(named), ["fp"], ["doc_id"], salts=SALTS, limit=CUT_BYTES).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingled(rows: DataFrame, width: int) -> DataFrame:
@@ -326,7 +326,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     linked = cut_lineage(nodes.select("node", "first").join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.select("node", "root").join(maybe_broadcast(firsts), "root").select("node", "component_id")
-    return salted_join(rows.select("node", "doc_id", "text_hash"), cut_lineage(named), ["node"], ["doc_id", "text_hash"]).select("doc_id", "component_id")
+    return salted_join(rows.select("node", "doc_id", "text_hash"), cut_lineage(named), ["node"], ["doc_id", "text_hash"], salts=SALTS, limit=CUT_BYTES).select("doc_id", "component_id")
 
 
 def keep_first_copies(docs: DataFrame, width: int = STAGE_WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
