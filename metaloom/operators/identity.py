@@ -58,10 +58,12 @@ def lookup_names(wanted: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def lookup_hints(wanted: DataFrame, hints: DataFrame) -> DataFrame:
     """Identity hints (id, context_type, hint, value) that point at exactly one context in total."""
-    known = hints.select("context_type", "hint", T.normalize(F.col("value")).alias("value_key"), "path").distinct()
+    known = hints.select("context_type", "hint", T.normalize(F.col("value")).alias("value_key"), "path")
+    # The smallest and the largest owner of a value tell whether there is only one.
+    ends = known.groupBy("context_type", "hint", "value_key").agg(F.min("path").alias("first"), F.max("path").alias("last"))
     asked = wanted.withColumn("value_key", T.normalize(F.col("value")))
-    matched = salted_join(asked, known, ["context_type", "hint", "value_key"], ["id"])
-    return unique_owner(matched.select("id", "path"), ["id"], "path")
+    matched = salted_join(asked, ends, ["context_type", "hint", "value_key"], ["id"]).groupBy("id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return matched.where(F.col("first") == F.col("last")).select("id", F.col("first").alias("path"))
 
 
 def fuzzy_containment(fragments: DataFrame, contexts: DataFrame) -> DataFrame:

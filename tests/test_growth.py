@@ -1,21 +1,55 @@
 """Steps whose work must not grow faster than their input."""
 
+from metaloom.operators import casebuild as CB
 from metaloom.operators import graph as G
+from metaloom.operators import identity as ID
+
+
+def _watch(monkeypatch, module):
+    calls, join = [], module.salted_join
+
+    def watched(left, right, *args, **kwargs):
+        calls.append((left, right))
+        return join(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(module, "salted_join", watched)
+    return calls
 
 
 def test_path_search_reads_its_edges_once(spark, tmp_path, monkeypatch):
     rows = [("e1", "a", "m", 0.5, False), ("e2", "a", "m", 0.9, True), ("e3", "m", "z", 0.7, False), ("e4", "b", "a", 0.1, False), ("e5", "y", "z", 0.1, False)]
     spark.createDataFrame(rows, "edge_id string, src string, dst string, confidence double, inferred boolean").write.parquet(f"{tmp_path}/edges")
-    lefts, join = [], G.salted_join
-
-    def watched(left, *args, **kwargs):
-        lefts.append(left)
-        return join(left, *args, **kwargs)
-
-    monkeypatch.setattr(G, "salted_join", watched)
+    calls = _watch(monkeypatch, G)
     ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
     found = G.find_paths(spark.read.parquet(f"{tmp_path}/edges"), ids("a", "b"), ids("z"), max_depth=3)
     got = {(r["start"], r["nodes"], r["hops"], r["score"]) for r in found.collect()}
     # Two edges between the same nodes are two paths.
     assert got == {("a", "a>m>z", 2, 0.58), ("a", "a>m>z", 2, 0.68), ("b", "b>a>m>z", 3, 0.4033), ("b", "b>a>m>z", 3, 0.4367)} and len(found.collect()) == 4
-    assert lefts and not any(f"{tmp_path}/edges" in f for left in lefts for f in left.inputFiles())
+    assert calls and not any(f"{tmp_path}/edges" in f for left, _ in calls for f in left.inputFiles())
+
+
+def test_hints_meet_one_row_per_value(spark, monkeypatch):
+    hints = [("t", "h", "Shared", f"c{i}") for i in range(50)] + [("t", "h", "own", "c7"), ("t", "h", "OWN", "c7"), ("t", "n", "9", None)]
+    known = spark.createDataFrame(hints, "context_type string, hint string, value string, path string")
+    asked = [(1, "t", "h", "shared"), (2, "t", "h", "own"), (3, "t", "n", "9"), (4, "t", "h", None), (5, "t", "h", "own"), (5, "t", "h", "shared")]
+    calls = _watch(monkeypatch, ID)
+    got = ID.lookup_hints(spark.createDataFrame(asked, "id int, context_type string, hint string, value string"), known).collect()
+    assert [tuple(r) for r in got] == [(2, "c7")]
+    assert calls[0][1].count() == 3
+
+
+def test_nearby_records_travel_to_anchors_only_in_the_last_hop(spark, monkeypatch):
+    rows = [(f"r{i:02d}", f"p{i % 5}", f"s{i % 4}") for i in range(20)] * 2 + [("r99", "p0", None)]
+    near = {}
+    for _, s, o in rows:
+        if o:
+            near.setdefault(s, set()).add(o)
+            near.setdefault(o, set()).add(s)
+    one = {"s1"} | near["s1"]
+    two = one | {b for a in one for b in near[a]}
+    want = sorted({e for e, s, o in rows if s in two or o in two})[:3]
+    calls = _watch(monkeypatch, CB)
+    records = spark.createDataFrame(rows, "evidence_id string, subject string, object string")
+    got = CB.nearby_records(records, spark.createDataFrame([("s1",)], "id string"), k=3, depth=2).collect()
+    assert sorted(r["evidence_id"] for r in got) == want and len(got) == 3
+    assert {r["node"] for r in calls[-1][0].collect()} == {"s1"}
