@@ -53,3 +53,22 @@ def test_nearby_records_travel_to_anchors_only_in_the_last_hop(spark, monkeypatc
     got = CB.nearby_records(records, spark.createDataFrame([("s1",)], "id string"), k=3, depth=2).collect()
     assert sorted(r["evidence_id"] for r in got) == want and len(got) == 3
     assert {r["node"] for r in calls[-1][0].collect()} == {"s1"}
+
+
+def test_cases_are_made_once(spark, tmp_path, monkeypatch):
+    rows = [("o:1", "supported_by", "s:1"), ("o:1", "supported_by", "s:2"), ("c:1", "requires_metric", "o:1"), ("s:1", "belongs_to_object", "n:1")]
+    spark.createDataFrame(rows, "source string, relation string, target string").write.parquet(f"{tmp_path}/edges")
+    kinds = {"c": "purposes", "o": "metrics", "s": "physical_models", "n": "business_objects"}
+    ids = ("c:1", "o:1", "s:1", "s:2", "n:1")
+    entities = spark.createDataFrame([(i, kinds[i[0]], f"name {i}") for i in ids], "id string, type string, name string")
+    documents = spark.createDataFrame([("o:1", "a"), ("o:1", "b"), ("s:1", "a"), ("c:1", None)], "id string, document string")
+    calls = _watch(monkeypatch, CB)
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    cases = CB.motif_cases(CB.motifs(edges, entities), entities, documents)
+    got = {(r["category"], r["anchor"]): (r["hops"], r["edges"], r["documents"], r["difficulty"]) for r in cases.collect()}
+    assert got == {
+        ("metric_to_model", "o:1"): (1, 2, 2, "medium"), ("purpose_to_data", "c:1"): (2, 3, 3, "hard"), ("model_to_analysis", "s:1"): (2, 2, 3, "hard"),
+        ("model_to_analysis", "s:2"): (2, 2, 3, "hard"), ("model_to_business", "s:1"): (1, 1, 1, "easy"),
+    }
+    inputs = [f for frame in (cases, CB.describe_cases(cases), *[left for left, _ in calls]) for f in frame.inputFiles()]
+    assert inputs and not any(f"{tmp_path}/edges" in f for f in inputs)
