@@ -72,3 +72,14 @@ def test_cases_are_made_once(spark, tmp_path, monkeypatch):
     }
     inputs = [f for frame in (cases, CB.describe_cases(cases), *[left for left, _ in calls]) for f in frame.inputFiles()]
     assert inputs and not any(f"{tmp_path}/edges" in f for f in inputs)
+
+
+def test_chains_read_their_records_once(spark, tmp_path, monkeypatch):
+    rows = [("r1", "o1", "a"), ("r2", "o1", "b"), ("r3", "o2", "b"), ("r4", "o2", "c"), ("r5", "o2", None)]
+    spark.createDataFrame(rows, "evidence_id string, subject string, object string").write.parquet(f"{tmp_path}/records")
+    calls = _watch(monkeypatch, CB)
+    starts = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    got = CB.path_motifs(spark.read.parquet(f"{tmp_path}/records"), starts, low=2, high=4).collect()
+    ends = {r["signature"]: (r["start"], r["end"], r["edges"]) for r in got}
+    assert ends["r1|r2"] == ("a", "b", 2) and ends["r3|r4"] == ("b", "c", 2) and ends["r1|r2|r3|r4"] == ("a", "c", 4) and len(got) == len(ends)
+    assert calls and not any(f"{tmp_path}/records" in f for left, _ in calls for f in left.inputFiles())
