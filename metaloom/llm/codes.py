@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.vectors import BLOCKS, Block, packed, read_blocks, vector_blocks
-from metaloom.scale import cut_lineage, salted_join
+from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, salted_join
 
 SCALE = 4096
 PARTS, ENTRIES, ROUNDS, PIVOTS = 8, 16, 6, 6

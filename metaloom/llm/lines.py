@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import bounded_batches, components, give_back
-from metaloom.scale import cut_lineage, maybe_broadcast, salted_join
+from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, maybe_broadcast, salted_join
 
 EDITS = 2  # edits that make two lines the same
 SHORTEST = 1  # characters of a line whose equal repeats go: every line that is not blank

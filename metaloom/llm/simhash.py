@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import components, give_back, text_pairs, text_rows
-from metaloom.scale import cut_lineage, maybe_broadcast, salted_join
+from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, maybe_broadcast, salted_join
 
 SEED = 42
 BLOCK = 1 << 15  # shingles whose bits are counted at once

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import bounded_batches
-from metaloom.scale import cut_lineage, ensure_checkpoint_dir, salted_join
+from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, ensure_checkpoint_dir, salted_join
 
 #: The rules, as host/path, and their verdicts.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
