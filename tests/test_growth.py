@@ -1,7 +1,9 @@
 """Steps whose work must not grow faster than their input."""
 
+from metaloom.operators import binding as B
 from metaloom.operators import casebuild as CB
 from metaloom.operators import graph as G
+from metaloom.operators import hierarchy as H
 from metaloom.operators import identity as ID
 
 
@@ -83,3 +85,44 @@ def test_chains_read_their_records_once(spark, tmp_path, monkeypatch):
     ends = {r["signature"]: (r["start"], r["end"], r["edges"]) for r in got}
     assert ends["r1|r2"] == ("a", "b", 2) and ends["r3|r4"] == ("b", "c", 2) and ends["r1|r2|r3|r4"] == ("a", "c", 4) and len(got) == len(ends)
     assert calls and not any(f"{tmp_path}/records" in f for left, _ in calls for f in left.inputFiles())
+
+
+def test_closure_shuffles_no_leaves_upwards(spark, monkeypatch):
+    rows = [("v", f"n{i // 2}", f"n{i}", True) for i in range(2, 40)] + [("v", "n3", "n20", True), ("v", "n39", "x", False), ("v", "c", "d", True), ("v", "d", "c", True)]
+    want, frontier = {}, [(p, c, 1) for _, p, c, on in rows if on]
+    below = {}
+    for _, p, c, on in rows:
+        if on:
+            below.setdefault(p, []).append(c)
+    while frontier:
+        a, n, d = frontier.pop(0)
+        if a != n and want.get((a, n), d + 1) > d:
+            want[a, n] = d
+            frontier += [(a, c, d + 1) for c in below.get(n, [])]
+    calls = _watch(monkeypatch, H)
+    got = H.closure(spark.createDataFrame(rows, "view string, parent string, child string, active boolean"))
+    assert {(r["ancestor"], r["node"]): r["depth"] for r in got.collect()} == want and got.count() == len(want)
+    met = [right for left, right in calls if "top" in right.columns]
+    assert met and all(r["ancestor"] in below for right in met for r in right.collect())
+
+
+def test_bindings_of_a_shared_key_are_neither_grouped_nor_listed_to_confirm(spark):
+    kind = "asset_id string, type string, reference_path string, identity_namespace string, stable_id string, strong_key string"
+    assets = [(f"a{i}", "m", "r1" if i == 1 else None, "n", "k", f"s.{i}") for i in range(30)]
+    assets += [("one", "m", None, "n", "own", "s.99"), ("two", "m", "r3", "n", " ", None), ("twice", "m", None, "n", "t1", None), ("twice", "m", None, "n", "t2", "s.77"), (None, "m", "r9", "n", "z", None), ("sole", "m", None, "n", "z2", None)]
+    refs = [(f"r{i}", "m", "n", "e", "k" if i < 20 else None, f"s.{i}", i != 7) for i in range(30)]
+    refs += [("own", "m", "n", "e", "own", "s.99", True), ("t", "m", "n", "e", "t1", "s.77", True), ("t", "m", "n", "e", "t2", None, True), ("r9", "m", "n", "e", "z", None, True), (None, "m", "n", "e", "z2", None, True), ("z2", "m", "n", "e", "z2", None, True)]
+    want = {}
+    for a, at, ref, ns, stable, strong in assets:
+        for p, pt, pn, _, other, key, explicit in refs:
+            same = at == pt and ns == pn and explicit
+            orders = [1] * (ref is not None and ref == p and at == pt) + [2] * (same and stable == other and stable is not None and stable.strip() != "") + [3] * (same and strong == key and strong is not None)
+            if orders:
+                want[a, p] = min(orders + [want.get((a, p), 9)])
+    sole = {k for k in want if sum(k[0] == a for a, _ in want) == 1 and sum(k[1] == p for _, p in want) == 1 and None not in k}
+    frames = spark.createDataFrame(assets, kind), spark.createDataFrame(refs, "path string, type string, identity_namespace string, environment_id string, stable_id string, strong_key string, explicit_identity boolean")
+    rules = {"provider_explicit_crosswalk/v3": 1, "same_type_scoped_stable_id/v3": 2, "same_type_scoped_strong_key/v3": 3}
+    got = B.identity_bindings(*frames, "e").collect()
+    assert {(r["asset_id"], r["path"]): rules[r["rule"]] for r in got} == {k: v for k, v in want.items() if None not in k} and len(got) == sum(None not in k for k in want)
+    assert {(r["asset_id"], r["path"]) for r in got if r["confirmed"]} == sole
+    assert {(r["asset_id"], r["path"]) for r in B.confirmed_bindings(*frames, "e").collect()} == sole and ("one", "own") in sole
