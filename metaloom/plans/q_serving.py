@@ -494,7 +494,7 @@ def identity_binding(spark, sf):
 )
 def candidate_binding(spark, sf):
     a, r = env_assets(spark, sf), env_refs(spark, sf)
-    return B.candidate_bindings(a, r, B.identity_bindings(a, r, "env-1"))
+    return B.candidate_bindings(a, r, B.confirmed_bindings(a, r, "env-1"))
 
 
 @R.query(
@@ -504,7 +504,7 @@ def candidate_binding(spark, sf):
 )
 def reference_only_assets(spark, sf):
     a, r = env_assets(spark, sf), env_refs(spark, sf)
-    return B.reference_only(r, B.identity_bindings(a, r, "env-1"), "PARTIAL")
+    return B.reference_only(r, B.confirmed_bindings(a, r, "env-1"), "PARTIAL")
 
 
 @R.query(
