@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of their five-word shingles in common) the document with the smallest id stays."""
+    """Of each group of near copies (0.8 of their five-word shingles in common; SimHash links, and smallest hashes beyond them) the document with the smallest id stays."""
     return keep_first_copies(docs)
 
 

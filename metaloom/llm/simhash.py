@@ -1,14 +1,14 @@
 """SimHash near-duplicates (operator 5): fuzzy keys from the Golay code, verified links, components.
 
-The pipeline's stage asks for more than four bits can give (five words, similarity 0.8): it takes
-candidates from independent fingerprints of smallest shingle hashes and compares their shingles.
+The pipeline's stage links fingerprints of five words in the same way, compares the shingles of what
+is linked, and looks for what four bits cannot give at similarity 0.8 by smallest shingle hashes.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ STAGE_WIDTH, SIMILAR = 5, 0.8  # words of a shingle and share of common shingles
 PRINTS, ROWS, ORDERS = 40, 8, 128
 #: Fingerprints (first, end) whose members are compared with one of them, round by round, before the others are looked at.
 STAR_ROUNDS = ((0, 3), (3, 8))
+LINKED = -1  # print of the keys of linked fingerprints, compared before the others
 MINIMA_BLOCK = 1 << 12  # shingles whose hashes are permuted at once
 SKETCH = 8  # words of 64 bits of the sketch of a set of shingles
 
@@ -59,8 +60,13 @@ def shingle_hashes(text: str, width: int) -> Iterator[bytes]:
 
 def fingerprint(text: str, width: int) -> int:
     """64-bit SimHash of the word shingles of a text, as a signed number."""
+    return majority_bits(shingle_hashes(text, width))
+
+
+def majority_bits(blocks: Iterable[bytes]) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
     n, ones = 0, np.zeros(64, np.int64)
-    for hashes in shingle_hashes(text, width):
+    for hashes in blocks:
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
         n += len(bits)
@@ -215,21 +221,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
 
 
 def _shingled(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, node, size, keys): ``node`` is the hash of a text's set of shingles, ``keys`` those of its fingerprints (none without words)."""
+    """(doc_id, text_hash, node, size, fp, keys): ``node`` is the hash of a text's set of shingles, ``fp`` its SimHash, ``keys`` those of its smallest hashes (none without words)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
-                shingles = shingle_set(text, width)
+                hashes = list(shingle_hashes(text, width))
+                shingles = np.unique(np.frombuffer(b"".join(hashes), np.uint64))
+                prints.append(majority_bits(hashes))
                 nodes.append(_signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)))
                 sizes.append(len(shingles))
                 keys.append(minima_keys(shingles) if len(shingles) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "fp", "keys"])
         give_back()
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(hashed, "doc_id long, text_hash long, node long, size int, keys array<long>")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(hashed, "doc_id long, text_hash long, node long, size int, fp long, keys array<long>")
+
+
+def linked_keys(nodes: DataFrame) -> DataFrame:
+    """(node, size, print, key): nodes with words whose fingerprints link within four bits, over others too, share a key."""
+    named = nodes.where("size > 0")
+    linked = link_fingerprints(named)
+    return named.join(linked.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("node", "size", F.lit(LINKED).alias("print"), F.xxhash64(F.lit("linked"), "root").alias("key"))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -277,8 +292,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     """(doc_id, component_id) of every row: documents that share ``similar`` of all their different word shingles are linked.
 
     1. Equal sets of shingles, those of texts without words among them, are one node.
-    2. Nodes that share a key of a fingerprint are candidates, unless their sizes rule the
-       similarity out. Members of a key are compared with one of them for a few fingerprints,
+    2. Nodes whose fingerprints link within four bits (``link_fingerprints``) share a key, those
+       with equal smallest hashes further ones, which find what four bits miss. Nodes that share a
+       key are candidates, unless their sizes rule the similarity out. Members of a key are compared with one of them for a few fingerprints,
        which joins most of a cloud of near copies without pairs. Nodes that then share a key
        with another root are compared by their rarest shingles, where no pair is left out.
     3. A candidate counts by its shingles, which are made again only for nodes that share a key.
@@ -289,8 +305,8 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     """
     texts = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = cut_lineage(_shingled(texts, width))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "size", F.posexplode("keys").alias("print", "key"))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("print", "key")).unionByName(linked_keys(nodes))
     shared = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     keyed = cut_lineage(keyed.join(maybe_broadcast(shared), "key"))
     wanted = cut_lineage(nodes.join(maybe_broadcast(cut_lineage(keyed.select("node").distinct())), "node", "left_semi").select("node", F.col("text_hash").alias("_hash")))
@@ -313,7 +329,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
         return cut_lineage(pairs.where((F.col("root_x") != F.col("root_y")) & sized).select("x", "y", "root_x", "root_y").distinct())
 
     near = cut_lineage(keyed.select("node", F.col("node").alias("root")).distinct())
-    for low, high in STAR_ROUNDS:
+    for low, high in ((LINKED, LINKED + 1), *STAR_ROUNDS):
         own = keyed.where(F.col("print").between(low, high - 1)).join(near, "node")
         pivot = F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(low)))
         members = own.withColumn("mid", pivot.over(Window.partitionBy("key")))

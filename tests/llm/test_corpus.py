@@ -443,3 +443,21 @@ def test_sketches_differ_in_no_more_bits_than_their_sets(spark):
             assert bits <= differ and bits % 2 == differ % 2
             if 0 < differ <= 40:
                 assert bits > differ / 2  # so that it tells sets apart
+
+
+def test_near_copies_come_from_linked_fingerprints(spark, monkeypatch):
+    """The pipeline's stage takes candidates from SimHash links; here from nothing else."""
+    monkeypatch.setattr(simhash, "minima_keys", lambda shingles: [])
+    rnd = random.Random(5)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:-1], "changed"]))]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    near = {i for i in range(0, 60, 2) if ((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and all(got[i + 1] == i for i in near)
+    # Linked fingerprints alone are not enough: the shingles are compared.
+    short = [(0, "a b c d e"), (1, "a b c d f")]
+    monkeypatch.setattr(simhash, "majority_bits", lambda blocks: sum(1 for _ in blocks))
+    assert {r.component_id for r in simhash.similar_documents(spark.createDataFrame(short, "doc_id long, text string")).collect()} == {0, 1}
