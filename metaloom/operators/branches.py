@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,8 +108,26 @@ def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, m
     ``chosen``: (query_id, branch, branch_rank); ``members``: (branch, path). Every member that
     shares a word with the query is scored. With ``limit`` each (query, branch) pair reads so many
     postings at most, reads rejected by membership still use it, and a column ``truncated`` tells
-    whether there were more.
+    whether there were more. Without it members meet the words of their branch's queries in
+    blocks; pages whose path repeats, and long tables of queries, meet them in joins.
     """
+    best = S.top_in_groups(index, queries, chosen, members, ENTITY_CANDIDATE_K) if limit is None else None
+    if best is not None:
+        best, again = best
+        if not again.isEmpty():
+            part = replace(index, postings=index.postings.join(again, "path", "left_semi"), lengths=index.lengths.join(again, "path", "left_semi"))
+            best = best.unionByName(_joined_entities(part, queries, chosen, members.join(again, "path", "left_semi"))[0])
+        best = top_per_group(best.where("score > 0"), ["query_id", "branch_rank"], [F.desc("score"), F.asc("path")], ENTITY_CANDIDATE_K)
+        return best.select("query_id", "branch_rank", "path", "rank")
+    found, cut = _joined_entities(index, queries, chosen, members, limit)
+    top = top_per_group(found, ["query_id", "branch_rank"], [F.desc("score"), F.asc("path")], ENTITY_CANDIDATE_K)
+    if cut is not None:
+        top = top.join(cut, ["query_id", "branch_rank"])
+    return top.select("query_id", "branch_rank", "path", "rank", *["truncated"] * (cut is not None))
+
+
+def _joined_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, members: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(query_id, branch_rank, path, score) of every member read, and (query_id, branch_rank, truncated) under a limit, by joins."""
     pairs = chosen.withColumn("pair_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("branch_rank").cast("string")))
     asked = pairs.join(queries, "query_id").select(F.col("pair_id").alias("query_id"), "text")
     owner = pairs.select(F.col("pair_id").alias("query_id"), "branch")
@@ -123,11 +143,9 @@ def branch_entities(index: S.PageIndex, queries: DataFrame, chosen: DataFrame, m
         reads = reads.where(F.col("read") <= limit).select("query_id", "path").distinct()
     # Membership is tested per read, never listed per branch.
     cands = cut_lineage(salted_join(salted_join(reads, owner, ["query_id"], ["path"]), members, ["branch", "path"], ["query_id"]).select("query_id", "path"))
-    top = top_per_group(S.score_candidates(index, asked, cands), ["query_id"], [F.desc("score"), F.asc("path")], ENTITY_CANDIDATE_K)
-    if cut is not None:
-        top = top.join(cut, "query_id")
-    named = top.join(pairs.select(F.col("pair_id").alias("p"), F.col("query_id").alias("q"), "branch_rank"), F.col("query_id") == F.col("p"))
-    return named.select(F.col("q").alias("query_id"), "branch_rank", "path", "rank", *["truncated"] * (cut is not None))
+    names = pairs.select(F.col("pair_id").alias("p"), F.col("query_id").alias("q"), "branch_rank")
+    named = lambda rows, *columns: rows.join(names, F.col("query_id") == F.col("p")).select(F.col("q").alias("query_id"), "branch_rank", *columns)
+    return named(S.score_candidates(index, asked, cands), "path", "score"), None if cut is None else named(cut, "truncated")
 
 
 def discover(seeds: DataFrame, hits: DataFrame, top_k: int = ENTITY_CANDIDATE_K, base: DataFrame | None = None) -> DataFrame:

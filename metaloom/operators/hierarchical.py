@@ -79,7 +79,8 @@ def hierarchical_search(
     if top_k < 1:
         raise ValueError("top_k must be positive")
     ways = routes.select("query_id", "view").distinct()
-    walking = queries.join(ways.select("query_id").distinct(), "query_id", "left_semi")
+    walking = cut_lineage(queries.join(ways.select("query_id").distinct(), "query_id", "left_semi"))
+    branches = cut_lineage(branches)  # read by every part of their ranking
     ranked = BR.rank_branches(walking, branches, top_k=3 * BRANCH_K, limit=limit).join(ways, ["query_id", "view"], "left_semi")
     best = top_per_group(ranked.drop("rank"), ["query_id"], [F.desc("score"), F.asc("path")], BRANCH_K, "branch_rank")
     chosen = cut_lineage(best.select("query_id", F.col("path").alias("branch"), "view", "branch_rank", "score"))

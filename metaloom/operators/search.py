@@ -32,7 +32,7 @@ from ..constants import (
 from ..functions import text as T
 from ..functions.vectors import concept_slots
 from ..functions.words import word_counts
-from ..scale import BROADCAST_BYTES, cut_lineage, estimated_bytes, global_rank, maybe_broadcast, salted_join, top_per_group
+from ..scale import BROADCAST_BYTES, SALTS, cut_lineage, estimated_bytes, global_rank, maybe_broadcast, salted_join, top_per_group
 
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_:.][A-Za-z0-9]+)+")
 
@@ -454,6 +454,11 @@ class _Block:
         for q, s, p in zip(self.query[filled], self.score[filled], self.path[filled]):
             self.least[q], self.last[q] = s, p
 
+    def best(self) -> pa.RecordBatch:
+        """(number, path, score) of the best pages seen."""
+        columns = [pa.array(self.query + self.ids.start, pa.int64()), pa.array(self.path, pa.string()), pa.array(self.score / 10**SCORE_DIGITS, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["number", "path", "score"])
+
 
 def top_scored(index: PageIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """BM25 (query_id, path, score) that holds the ``top_k`` best pages of every query, and few others: exact, without a read budget.
@@ -478,40 +483,118 @@ def top_scored(index: PageIndex, queries: DataFrame, top_k: int) -> DataFrame:
 
 def _scored_blocks(counted: DataFrame, asked: DataFrame, stats, top_k: int) -> DataFrame:
     rows = asked.collect()  # a broadcast of query words, below ``BROADCAST_BYTES``
-    names, n, avgdl = list(dict.fromkeys(r.query_id for r in rows)), stats.n, stats.avgdl
-    tokens = list(dict.fromkeys(r.token for r in rows))
-    number, word = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(tokens)}
-    idf = np.zeros(len(tokens))
-    for r in rows:
-        idf[word[r.token]] = math.log(1 + (n - r.df + 0.5) / (r.df + 0.5))
+    names = list(dict.fromkeys(r.query_id for r in rows))
+    number = {q: i for i, q in enumerate(names)}
+    tokens, idf, word = _word_weights(rows, stats.n)
     entries = np.array(sorted((number[r.query_id], word[r.token], r.times) for r in rows), np.int64).reshape(-1, 3)
-    sent = asked.sparkSession.sparkContext.broadcast((entries, tokens, idf))
+    sent, avgdl = asked.sparkSession.sparkContext.broadcast((entries, tokens, idf)), stats.avgdl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, tokens, idf = sent.value
-        blocks = []
-        for start in range(0, len(names), QUERY_BLOCK):
-            ids = range(start, min(start + QUERY_BLOCK, len(names)))
-            mine = entries[(entries[:, 0] >= ids.start) & (entries[:, 0] < ids.stop)]
-            blocks.append(_Block(ids, (mine[:, 0], mine[:, 1], mine[:, 2]), tokens, idf, top_k))
+        blocks = _blocks(*sent.value, range(len(names)), top_k)
         for batch in batches:
-            for start in range(0, batch.num_rows, PAGE_BLOCK):
-                some = batch.slice(start, PAGE_BLOCK)
-                paths = np.array(some.column(0).to_pylist(), dtype=object)
-                order = np.argsort(paths)
-                counts, lengths = some.column(1).take(pa.array(order)), np.asarray(some.column(2))[order].astype(float)
-                for block in blocks:
-                    block.meet(paths[order], counts, lengths, avgdl)
+            _meet_all(blocks, batch, avgdl)
         for block in blocks:
-            columns = [pa.array(block.query + block.ids.start, pa.int64()), pa.array(block.path, pa.string()), pa.array(block.score / 10**SCORE_DIGITS, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "path", "score"])
+            yield block.best()
 
-    schema = StructType([StructField("number", LongType()), StructField("path", StringType()), StructField("score", DoubleType())])
     ids = asked.sparkSession.createDataFrame(list(enumerate(names)), StructType([StructField("number", LongType()), asked.schema["query_id"]]))
-    found = counted.select("path", "counts", "dl").mapInArrow(score, schema)
+    found = counted.select("path", "counts", "dl").mapInArrow(score, BEST_SCHEMA)
     return found.join(F.broadcast(ids), "number").select("query_id", "path", "score")
 
 
+BEST_SCHEMA = StructType([StructField("number", LongType()), StructField("path", StringType()), StructField("score", DoubleType())])
+
+
+def _word_weights(rows: list, n: int) -> tuple[list[str], np.ndarray, dict[str, int]]:
+    """Different words of collected (token, df) rows, their weights and their places."""
+    df = {r.token: r.df for r in rows}
+    return list(df), np.array([math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.values()]), {t: i for i, t in enumerate(df)}
+
+
+def _blocks(entries: np.ndarray, tokens: list[str], idf: np.ndarray, numbers: range, top_k: int) -> list[_Block]:
+    """Blocks of the queries with these numbers; ``entries``: (query, word, times) in rising order of queries."""
+    blocks = []
+    for start in range(numbers.start, numbers.stop, QUERY_BLOCK):
+        ids = range(start, min(start + QUERY_BLOCK, numbers.stop))
+        mine = entries[slice(*np.searchsorted(entries[:, 0], (ids.start, ids.stop)))]
+        blocks.append(_Block(ids, (mine[:, 0], mine[:, 1], mine[:, 2]), tokens, idf, top_k))
+    return blocks
+
+
+def _page_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.ListArray, np.ndarray]]:
+    """(paths, counts, lengths) of some pages at a time, in path order; the last three columns of a batch."""
+    path, counts, dl = batch.columns[-3:]
+    for start in range(0, batch.num_rows, PAGE_BLOCK):
+        paths = np.array(path.slice(start, PAGE_BLOCK).to_pylist(), dtype=object)
+        order = np.argsort(paths)
+        at = pa.array(order + start)
+        yield paths[order], counts.take(at), np.asarray(dl.take(at)).astype(float)
+
+
+def _meet_all(blocks: list[_Block], batch: pa.RecordBatch, avgdl: float) -> None:
+    for paths, counts, lengths in _page_blocks(batch):
+        for block in blocks:
+            block.meet(paths, counts, lengths, avgdl)
+
+
+def top_in_groups(index: PageIndex, queries: DataFrame, chosen: DataFrame, members: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame] | None:
+    """BM25 (query_id, branch_rank, path, score) holding the ``top_k`` best members of every chosen branch: exact, no (query, page) pair is shuffled.
+
+    ``chosen``: (query_id, branch, branch_rank); ``members``: (branch, path). Members bring their
+    counted words to their branch, whose queries score them in blocks. The second table, (path),
+    has the pages this leaves out: their path repeats, in the index or in a branch. None where the
+    queries' words or the choices are not small enough to travel or where a choice is not unique.
+    """
+    if index.counted is None:
+        return None
+    words = cut_lineage(salted_join(query_words(queries), index.terms, ["token"], ["query_id"]).groupBy("query_id", "token", "df").agg(F.count("*").alias("times")))
+    pairs = cut_lineage(chosen.select("branch", "query_id", "branch_rank").where("query_id IS NOT NULL AND branch IS NOT NULL"))
+    if estimated_bytes(words) > BROADCAST_BYTES or estimated_bytes(pairs) > BROADCAST_BYTES:
+        return None
+    asked = sorted(map(tuple, pairs.collect()), key=lambda r: r[0])
+    if any(rank is None for _, _, rank in asked) or len({r[1:] for r in asked}) < len(asked):
+        return None
+    rows = words.where("query_id IS NOT NULL").collect()
+    tokens, idf, word = _word_weights(rows, (stats := index.stats.select("n", "avgdl").first()).n)
+    held: dict = {}
+    for r in rows:
+        held.setdefault(r.query_id, []).append((word[r.token], r.times))
+    entries = np.array([(i, *w) for i, (_, query, _) in enumerate(asked) for w in held.get(query, ())], np.int64).reshape(-1, 3)
+    spans: dict = {}
+    for i, (branch, _, _) in enumerate(asked):
+        spans[branch] = range(spans[branch].start if branch in spans else i, i + 1)
+    spark = queries.sparkSession
+    sent, avgdl = spark.sparkContext.broadcast((entries, tokens, idf, spans)), stats.avgdl
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, tokens, idf, spans = sent.value
+        now, blocks = None, []
+        for batch in batches:
+            branches = np.array(batch.column(0).to_pylist(), dtype=object)
+            starts = np.flatnonzero(np.concatenate(([True], branches[1:] != branches[:-1])))
+            for start, end in zip(starts, [*starts[1:], len(branches)]):
+                if branches[start] != now:
+                    for block in blocks:
+                        yield block.best()
+                    now = branches[start]
+                    blocks = _blocks(entries, tokens, idf, spans[now], top_k)
+                _meet_all(blocks, batch.slice(start, end - start), avgdl)
+        for block in blocks:
+            yield block.best()
+
+    wanted = members.where("branch IS NOT NULL AND path IS NOT NULL").select("branch", "path").join(F.broadcast(pairs.select("branch").distinct()), "branch", "left_semi")
+    wanted = cut_lineage(wanted)
+    again = index.counted.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    again = cut_lineage(again.unionByName(wanted.groupBy("branch", "path").agg(F.count("*").alias("n")).where("n > 1").select("path")).where("path IS NOT NULL").distinct())
+    pages = wanted.join(maybe_broadcast(again), "path", "left_anti").join(index.counted.hint("merge"), "path")
+    # A branch may hold a large share of all pages, so several tasks take parts of it.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(SALTS))).repartition(tasks, "branch", "part").sortWithinPartitions("branch")
+    best = dealt.select("branch", "path", "counts", "dl").mapInArrow(score, BEST_SCHEMA)
+    ids = StructType([StructField("number", LongType()), pairs.schema["query_id"], pairs.schema["branch_rank"]])
+    ids = spark.createDataFrame([(i, query, rank) for i, (_, query, rank) in enumerate(asked)], ids)
+    return best.join(F.broadcast(ids), "number").select("query_id", "branch_rank", "path", "score"), again
+
+
 def overlap_all(index: PageIndex, queries: DataFrame) -> DataFrame:
     """Number of distinct query words every page holds that holds any."""
     pairs = salted_join(index.postings.select("token", "path"), query_words(queries), ["token"], ["path"])

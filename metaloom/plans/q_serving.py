@@ -274,7 +274,7 @@ def organisation_filter(spark, sf):
 def hierarchical_search(spark, sf):
     """Three of four queries go through two views of the organisation, the rest are answered directly."""
     pages = member_pages(spark, sf)
-    queries, index = branch_queries(spark, sf), S.build_index(pages.drop("p_type", "p_brand"))
+    queries, index = cut_lineage(branch_queries(spark, sf)), S.build_index(spread(pages.drop("p_type", "p_brand")))
     seeds = cut_lineage(S.search_many(index, queries, top_k=8).select("query_id", "path", "score"))
     routes = queries.where("query_id % 4 <> 0").select("query_id", F.explode(F.array(F.lit("domain"), F.lit("analysis"))).alias("view"))
     hits, _ = HS.hierarchical_search(index, queries, seeds, routes, branch_pages(spark, sf), member_closure(pages), type_nodes(pages), scope={"topic_domain": DOMAIN})
