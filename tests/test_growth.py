@@ -1,10 +1,16 @@
 """Steps whose work must not grow faster than their input."""
 
+import collections
+import random
+
 from metaloom.operators import binding as B
+from metaloom.operators import branches as BR
 from metaloom.operators import casebuild as CB
 from metaloom.operators import graph as G
 from metaloom.operators import hierarchy as H
 from metaloom.operators import identity as ID
+from metaloom.operators import inference as N
+from metaloom.operators import search as S
 
 
 def _watch(monkeypatch, module):
@@ -126,3 +132,59 @@ def test_bindings_of_a_shared_key_are_neither_grouped_nor_listed_to_confirm(spar
     assert {(r["asset_id"], r["path"]): rules[r["rule"]] for r in got} == {k: v for k, v in want.items() if None not in k} and len(got) == sum(None not in k for k in want)
     assert {(r["asset_id"], r["path"]) for r in got if r["confirmed"]} == sole
     assert {(r["asset_id"], r["path"]) for r in B.confirmed_bindings(*frames, "e").collect()} == sole and ("one", "own") in sole
+
+
+def test_literals_travel_as_digests(spark):
+    rows = [(1, " Alpha  beta"), (1, None), (2, "gamma"), (3, "alpha beta"), (4, "alpha beta"), (4, "alpha beta"), (None, "x")]
+    entities = spark.createDataFrame(rows, "id long, name string")
+    units = spark.createDataFrame([("d", "ALPHA beta "), ("d", "ALPHA beta "), ("e", "gamma"), (None, "x")], "document string, literal string")
+    cited = spark.createDataFrame([(1, "d"), (2, "d"), (3, None), (4, "d"), (4, "e"), (None, "d")], "id long, document string")
+    found = CB.verify_literals(entities, units, cited)
+    assert {(r["id"], r["located"]) for r in found.collect()} == {(1, True), (2, False), (3, False), (4, True), (None, False)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "digest" in plan and "hashpartitioning(document" in plan and "key#" not in plan
+
+
+def test_targets_are_scored_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_SOURCES", 4)
+    monkeypatch.setattr(N, "CELL_TARGETS", 8)
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    page = lambda side, i: (f"{side}{i:02d}", rnd.choice(["metric", "model", None]), rnd.choice([f"s{i}", "Same", None]), " ".join(rnd.choices(words, k=rnd.randrange(14))), rnd.choice(["X", "x", "y", None]))
+    sources, targets = [page("s", i) for i in range(11)], [page("t", i) for i in range(40)]
+    sources, targets = [*sources, sources[0]], [*targets, targets[1], targets[1]]
+    explicit = [("s01", "same"), ("s01", "SAME"), ("s02", "s7"), ("zz", "same")]
+    want, kind = collections.Counter(), {t[0]: t[1] for t in targets}
+    terms, bonus = collections.Counter(), collections.Counter()
+    for t in targets:
+        for s in sources:
+            terms[s[0], t[0]] += len(set(s[3].split()) & set(t[3].split()))
+            bonus[s[0], t[0]] += 15 * (s[4] is not None and t[4] is not None and s[4].lower() == t[4].lower())
+        for path, name in {(p, n.lower()) for p, n in explicit if any(p == s[0] for s in sources)}:
+            bonus[path, t[0]] += 35 * (t[2] is not None and t[2].lower() == name)
+    times = collections.Counter(t[0] for t in targets)
+    groups = collections.defaultdict(list)
+    for pair in terms:
+        score = min(100, min(60, 6 * terms[pair]) + bonus[pair])
+        if score:
+            groups[pair[0], kind[pair[1]]] += [(-score / 100, pair[1])] * times[pair[1]]
+    want = sorted((s, str(k), p, -v, n) for (s, k), g in groups.items() for n, (v, p) in enumerate(sorted(g)[:5], 1))
+    schema = "path string, context_type string, name string, text string, facet string"
+    ranked = N.rank_targets(spark.createDataFrame(sources, schema), spark.createDataFrame(targets, schema), spark.createDataFrame(explicit, "path string, name string"), ["facet"], top=5)
+    assert sorted((r["source"], str(r["context_type"]), r["path"], r["score"], r["rank"]) for r in ranked.collect()) == want
+
+
+def test_members_of_branches_are_scored_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choices(["in", *[f"w{i}" for i in range(12)]], k=n))
+    pages = [(f"p{i:02d}", f"p{i}", text(4), text(9), "EXPLICIT") for i in range(30)]
+    pages = spark.createDataFrame([*pages, pages[0]], "path string, name string, l0 string, l1 string, identity_status string")
+    index = S.build_index(pages)
+    queries = spark.createDataFrame([(q, text(3)) for q in range(6)], "query_id long, text string")
+    chosen = spark.createDataFrame([(q, f"b{(q + n) % 4}", n) for q in range(6) for n in range(1, 3)], "query_id long, branch string, branch_rank long")
+    members = spark.createDataFrame([(f"b{b}", f"p{i:02d}") for b in range(4) for i in range(30) if i % (b + 2) == 0] + [("b1", "p03")], "branch string, path string")
+    monkeypatch.setattr(BR, "ENTITY_CANDIDATE_K", 4)
+    assert S.top_in_groups(index, queries, chosen, members, 4) is not None
+    got = {tuple(r) for r in BR.branch_entities(index, queries, chosen, members).collect()}
+    monkeypatch.setattr(S, "top_in_groups", lambda *args: None)
+    assert got == {tuple(r) for r in BR.branch_entities(index, queries, chosen, members).collect()} and len(got) > 30
