@@ -601,6 +601,80 @@ def overlap_all(index: PageIndex, queries: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "path").agg(F.count("*").cast("double").alias("score"))
 
 
+def fuse_all(index: PageIndex, queries: DataFrame, top_k: int, weights=None) -> DataFrame:
+    """Fusion of the BM25 and overlap ranks of all pages, the ``top_k`` best of each query: exact.
+
+    The ``top_k``-th best page by BM25 alone scores w / (offset + ``top_k``) at least, and a page
+    so far down that even the first overlap rank cannot make up for it is never returned. So the
+    heads by BM25 are fused, and the pages before them by overlap are counted, not ranked. Queries
+    that fewer pages answer, and tables whose words are not small enough to travel, rank all pages.
+    """
+    weights = weights or CHANNEL_WEIGHTS
+    ranked = lambda q: fuse_many({"bm25": score_all(index, q), "facet": overlap_all(index, q)}, ["query_id"], top_k, weights)
+    spare = weights["bm25"] / (RRF_OFFSET + top_k) - weights["facet"] / (RRF_OFFSET + 1)
+    asked = cut_lineage(query_words(queries).groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    if index.counted is None or spare <= 0 or estimated_bytes(asked) > BROADCAST_BYTES:
+        return ranked(queries)
+    head = math.ceil(weights["bm25"] / spare * (1 + 1e-6)) - RRF_OFFSET + 1
+    best = top_per_group(top_scored(index, queries, head).where("score > 0 AND query_id IS NOT NULL"), ["query_id"], [F.desc("score"), F.asc("path")], head, "place")
+    best = cut_lineage(best.select("query_id", "path", "place"))
+    whole = cut_lineage(best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == head).select("query_id"))
+    heads = cut_lineage(score_overlap(index, queries, best.join(whole, "query_id", "left_semi")).join(best, ["query_id", "path"]))
+    before = _pages_before(index, asked, heads)
+    part = lambda name, rank: F.lit(weights[name]) / (RRF_OFFSET + F.col(rank))
+    fused = heads.join(before, ["query_id", "path"], "left").withColumn("second", F.coalesce("before", F.lit(0)) + 1)
+    fused = fused.select("query_id", "path", F.round(part("bm25", "place") + part("facet", "second"), 12).alias("score"))
+    fused = top_per_group(fused, ["query_id"], [F.desc("score"), F.asc("path")], top_k)
+    rest = cut_lineage(queries.join(whole, "query_id", "left_anti"))
+    return fused if rest.isEmpty() else fused.unionByName(ranked(rest))
+
+
+def _pages_before(index: PageIndex, asked: DataFrame, heads: DataFrame) -> DataFrame:
+    """(query_id, path, before): how many pages stand before each of ``heads`` (query_id, path, score) by overlap, then path."""
+    repeated = cut_lineage(index.counted.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"))
+    alone = index.counted.where("path IS NOT NULL").join(maybe_broadcast(repeated), "path", "left_anti")
+    looked = heads.select("query_id", "path", F.col("score").cast("long").alias("score")).orderBy("query_id", "path").collect()  # some heads of each query
+    number = {q: i for i, q in enumerate(dict.fromkeys(r.query_id for r in looked))}
+    words = [r for r in asked.where("query_id IS NOT NULL").collect() if r.query_id in number]
+    place = {t: i for i, t in enumerate(dict.fromkeys(r.token for r in words))}
+    entries = np.array([(place[r.token], number[r.query_id], r.times) for r in words], np.int64).reshape(-1, 3)
+    lines = np.array([(number[r.query_id], r.score) for r in looked], np.int64).reshape(-1, 2)
+    spark = heads.sparkSession
+    sent = spark.sparkContext.broadcast((entries, list(place), lines, [r.path for r in looked], len(number)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, tokens, lines, paths, size = sent.value
+        weights, tokens, paths = np.zeros((len(tokens), size), np.float32), pa.array(tokens, pa.string()), np.array(paths, dtype=object)
+        np.add.at(weights, (entries[:, 0], entries[:, 1]), entries[:, 2])
+        before = np.zeros(len(lines), np.int64)
+        for batch in batches:
+            for some, counts, _ in _page_blocks(batch):
+                ends = np.asarray(counts.offsets)
+                found = pc.index_in(counts.flatten().field("token"), value_set=tokens)
+                held = np.flatnonzero(np.asarray(found.is_valid()))
+                grid = np.zeros((len(some), len(tokens)), np.float32)
+                np.add.at(grid, (np.searchsorted(ends - ends[0], held, side="right") - 1, np.asarray(found.drop_null()).astype(np.int64)), 1)
+                overlap = grid @ weights
+                earlier = np.searchsorted(some, paths)
+                for start in range(0, len(lines), QUERY_BLOCK):
+                    mine = slice(start, start + QUERY_BLOCK)
+                    other, own = overlap[:, lines[mine, 0]], lines[mine, 1]
+                    tied = (other == own) & (np.arange(len(some))[:, None] < earlier[mine])
+                    before[mine] += ((other > own) | tied).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), pa.array(before)], names=["number", "before"])
+
+    counted = alone.select("path", "counts", "dl").mapInArrow(count, "number long, before long")
+    names = StructType([StructField("number", LongType()), heads.schema["query_id"], heads.schema["path"]])
+    names = spark.createDataFrame([(i, r.query_id, r.path) for i, r in enumerate(looked)], names)
+    found = counted.groupBy("number").agg(F.sum("before").alias("before")).join(F.broadcast(names), "number").select("query_id", "path", "before")
+    if repeated.isEmpty():
+        return found
+    again = index.postings.join(repeated, "path", "left_semi")
+    again = again.join(F.broadcast(asked), "token").groupBy("query_id", "path").agg(F.sum("times").alias("held")).withColumnRenamed("path", "other")
+    met = heads.join(again, "query_id").where((F.col("held") > F.col("score")) | ((F.col("held") == F.col("score")) & (F.col("other") < F.col("path"))))
+    return found.unionByName(met.groupBy("query_id", "path").agg(F.count("*").alias("before"))).groupBy("query_id", "path").agg(F.sum("before").alias("before"))
+
+
 def search_many(index: PageIndex, queries: DataFrame, top_k: int = 8, limit: int | None = None) -> DataFrame:
     """Serve a table of queries (query_id, text): BM25, top ``top_k`` each.
 

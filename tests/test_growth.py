@@ -188,3 +188,18 @@ def test_members_of_branches_are_scored_in_blocks(spark, monkeypatch):
     got = {tuple(r) for r in BR.branch_entities(index, queries, chosen, members).collect()}
     monkeypatch.setattr(S, "top_in_groups", lambda *args: None)
     assert got == {tuple(r) for r in BR.branch_entities(index, queries, chosen, members).collect()} and len(got) > 30
+
+
+def test_fusion_counts_the_pages_before_its_heads(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    pages = [(f"p{i:03d}", "page", text(3), text(rnd.randrange(1, 9)), "EXPLICIT") for i in range(160)]
+    pages += [*pages[5:9], ("q1", "page", "seldom", "", "EXPLICIT"), (None, "page", text(3), "", "EXPLICIT")]
+    index = S.build_index(spark.createDataFrame(pages, "path string, name string, l0 string, l1 string, identity_status string"))
+    asked = [(q, text(rnd.randrange(2, 6))) for q in range(8)] + [(8, "seldom"), (9, "nowhere"), (0, "w1"), (None, "w2 w3")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    key = lambda rows: sorted(map(str, rows.collect()))
+    got, want = S.fuse_all(index, queries, 5), S.fuse_many({"bm25": S.score_all(index, queries), "facet": S.overlap_all(index, queries)}, ["query_id"], 5)
+    assert key(got) == key(want) and got.where("query_id = 8").count() == 1
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
