@@ -59,6 +59,18 @@ class Memo(dict):
         self.keep(key, value)
         return value
 
+    def fresh(self, keys: set) -> list:
+        """The keys without a result; results of the others move to the younger generation."""
+        new = []
+        for key in keys:
+            if key not in self:
+                value = self.old.get(key)
+                if value is None:
+                    new.append(key)
+                else:
+                    self.keep(key, value)
+        return new
+
     def keep(self, key, value) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.limit:

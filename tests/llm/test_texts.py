@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from metaloom.llm import ctph, ecoc, tokenfiles
-from metaloom.llm.bpe import encode_decode, word_coder
+from metaloom.llm.bpe import WordCoder, encode_decode, word_coder
 from metaloom.llm.token_counts import merged_length, token_counts
 from metaloom.llm.tokenids import read_token_files, write_token_files
 from metaloom.scale import ensure_checkpoint_dir
@@ -63,6 +63,26 @@ def test_long_fragments_merge_alike():
     assert time.time() - start < 60
 
 
+def test_words_merge_side_by_side():
+    coder, t, rnd = word_coder(WORD), Tokenizer.from_file(WORD), random.Random(4)
+    words = ["a", "é", "x" * 64, "ab" * 33, "the" * 500, "thinthha"] + ["".join(rnd.choice("abcdehinorstéß日") for _ in range(rnd.randrange(1, 70))) for _ in range(2000)]
+    for word, (ids, decoded) in zip(words, coder.together(words), strict=True):
+        want = t.encode(word, add_special_tokens=False).ids
+        assert (ids, decoded) == (np.array(want, "<u4").tobytes(), t.decode(want, skip_special_tokens=False))
+
+
+def test_prepared_words_need_no_merges_of_their_own(monkeypatch):
+    coder, t = WordCoder(WORD), Tokenizer.from_file(WORD)
+    coder.words.limit = 1000
+    given = [" ".join(f"word{i}x{j}, it's {i}" for j in range(200)) for i in range(3)]
+    for i in range(3):
+        coder.prepare(given[i : i + 1])
+        monkeypatch.setattr(coder, "_fragment", None)
+        ids = t.encode(given[i], add_special_tokens=False).ids
+        assert coder.code(given[i]) == (np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False))
+        monkeypatch.undo()
+
+
 def test_cuts_fall_only_where_no_token_reaches_over():
     coder = word_coder(WORD)
     pieces = coder.cuts("qzxjkv")
