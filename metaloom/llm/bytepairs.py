@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 #: White space other than blank and line feed, as str.isspace() knows it.
 OTHER_SPACES = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　") + tuple(map(chr, range(0x2000, 0x200B)))
+RUNS = ("  ", " \n", "\n ", "\n\n")
 ID_BITS = 20
 
 
@@ -54,10 +55,12 @@ def blank_separated(text: str) -> list[list[str]] | None:
     The byte-level pattern then never joins a word with what stands before its blank or line
     feed, so `` word`` and the first word of a line can be split and merged on their own.
     """
-    if any(c in text for c in OTHER_SPACES):
-        return None
-    lines = [line.split(" ") for line in text.split("\n")]
-    return None if any("" in words for words in lines) else lines
+    return [line.split(" ") for line in text.split("\n")] if only_single_blanks(text) else None
+
+
+def only_single_blanks(text: str) -> bool:
+    """Single blanks and line feeds between words are the text's only white space."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(s in text for s in RUNS) and not any(c in text for c in OTHER_SPACES)
 
 
 def over_pieces(text: str, first: Callable, rest: Callable, split: Callable, one: Callable, newline) -> list:

@@ -2,14 +2,17 @@
 
 A file is a Parquet table of chunks; a chunk is a binary frame of whole documents:
 
-    magic "TIDS", version, number of documents, ids and blocks, block size     (header)
+    magic "TIDS", version, number of documents, symbols and blocks, block size, number of phrases (header)
     document ids (signed 64-bit deltas, null flags), ids per document          (deflated)
+    ids per phrase                                                            (deflated)
     per block: checksum, distinct ids, code words                             (deflated)
     per block: its distinct ids in rising order, as gaps                      (deflated)
     per block: 32-bit code words of the range coder
 
-Every block starts with fresh models and holds up to BLOCK ids. All blocks of a chunk are
-coded side by side, one id of each at a time, so that the work per id is array work.
+Symbols are the ids of all documents or, if there are phrases, the ids of each phrase followed
+by the phrase numbers of all documents: a word of many ids is spelt once in a chunk, then it is
+one symbol. Every block starts with fresh models and holds up to BLOCK symbols, called ids below.
+All blocks of a chunk are coded side by side, one id of each at a time, so that the work per id is array work.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC = b"TIDS"
-VERSION = 1
+VERSION = 2
 BLOCK = 2048
 TOTAL_BITS = 20  # probabilities of an id add up to 1 << TOTAL_BITS
 PLAIN_BITS = 15  # those of order 0 to 1 << PLAIN_BITS
@@ -34,7 +37,7 @@ STEP_BITS = 5
 COARSE = 1 << (PLAIN_BITS - STEP_BITS)  # steps of a block's table from probabilities of order 0 to ids
 SLAB = 64  # blocks whose ids are ranked at once
 ROOM = (1 << TOTAL_BITS) - (1 << PLAIN_BITS)
-HEADER = struct.Struct("<4sBIQII")
+HEADER = struct.Struct("<4sBIQIII")
 LOW32 = np.uint64(0xFFFFFFFF)
 ONE32 = np.uint64(1 << 32)
 
@@ -49,10 +52,10 @@ class Mixer:
 
     def __init__(self, sizes: np.ndarray) -> None:
         n, widest = len(sizes), int(sizes.max())
-        self.n, self.width, self.sizes = n, widest + 1, sizes
+        self.n, self.width, self.sizes = n, widest, sizes
         self.lane = np.arange(n)
-        self.base = self.lane * self.width
-        self.counts = (np.arange(widest)[None, :] < sizes[:, None]).astype(np.int64)
+        self.base = self.lane * widest
+        self.counts = (np.arange(widest)[None, :] < sizes[:, None]).astype(np.int32)
         # contexts of order 1 (one per id) and, behind them, of order 2
         self.second = n * self.width + self.lane * SLOTS
         self.cells = np.zeros(n * (self.width + SLOTS), np.int16)  # predicted id * TRUST + trust in it
@@ -64,12 +67,13 @@ class Mixer:
 
     def renew(self) -> None:
         """Order 0 from the counts: every listed id keeps a share of at least one."""
-        sums = np.zeros((self.n, self.width), np.int64)
+        sums = np.zeros((self.n, self.width + 1), np.int32)  # below GAIN * BLOCK << PLAIN_BITS, so they fit
         np.cumsum(self.counts, axis=1, out=sums[:, 1:])
-        sums *= ((1 << PLAIN_BITS) - self.sizes)[:, None]
-        sums //= np.maximum(self.counts.sum(axis=1), 1)[:, None]
-        sums[:, 1:] += np.minimum(np.arange(1, self.width)[None, :], self.sizes[:, None])
-        self.plain = sums.ravel()
+        sums *= ((1 << PLAIN_BITS) - self.sizes).astype(np.int32)[:, None]
+        sums //= np.maximum(self.counts.sum(axis=1, dtype=np.int32), 1)[:, None]
+        sums[:, 1:] += np.minimum(np.arange(1, self.width + 1)[None, :], self.sizes[:, None]).astype(np.int32)
+        # where an id begins and how much it has, in one number
+        self.plain = (sums[:, :-1] << 16 | sums[:, 1:] - sums[:, :-1]).ravel()
         self.coarse = None
 
     def look(self, k: int) -> None:
@@ -77,19 +81,20 @@ class Mixer:
         at, last = self.at[:, :k], self.last[:k]
         np.add(self.base[:k], last, out=at[0])
         np.add(self.second[:k], (last * 40503 + self.before[:k] * 2531) >> 3 & (SLOTS - 1), out=at[1])
-        cells = self.cells[at]
+        cells = self.cells.take(at)
         self.guess, self.trusted = cells >> 3, cells & (TRUST - 1)
         self.level = self.levels[:, :k] + self.trusted
-        self.rate = self.rates[self.level]
+        self.rate = self.rates.take(self.level)
         self.w2 = self.rate[1] * ROOM >> 16
         self.w1 = self.rate[0] * (ROOM - self.w2) >> 16
         self.w0 = (1 << TOTAL_BITS) - self.w1 - self.w2
 
     def share(self, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Mixed probability of all ids before ``rank`` and of ``rank`` itself."""
-        at = self.base[:k] + rank
-        below = self.plain[at] * self.w0 >> PLAIN_BITS
-        size = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) - below
+        plain = self.plain.take(self.base[:k] + rank).astype(np.int64)
+        start = plain >> 16
+        below = start * self.w0 >> PLAIN_BITS
+        size = (((plain & 0xFFFF) + start) * self.w0 >> PLAIN_BITS) - below
         small = rank.astype(np.int16)
         self.hit = self.guess == small
         past = self.guess < small
@@ -101,8 +106,8 @@ class Mixer:
 
     def _coarse(self) -> np.ndarray:
         """For each block and step of order 0 the last id that begins at the step or before it."""
-        starts = self.plain.reshape(self.n, self.width)[:, :-1]
-        listed = np.arange(self.width - 1)[None, :] < self.sizes[:, None]
+        starts = self.plain.reshape(self.n, self.width) >> 16
+        listed = np.arange(self.width)[None, :] < self.sizes[:, None]
         keys = (self.lane[:, None] * (COARSE + 1) + (starts + (1 << STEP_BITS) - 1 >> STEP_BITS))[listed]
         begun = np.bincount(keys, minlength=self.n * (COARSE + 1)).reshape(self.n, COARSE + 1)
         return (np.cumsum(begun, axis=1) - 1).astype(np.int16).ravel()
@@ -114,22 +119,26 @@ class Mixer:
         low, high = (f(self.guess[0], self.guess[1]).astype(np.int64) for f in (np.minimum, np.maximum))
         if self.coarse is None:
             self.coarse = self._coarse()
-        at = self.base[:k] + low
-        start_low = self.plain[at] * self.w0 >> PLAIN_BITS
-        end_low = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) + first
-        end_low += second * (low == high)
-        at = self.base[:k] + high
-        start_high = (self.plain[at] * self.w0 >> PLAIN_BITS) + first * (low != high)
-        end_high = (self.plain[at + 1] * self.w0 >> PLAIN_BITS) + first + second
+        plain = self.plain.take(self.base[:k] + np.stack((low, high))).astype(np.int64)
+        start = plain >> 16
+        end = ((plain & 0xFFFF) + start) * self.w0 >> PLAIN_BITS
+        start = start * self.w0 >> PLAIN_BITS
+        same = low == high
+        start_low, end_low = start[0], end[0] + first + second * same
+        start_high, end_high = start[1] + first * ~same, end[1] + first + second
         rest = value - first * (value >= end_low) - second * (value >= end_high)
         target = (((rest + 1) << PLAIN_BITS) - 1) // self.w0
         slot = self.lane[:k] * (COARSE + 1) + (np.minimum(target, (1 << PLAIN_BITS) - 1) >> STEP_BITS)
-        found, most = self.coarse[slot].astype(np.int64), self.coarse[slot + 1].astype(np.int64)
-        while (found < most).any():  # halve what is left between two steps of the table
-            middle = (found + most + 1) >> 1
-            right = self.plain[self.base[:k] + middle] <= target
-            found = np.where(right, middle, found)
-            most = np.where(right, most, middle - 1)
+        found, most = self.coarse.take(slot).astype(np.int64), self.coarse.take(slot + 1).astype(np.int64)
+        unsure = np.flatnonzero(found < most)
+        if len(unsure):  # halve what is left between two steps of the table
+            base, aim, least, most = self.base[unsure], target[unsure], found[unsure], most[unsure]
+            while (least < most).any():
+                middle = (least + most + 1) >> 1
+                right = self.plain.take(base + middle) >> 16 <= aim
+                least = np.where(right, middle, least)
+                most = np.where(right, most, middle - 1)
+            found[unsure] = least
         found = np.where((value >= start_low) & (value < end_low), low, found)
         return np.where((value >= start_high) & (value < end_high), high, found)
 
@@ -159,7 +168,7 @@ def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     short = rows.max() < 1 << 16
     for at in range(0, len(rows), SLAB):
         part = rows[at : at + SLAB].astype(np.uint16) if short else rows[at : at + SLAB]
-        order = np.argsort(part, axis=1, kind="stable")
+        order = np.argsort(part, axis=1, kind="stable" if short else None)
         ids = np.take_along_axis(part, order, axis=1)
         new = np.ones(ids.shape, bool)
         np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
@@ -171,8 +180,8 @@ def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(mixer: Mixer, done: np.ndarray) -> None:
     """Add the ids of all blocks since the last renewal; ``done`` has a column per id."""
-    keys = (np.arange(len(done))[:, None] * (mixer.width - 1) + done).ravel()
-    mixer.counts += GAIN * np.bincount(keys, minlength=mixer.counts.size).reshape(mixer.counts.shape)
+    keys = (np.arange(len(done))[:, None] * mixer.width + done).ravel()
+    mixer.counts += np.bincount(keys, minlength=mixer.counts.size).astype(np.int32).reshape(mixer.counts.shape) * np.int32(GAIN)
     mixer.renew()
 
 
@@ -274,13 +283,19 @@ def _unpack(data: bytes, at: int, kind: str) -> tuple[np.ndarray, int]:
     return np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), kind), at + 4 + size
 
 
-def write_chunk(doc_ids: list, lengths: list[int], flat: np.ndarray) -> bytes:
-    """A frame of whole documents: their ids (null allowed), ids per document, and the coded blocks."""
+def write_chunk(doc_ids: list, lengths: list[int], flat: np.ndarray, phrases: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
+    """A frame of whole documents: their ids (null allowed), ids per document, and the coded blocks.
+
+    ``flat`` holds the ids of all documents; with ``phrases`` (number of ids of each, all
+    their ids) it holds numbers of phrases.
+    """
+    sizes_of, spelt = phrases if phrases else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    flat = np.concatenate((spelt, flat)) if phrases else flat
     nulls = np.array([d is None for d in doc_ids], bool)
     numbers = np.array([d or 0 for d in doc_ids], np.int64)
     gaps = np.diff(numbers, prepend=np.int64(0))
     blocks = -(-len(flat) // BLOCK)
-    out = [HEADER.pack(MAGIC, VERSION, len(doc_ids), len(flat), blocks, BLOCK), _pack(nulls, "u1"), _pack(gaps, "<i8"), _pack(np.array(lengths), "<u4")]
+    out = [HEADER.pack(MAGIC, VERSION, len(doc_ids), len(flat), blocks, BLOCK, len(sizes_of)), _pack(nulls, "u1"), _pack(gaps, "<i8"), _pack(np.array(lengths), "<u4"), _pack(sizes_of, "<u4")]
     if blocks:
         checks, sizes, lists, filled, words = encode_blocks(flat)
         listed = np.diff(lists, prepend=0)
@@ -289,14 +304,26 @@ def write_chunk(doc_ids: list, lengths: list[int], flat: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _spelt(symbols: np.ndarray, sizes_of: np.ndarray) -> np.ndarray:
+    """The ids of all documents from the phrases and their numbers."""
+    starts = np.cumsum(sizes_of) - sizes_of
+    numbers = symbols[int(sizes_of.sum()) :]
+    sizes = sizes_of[numbers]
+    first = starts[numbers] - (np.cumsum(sizes) - sizes)
+    at = np.repeat(first, sizes)
+    at += np.arange(len(at))
+    return symbols[at]
+
+
 def read_chunk(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc id, ids) of every document of a frame."""
-    magic, version, n_docs, n_ids, blocks, block = HEADER.unpack_from(data)
+    magic, version, n_docs, n_ids, blocks, block, n_phrases = HEADER.unpack_from(data)
     if magic != MAGIC or version != VERSION or block != BLOCK:
         raise ValueError("not a frame of token ids")
     nulls, at = _unpack(data, HEADER.size, "u1")
     gaps, at = _unpack(data, at, "<i8")
     lengths, at = _unpack(data, at, "<u4")
+    sizes_of, at = _unpack(data, at, "<u4")
     flat = np.zeros(0, np.uint32)
     if blocks:
         checks, at = _unpack(data, at, "<u4")
@@ -309,6 +336,8 @@ def read_chunk(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         sums -= np.repeat(sums[starts] - listed[starts], sizes)
         flat = decode_blocks(n_ids, checks, sizes, sums, filled.astype(np.int64), np.frombuffer(data, "<u4", offset=at))
+    if n_phrases:
+        flat = _spelt(flat, sizes_of.astype(np.int64))
     ends = np.cumsum(lengths.astype(np.int64))
     for doc_id, null, end, length in zip(np.cumsum(gaps).tolist(), nulls.tolist(), ends.tolist(), lengths.tolist(), strict=True):
         yield (None if null else doc_id), flat[end - length : end]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,21 +14,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.bytepairs import blank_separated
+from metaloom.llm.bytepairs import byte_alphabet, only_single_blanks
 from metaloom.llm.common import Memo, text_pairs, text_rows
 from metaloom.llm.tokenfiles import read_chunk, write_chunk
 from metaloom.scale import cut_lineage, maybe_broadcast
 
 CHUNK = 1 << 23  # ids that close a chunk
-AT_ONCE = 500  # texts encoded together
+AT_ONCE = 4000  # texts cut together
+#: Kinds of bytes between which the public pattern always cuts; 0 for all others.
+KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((1, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (2, b"0123456789"), (3, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")):
+    KINDS[list(_bytes)] = _kind
+#: Letters of two bytes whose first byte tells so (but for the signs of times and division).
+LETTER_LEADS = np.zeros(256, bool)
+LETTER_LEADS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ſЀ-ѿ]+").fullmatch
 
 
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, which sees each distinct word once while it is cached.
+    """Ids of the pieces of texts from the tokenizers library, which sees each distinct piece once while it is cached.
 
     In a text whose only white space is single blanks and line feeds, the byte-level pattern
-    cuts before every blank and line feed, so its words can be encoded on their own; any
-    other text goes to the library whole.
+    cuts before every blank and line feed and between letters, digits and signs, so these
+    pieces can be encoded on their own; any other text is one piece and goes to the library
+    whole. A piece of letters is one match of the pattern and goes to the library's model.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,36 +47,68 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = {blank: Memo(lambda word, b=blank: self._library([b + word])[0], 300_000) for blank in ("", " ")}
-        self.line_feed = self._library(["\n"])[0]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _prepare(self, blank: str, words: set[str]) -> None:
-        known = self.words[blank]
-        new = [w for w in words if w not in known and w not in known.old]
-        for word, ids in zip(new, self._library([blank + w for w in new]), strict=True):
-            known.keep(word, ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else blank_separated(t) for t in texts]
-        lines = [line for found in split if found for line in found]
-        self._prepare("", {line[0] for line in lines})
-        self._prepare(" ", {word for line in lines for word in line[1:]})
-        first, rest, out = self.words[""].__getitem__, self.words[" "].__getitem__, []
-        for text, found in zip(texts, split, strict=True):
-            if found is None:
-                out.append(self._library([text])[0])
-                continue
-            parts = []
-            for line in found:
-                parts.append(self.line_feed)
-                parts.append(first(line[0]))
-                parts.extend(map(rest, line[1:]))
-            out.append(b"".join(parts[1:]))
-        return out
+        self.printable = dict(enumerate(byte_alphabet()))
+        self.known = Memo(self._piece, 600_000)
+
+    def _piece(self, piece: str) -> bytes:
+        if LETTERS(piece):
+            symbols = piece.replace(" ", self.printable[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.printable)
+            return array("I", [token.id for token in self.merge(symbols)]).tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def cut(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of all texts, and how many of them each text has."""
+        column = pa.array(texts, pa.large_string())
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        letters = np.frombuffer(data, np.uint8, ends[-1]) if ends[-1] else np.zeros(0, np.uint8)
+        kinds = KINDS[letters]
+        pairs = np.flatnonzero(LETTER_LEADS[letters[:-1]])
+        pairs = pairs[(letters[pairs] != 0xC3) | (letters[pairs + 1] & 0xDF != 0x97)]
+        kinds[pairs] = kinds[pairs + 1] = 1
+        opens = letters == ord(" ")
+        opens[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
+        feeds = np.flatnonzero(letters == ord("\n"))
+        opens[feeds] = True
+        opens[feeds[feeds + 1 < len(letters)] + 1] = True
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special) or not only_single_blanks(text):
+                opens[ends[i] : ends[i + 1]] = False
+        opens[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts = np.append(np.flatnonzero(opens), len(letters))
+        pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), data if data is not None else pa.py_buffer(b""))
+        return pieces.dictionary_encode(), np.diff(np.searchsorted(starts, ends))
+
+
+class Frame:
+    """Documents of a chunk as numbers of phrases, in order of their first appearance, and each phrase's ids; phrase 0 is the end of a document."""
+
+    def __init__(self, encoder: LibraryEncoder, end_id: int) -> None:
+        self.encoder, self.numbers, self.parts = encoder, {}, [np.array([end_id], "<u4").tobytes()]
+        self.sizes, self.doc_ids, self.lengths, self.sequence, self.held = np.ones(1, np.int64), [], [], [], 0
+
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        pieces, per_text = self.encoder.cut(texts)
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.numbers]
+        self.numbers.update(zip(new, range(len(self.parts), len(self.parts) + len(new))))
+        ids = list(map(self.encoder.known.__getitem__, new))
+        self.parts += ids
+        self.sizes = np.append(self.sizes, np.array(list(map(len, ids)), np.int64) // 4)
+        numbers = np.array(list(map(self.numbers.__getitem__, words)), np.uint32)
+        run = numbers[pieces.indices.to_numpy(zero_copy_only=False)] if words else numbers
+        ends = np.cumsum(per_text)
+        reached = np.append(0, np.cumsum(self.sizes[run]))[ends]
+        lengths = np.diff(reached, prepend=0) + 1
+        self.sequence.append(np.insert(run, ends, 0))
+        self.doc_ids += doc_ids
+        self.lengths += lengths.tolist()
+        self.held += int(lengths.sum())
+
+    def payload(self) -> bytes:
+        return write_chunk(self.doc_ids, self.lengths, np.concatenate(self.sequence), (self.sizes, np.frombuffer(b"".join(self.parts), "<u4")))
 
 
 @functools.cache
@@ -84,27 +127,21 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int = 0,
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, 0
-        encode, end = library_encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        names, lengths, ids = [], [], []
+        part, seq, encoder = TaskContext.get().partitionId(), 0, library_encoder(path)
+        frame = Frame(encoder, end_id)
 
-        def frame() -> pa.RecordBatch:
-            payload = write_chunk(names, lengths, np.frombuffer(b"".join(ids), "<u4"))
-            values = (part, seq, len(names), sum(lengths), payload)
+        def row() -> pa.RecordBatch:
+            values = (part, seq, len(frame.doc_ids), frame.held, frame.payload())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "seq", "n_docs", "n_ids", "payload"])
 
         for doc_ids, texts in text_pairs(batches):
             for at in range(0, len(texts), AT_ONCE):
-                for doc_id, coded in zip(doc_ids[at : at + AT_ONCE], encode(texts[at : at + AT_ONCE]), strict=True):
-                    names.append(doc_id)
-                    ids += [coded, end]
-                    lengths.append(len(coded) // 4 + 1)
-                    held += lengths[-1]
-                    if held >= CHUNK:
-                        yield frame()
-                        names, lengths, ids, seq, held = [], [], [], seq + 1, 0
-        if names:
-            yield frame()
+                frame.add(doc_ids[at : at + AT_ONCE], texts[at : at + AT_ONCE])
+                if frame.held >= CHUNK:
+                    yield row()
+                    frame, seq = Frame(encoder, end_id), seq + 1
+        if frame.doc_ids:
+            yield row()
 
     placed = text_rows(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(packed, "part int, seq int, n_docs int, n_ids long, payload binary").write.mode("errorifexists").parquet(target)

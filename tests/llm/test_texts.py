@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from metaloom.llm import ctph, ecoc, tokenfiles
 from metaloom.llm.bpe import WordCoder, encode_decode, word_coder
 from metaloom.llm.token_counts import merged_length, token_counts
-from metaloom.llm.tokenids import read_token_files, write_token_files
+from metaloom.llm.tokenids import Frame, library_encoder, read_token_files, write_token_files
 from metaloom.scale import ensure_checkpoint_dir
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -116,6 +116,24 @@ def test_damage_is_found():
         list(tokenfiles.read_chunk(bytes(frame)))
 
 
+def test_pieces_are_encoded_as_the_library_does():
+    """Each distinct piece is spelt once in a frame and stands for all its ids."""
+    rnd = random.Random(6)
+    odd = ["it's 'sab x''s", "a.b1'2!? c", "l'été,Œuvre× ÷a", "это,да! Ä.", "a_b`c\ud7ff", "ÃƑ.×x"]
+    given = texts() + odd + ["".join(rnd.choice("aé×÷.,'1 _Яß日\n") for _ in range(rnd.randrange(1, 40))) for _ in range(500)] + ["thinthhaned writerhedond, thinthha.\nedsherone againesti"] * 300
+    encoder = library_encoder(BYTE)
+    frame = Frame(encoder, 0)
+    for at in range(0, len(given), 500):
+        frame.add(list(range(at, min(at + 500, len(given)))), given[at : at + 500])
+    payload = frame.payload()
+    for (_, ids), text in zip(tokenfiles.read_chunk(payload), given, strict=True):
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    repeated = Frame(encoder, 0)
+    repeated.add(list(range(300)), given[-300:])
+    symbols = tokenfiles.HEADER.unpack_from(repeated.payload())[3]
+    assert symbols < 0.75 * repeated.held
+
+
 def test_frames_are_small():
     ids = np.resize(np.arange(1000, dtype=np.uint32), 40_000)
     assert len(tokenfiles.write_chunk([1], [len(ids)], ids)) < len(ids)
