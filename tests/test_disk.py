@@ -1,0 +1,38 @@
+"""Intermediate tables and shuffles that nothing reads any more leave the disk."""
+
+import glob
+
+from pyspark.sql import functions as F
+
+from metaloom import scale
+from metaloom.operators import casebuild as CB
+
+
+def _shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+
+def _cut_tables(spark) -> set[str]:
+    return set(glob.glob(scale.ensure_checkpoint_dir(spark).removeprefix("file:") + "/cut-*"))
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get(scale.SHUFFLE_CLEANUP, None)
+    df = spark.range(20_000).groupBy((F.col("id") % 7000).alias("k")).agg(F.sum("id").alias("v"))
+    cut = scale.cut_lineage(df)
+    assert not _shuffle_files(spark) - before and cut.count() == 7000
+    assert spark.conf.get(scale.SHUFFLE_CLEANUP, None) == setting
+    tables = _cut_tables(spark)
+    assert any(cut._cut_to.endswith(t.rsplit("/", 1)[1]) for t in tables)
+    scale.drop_cut(cut)
+    assert len(tables) - len(_cut_tables(spark)) == 1
+
+
+def test_chains_hold_only_their_result(spark):
+    rows = [("r1", "o1", "a"), ("r2", "o1", "b"), ("r3", "o1", "c"), ("r4", "o2", "c"), ("r5", "o2", "d"), ("r6", "o3", None), ("r7", None, "a"), ("r8", "o9", "o9"), ("r2", "o1", "b")]
+    starts = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "id string")  # d is no start
+    before = _cut_tables(spark)
+    out = CB.path_motifs(spark.createDataFrame(rows, "evidence_id string, subject string, object string"), starts, low=2, high=2)
+    assert len(_cut_tables(spark) - before) == 1
+    assert sorted(map(tuple, out.collect())) == [("r1|r2", "a", "b", 2), ("r1|r3", "a", "c", 2), ("r2|r3", "b", "c", 2), ("r4|r5", "c", "d", 2)]
