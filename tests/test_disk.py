@@ -36,3 +36,31 @@ def test_chains_hold_only_their_result(spark):
     out = CB.path_motifs(spark.createDataFrame(rows, "evidence_id string, subject string, object string"), starts, low=2, high=2)
     assert len(_cut_tables(spark) - before) == 1
     assert sorted(map(tuple, out.collect())) == [("r1|r2", "a", "b", 2), ("r1|r3", "a", "c", 2), ("r2|r3", "b", "c", 2), ("r4|r5", "c", "d", 2)]
+
+
+def test_nearby_records_keep_only_their_result(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"r{rnd.randrange(60):02d}", f"a{rnd.randrange(12)}", rnd.choice([f"b{rnd.randrange(12)}", f"a{rnd.randrange(12)}", None])) for _ in range(80)] + [("r99", None, "b1"), (None, "a1", "b2")]
+    near: dict = {}
+    for _, s, o in rows:
+        if s is not None and o is not None:
+            near.setdefault(s, set()).add(o)
+            near.setdefault(o, set()).add(s)
+    anchors = [f"a{i}" for i in range(14)] + ["a3"]
+    df = spark.createDataFrame(rows, "evidence_id string, subject string, object string")
+    for depth, links in ((1, 3), (2, 20_000), (3, 3)):  # with hubs and without
+        monkeypatch.setattr(CB, "HUB_LINKS", links)
+        want = set()
+        for a in set(anchors):
+            seen = {a}
+            for _ in range(depth):
+                seen |= {n for s in seen for n in near.get(s, ())}
+            ids = {e for e, s, o in rows if s in seen or o in seen}
+            want |= {(a, e) for e in sorted(ids, key=lambda e: (e is not None, e or ""))[:4]}
+        before = _cut_tables(spark)
+        out = CB.nearby_records(df, spark.createDataFrame([(a,) for a in anchors], "id string"), k=4, depth=depth)
+        assert len(_cut_tables(spark) - before) == 2  # the result and the links
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want)
