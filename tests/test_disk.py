@@ -64,3 +64,23 @@ def test_nearby_records_keep_only_their_result(spark, monkeypatch):
         assert len(_cut_tables(spark) - before) == 2  # the result and the links
         got = [tuple(r) for r in out.collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_proposals_are_checked_from_their_result(spark, monkeypatch):
+    from metaloom.operators import inference as N
+
+    props = [("1", "a", "r", "x", 0.9), ("2", "a", "r", "x", 0.9), ("3", "a", "r", "y", 0.9), ("4", "b", "r", "x", 0.2), ("5", "b", "q", "x", 0.9), ("6", "c", "r", "x", 0.9), ("7", "a", "r", "x", 0.9), ("8", "d", "r", "x", 0.9), (None, "a", "r", "x", 0.9)]
+    cites = [("1", "a"), ("1", "x"), ("2", "a"), ("2", "x"), ("2", "z"), ("4", "b"), ("4", "x"), ("5", "b"), ("6", "x"), ("7", "a"), ("7", "x"), ("7", "w"), ("8", "d"), ("8", "x"), (None, "a"), ("1", "x")]
+    allowed = [("a", "x"), ("b", "x"), ("c", "x"), ("d", "x"), ("a", "w"), ("a", "x")]
+    kinds = [("x", "t"), ("x", "u")]  # a repeated page gives a row each
+    df = spark.createDataFrame
+    for most in (N.PAGES_BROADCAST, 0):
+        monkeypatch.setattr(N, "PAGES_BROADCAST", most)
+        before = _cut_tables(spark)
+        out = N.check_proposals(df(props, "proposal_id string, source string, relation string, target string, confidence double"), df(allowed, "source string, path string"),
+                                df(cites, "proposal_id string, path string"), df([("d", "r", "x")], "source string, relation string, target_path string"), df(kinds, "path string, context_type string"), {"r": "t", "q": "s"}, 0.7)
+        assert len(_cut_tables(spark) - before) == 2  # the proposals met with their pairs, and the ids that cite what is not legal
+        got = sorted([(r["proposal_id"] or "", r["reason"] or "") for r in out.collect()])
+        bad = "relation_target_type_mismatch"
+        assert got == sorted([("1", ""), ("1", bad), ("2", "evidence_outside_bounded_catalog"), ("2", bad), ("3", "target_not_in_bounded_candidates"), ("4", "below_minimum_confidence"), ("4", bad), ("5", bad), ("5", bad),
+                              ("6", "source_page_evidence_required"), ("6", bad), ("7", ""), ("7", bad), ("8", "relationship_already_confirmed"), ("8", bad), ("", "source_page_evidence_required"), ("", bad)])
