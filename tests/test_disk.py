@@ -84,3 +84,18 @@ def test_proposals_are_checked_from_their_result(spark, monkeypatch):
         bad = "relation_target_type_mismatch"
         assert got == sorted([("1", ""), ("1", bad), ("2", "evidence_outside_bounded_catalog"), ("2", bad), ("3", "target_not_in_bounded_candidates"), ("4", "below_minimum_confidence"), ("4", bad), ("5", bad), ("5", bad),
                               ("6", "source_page_evidence_required"), ("6", bad), ("7", ""), ("7", bad), ("8", "relationship_already_confirmed"), ("8", bad), ("", "source_page_evidence_required"), ("", bad)])
+
+
+def test_cases_carry_what_is_said_of_their_ends(spark, monkeypatch):
+    edges = [("o:1", "supported_by", "s:1"), ("o:1", "supported_by", "s:2"), ("o:1", "supported_by", "s:2"), ("c:1", "requires_metric", "o:1"), ("s:1", "belongs_to_object", "n:1"), (None, "supported_by", "s:1")]
+    kinds = {"c": "purposes", "o": "metrics", "s": "physical_models", "n": "business_objects"}
+    entities = spark.createDataFrame([(i, kinds[i[0]], f"name {i}") for i in ("c:1", "o:1", "s:1", "s:2", "n:1")] + [(None, "metrics", "x")], "id string, type string, name string")
+    documents = spark.createDataFrame([("o:1", "a"), ("o:1", "b"), ("s:1", "a"), ("c:1", None)], "id string, document string")
+    edges = spark.createDataFrame(edges, "source string, relation string, target string")
+    plain = CB.motif_cases(CB.motifs(edges, entities), entities, documents)
+    calls, join = [], CB.salted_join
+    monkeypatch.setattr(CB, "salted_join", lambda left, right, on, *a, **k: calls.append(tuple(on)) or join(left, right, on, *a, **k))
+    carried = CB.motif_cases(CB.motifs(edges, entities, documents), entities, documents)
+    assert ("id",) not in calls  # ends are not looked up row by row
+    assert sorted(map(str, carried.collect())) == sorted(map(str, plain.collect()))
+    assert {(r["category"], r["anchor"]): r["edges"] for r in carried.collect()}["metric_to_model", "o:1"] == 2
