@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import bounded_batches, components, give_back
-from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, maybe_broadcast, salted_join
+from metaloom.scale import broadcast_rows, counted_join, cut_lineage
 
 EDITS = 2  # edits that make two lines the same
 SHORTEST = 1  # characters of a line whose equal repeats go: every line that is not blank
@@ -259,7 +259,7 @@ def _likely(edits: int):
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line_id, line) of the wanted ids, each text once."""
-    return cut_lineage(spark_lines(rows).select("line_id", "line").join(maybe_broadcast(cut_lineage(wanted)), "line_id", "left_semi").distinct())
+    return cut_lineage(spark_lines(rows).select("line_id", "line").join(broadcast_rows(cut_lineage(wanted)), "line_id", "left_semi").distinct())
 
 
 def _crowded(rows: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _crowded(rows: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame
             yield _batch(out)
 
     both = index.withColumn("probing", F.lit(False)).union(probe.withColumn("probing", F.lit(True)))
-    met = cut_lineage(both.join(maybe_broadcast(hot), "key", "left_semi").distinct())
+    met = cut_lineage(both.join(broadcast_rows(hot), "key", "left_semi").distinct())
     texts = _texts_of(rows, met.select("line_id").distinct())
     state = met.join(texts, "line_id").select("key", "line_id", "odd", "length", "way", "probing", "line").mapInArrow(begin, schema)
     found = []
@@ -308,7 +308,7 @@ def _crowded(rows: DataFrame, index: DataFrame, probe: DataFrame, hot: DataFrame
             F.count_if(own).alias("n_index"), F.min(F.when(own, F.col("line_id"))).alias("least"), F.min("line_id").alias("low"), F.max("line_id").alias("high")
         )
         counts = cut_lineage(counts.where("n_index > 0 AND low <> high").select("key", "n_index", "least"))
-        state = salted_join(state, counts, ["key"], ["line_id"], salts=SALTS, limit=CUT_BYTES)
+        state = counted_join(state, counts, ["key"], ["line_id"])
         plain = F.col("final") | (F.col("n_index") <= FEW)
         fits = F.forall("parts", lambda p: F.greatest(F.length(p["text"]), p["short"]) <= p["edits"])
         alike = F.col("final") & (F.col("n_index") > FEW) & fits
@@ -349,7 +349,7 @@ def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     crowded = not hot.isEmpty()
     left, right = index.drop("way").toDF("key", "a", "odd_a", "length_a"), probe.drop("way").toDF("key", "b", "odd_b", "length_b")
     if crowded:
-        left = left.join(maybe_broadcast(hot), "key", "left_anti")
+        left = left.join(broadcast_rows(hot), "key", "left_anti")
     pairs = left.join(right, "key").where(_likely(edits)).select("a", "b")
     if crowded:
         pairs = pairs.union(_crowded(rows, index, probe, hot, edits))
@@ -382,7 +382,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     firsts = linked.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("times").alias("all")).where(F.col("all") > 1)
     keepers = cut_lineage(linked.select("line_id", "root").join(firsts, "root").select("line_id", "keeper"))
     own = F.struct("doc_id", "text_hash", "number")
-    doubled = salted_join(occurrences, keepers, ["line_id"], ["doc_id", "number"], salts=SALTS, limit=CUT_BYTES).where(~own.eqNullSafe(F.col("keeper")))
+    doubled = counted_join(occurrences, keepers, ["line_id"], ["doc_id", "number"]).where(~own.eqNullSafe(F.col("keeper")))
     return doubled.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
@@ -399,7 +399,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", tex
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     removed = cut_lineage(repeated_lines(rows, edits)).select(F.col("doc_id").alias("_line_doc"), F.col("text_hash").alias("_line_hash"), F.col("numbers").alias("_numbers"))
     same = docs[id_col].cast("long").eqNullSafe(F.col("_line_doc")) & (text_hash == F.col("_line_hash"))
-    joined = docs.join(maybe_broadcast(removed), same, "left")
+    joined = docs.join(broadcast_rows(removed), same, "left")
     lines = F.split(docs[text_col].cast("string"), "\n", -1)
     numbers = F.col("_numbers")
     kept = F.when(numbers.isNull(), docs[text_col].cast("string")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(numbers, i)), "\n"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import components, give_back, text_pairs, text_rows
-from metaloom.scale import CUT_BYTES, SALTS, cut_lineage, maybe_broadcast, salted_join
+from metaloom.scale import broadcast_rows, counted_join, cut_lineage
 
 SEED = 42
 BLOCK = 1 << 15  # shingles whose bits are counted at once
@@ -183,7 +183,8 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     first = near.mapInArrow(fuzzy_keys, KEY_COLUMNS).withColumn("low", lowest)
     near = _joined(near, _root_links(first, F.col("fp"), F.col("root"), F.col("low")["fp"], F.col("low")["root"]))
     keys = near.mapInArrow(fuzzy_keys, KEY_COLUMNS)
-    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _linked(F.col("x.fp"), F.col("x.root"), F.col("y.fp"), F.col("y.root")))
+    # Spark sizes the keys like the fingerprints they come from, so it would broadcast a hundred rows for each.
+    met = keys.alias("x").hint("merge").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _linked(F.col("x.fp"), F.col("x.root"), F.col("y.fp"), F.col("y.root")))
     return _joined(near, _root_links(met, F.col("x.fp"), F.col("x.root"), F.col("y.fp"), F.col("y.root")))
 
 
@@ -215,9 +216,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     prints = cut_lineage(fingerprints(docs, width, id_col, text_col))
     groups = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = cut_lineage(link_fingerprints(groups).join(groups, "fp"))
-    firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.select("fp", "root").join(maybe_broadcast(firsts), "root").select("fp", "component_id")
-    return salted_join(prints, cut_lineage(named), ["fp"], ["doc_id"], salts=SALTS, limit=CUT_BYTES).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = linked.select("fp", "root").join(broadcast_rows(firsts), "root").select("fp", "component_id")
+    return counted_join(prints, cut_lineage(named), ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingled(rows: DataFrame, width: int) -> DataFrame:
@@ -308,9 +309,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("print", "key")).unionByName(linked_keys(nodes))
     shared = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    keyed = cut_lineage(keyed.join(maybe_broadcast(shared), "key"))
-    wanted = cut_lineage(nodes.join(maybe_broadcast(cut_lineage(keyed.select("node").distinct())), "node", "left_semi").select("node", F.col("text_hash").alias("_hash")))
-    found = texts.join(maybe_broadcast(wanted), F.col("text_hash") == F.col("_hash")).select("node", "text").dropDuplicates(["node"])
+    keyed = cut_lineage(keyed.join(broadcast_rows(shared), "key"))
+    wanted = cut_lineage(nodes.join(broadcast_rows(cut_lineage(keyed.select("node").distinct())), "node", "left_semi").select("node", F.col("text_hash").alias("_hash")))
+    found = texts.join(broadcast_rows(wanted), F.col("text_hash") == F.col("_hash")).select("node", "text").dropDuplicates(["node"])
     sets = cut_lineage(_shingle_rows(found, width))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -340,9 +341,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     near = joined(near, links(open_pairs(_prefix_pairs(sets.join(still_open, "node", "left_semi"), near, similar))))
 
     linked = cut_lineage(nodes.select("node", "first").join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
-    firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.select("node", "root").join(maybe_broadcast(firsts), "root").select("node", "component_id")
-    return salted_join(rows.select("node", "doc_id", "text_hash"), cut_lineage(named), ["node"], ["doc_id", "text_hash"], salts=SALTS, limit=CUT_BYTES).select("doc_id", "component_id")
+    firsts = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = linked.select("node", "root").join(broadcast_rows(firsts), "root").select("node", "component_id")
+    return counted_join(rows.select("node", "doc_id", "text_hash"), cut_lineage(named), ["node"], ["doc_id", "text_hash"]).select("doc_id", "component_id")
 
 
 def keep_first_copies(docs: DataFrame, width: int = STAGE_WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,4 +353,4 @@ def keep_first_copies(docs: DataFrame, width: int = STAGE_WIDTH, similar: float
     """
     linked = similar_documents(docs, width, similar, id_col, text_col)
     gone = cut_lineage(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(maybe_broadcast(gone), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(broadcast_rows(gone), docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
