@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import cut_lineage, maybe_broadcast, salted_join
+from ..scale import BROADCAST_BYTES, cut_lineage, drop_cut, maybe_broadcast, salted_join
 from .hierarchy import EDGE, edge_id
 
 KINDS = ("owner", "evidence", "source")
@@ -26,10 +26,13 @@ def set_digests(rows: DataFrame, key: list[str], item: str) -> DataFrame:
 
 def intern(rows: DataFrame, key: list[str], item: str) -> tuple[DataFrame, DataFrame]:
     """(key, set_id, size) and the distinct sets as (set_id, item), each stored once; null items belong to no set."""
-    distinct = cut_lineage(rows.where(F.col(item).isNotNull()).select(*key, item).distinct())
-    held = cut_lineage(set_digests(distinct, key, item))
+    distinct = cut_lineage(rows.where(F.col(item).isNotNull()).select(*key, item).distinct(), packed=True)
+    held = cut_lineage(set_digests(distinct, key, item), packed=True)
     shown = held.groupBy("set_id").agg(F.min(F.struct(*key)).alias("k")).select("set_id", *[F.col(f"k.{c}").alias(c) for c in key])
-    return held, cut_lineage(distinct.join(maybe_broadcast(cut_lineage(shown)), key).select("set_id", item))
+    shown = cut_lineage(shown)
+    members = cut_lineage(distinct.join(maybe_broadcast(shown, BROADCAST_BYTES), key).select("set_id", item), packed=True)
+    drop_cut(distinct, shown)
+    return held, members
 
 
 def merge_provenance(contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,16 +43,19 @@ def merge_provenance(contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged edge has the highest confidence, and per kind (owner, evidence, source) ``kind_set``
     and ``kind_count``; an edge without evidence has a null set and count 0.
     """
-    keyed = cut_lineage(contributions.withColumn("edge_id", edge_id()))
+    keyed, written = cut_lineage(contributions.withColumn("edge_id", edge_id()), packed=True), []
     merged = keyed.groupBy("edge_id", *EDGE, "parent_kind", "child_kind", "status", "method", "rule_id").agg(F.max("confidence").alias("confidence"))
     sets = None
     for kind in KINDS:
         held, members = intern(keyed, ["edge_id"], kind)
+        written += [held, members]
         merged = merged.join(held.select("edge_id", F.col("set_id").alias(f"{kind}_set"), F.col("size").alias(f"{kind}_count")), "edge_id", "left")
         merged = merged.withColumn(f"{kind}_count", F.coalesce(f"{kind}_count", F.lit(0)).cast("long"))
         members = members.select(F.lit(kind).alias("kind"), "set_id", F.col(kind).alias("item"))
         sets = members if sets is None else sets.unionByName(members)
-    return cut_lineage(merged), cut_lineage(sets)
+    merged, sets = cut_lineage(merged, packed=True), cut_lineage(sets, packed=True)
+    drop_cut(keyed, *written)
+    return merged, sets
 
 
 def provenance_rows(merged: DataFrame, sets: DataFrame) -> DataFrame:

@@ -138,3 +138,16 @@ def test_rows_decide_what_is_broadcast(spark):
     left = spark.range(5000)
     assert "BroadcastHashJoin" in plan(left.join(scale.broadcast_rows(written, 1000), "id"))
     assert "SortMergeJoin" in plan(left.join(scale.broadcast_rows(written, 999), "id"))
+
+
+def test_provenance_holds_only_its_result(spark):
+    from metaloom.operators import provenance as P
+
+    names = "view, parent, child, parent_kind, child_kind, status, method, rule_id".split(", ")
+    rows = [("v", "p", f"c{i % 3}", "a", "b", "CONFIRMED", "m", None, 0.5 + i / 10, f"o{i}", f"e{i % 2}" if i else None, "s") for i in range(5)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names) + ", confidence double, owner string, evidence string, source string")
+    before = _cut_tables(spark)
+    merged, sets = P.merge_provenance(df)
+    assert len(_cut_tables(spark) - before) == 2
+    got = [(r["kind"], r["item"]) for r in P.provenance_rows(merged, sets).collect()]
+    assert sorted(got) == sorted([("owner", f"o{i}") for i in range(5)] + [("evidence", e) for e in ("e1", "e0", "e1", "e0")] + [("source", "s")] * 3)
